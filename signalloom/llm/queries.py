@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.llm import mixing, sharding
+from signalloom.llm import language, mixing, quality, search, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": sharding.query,
         "op2_systematic_mix": mixing.query,
+        "op4_rank_order_language": language.query,
+        "op5_quality_cascade": quality.query,
+        "op8_url_trees": urls.query,
+        "op10_kd_tree_search": search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_systematic_mix": mixing.ORACLE_SQL}
+    return {
+        "op2_systematic_mix": mixing.ORACLE_SQL,
+        "op5_quality_cascade": quality.ORACLE_SQL,
+        "op10_kd_tree_search": search.ORACLE_SQL,
+    }
