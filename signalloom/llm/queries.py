@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.llm import language, mixing, quality, search, sharding, urls
+from signalloom.llm import language, mixing, packing, quality, search, sharding, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_systematic_mix": mixing.query,
         "op4_rank_order_language": language.query,
         "op5_quality_cascade": quality.query,
+        "op6_best_fit_pack": packing.query,
         "op8_url_trees": urls.query,
         "op10_kd_tree_search": search.query,
     }

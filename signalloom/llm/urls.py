@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_tld", "f_domain")
+FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_tld", "f_domain", "f_section")
+#: Suffixes whose blocked share is a feature: last label, last two labels, these with the first part of the path.
+SUFFIXES = ("_tld", "_domain", "_section")
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -41,7 +43,7 @@ def entropy(text: Column) -> Column:
 
 
 def with_features(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds the lexical features but the suffix statistics, and the suffixes (last label, last two labels of the host)."""
+    """Adds the lexical features but the suffix statistics, and the suffixes."""
     text = F.coalesce(F.col(url), F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
     count = lambda ch: F.length(text) - F.length(F.replace(text, F.lit(ch), F.lit("")))
@@ -54,6 +56,7 @@ def with_features(df: DataFrame, url: str = "url") -> DataFrame:
         "f_labels": (F.length("host") - F.length(F.translate("host", ".", ""))).cast("double"),
         "_tld": F.substring_index("host", ".", -1),
         "_domain": F.substring_index("host", ".", -2),
+        "_section": F.concat(F.substring_index("host", ".", -2), F.regexp_extract("path", r"^/[^/]*", 0)),
     })
 
 
@@ -95,7 +98,7 @@ def train(labelled: DataFrame, bound: int = 20_000, trees: int = 12, depth: int
         rows.unpersist()
         return UrlModel(None, {}, "block" if seen == [1.0] else "allow")
     rates = {}
-    for key in ("_tld", "_domain"):
+    for key in SUFFIXES:
         found = suffix_rates(rows, key).collect()
         schema = f"{key}_k string, {key}_rate double"
         rates[key] = labelled.sparkSession.createDataFrame([tuple(r) for r in found], schema)
@@ -116,7 +119,7 @@ def url_filter(pages: DataFrame, rules: tuple = RULES, bound: int = 20_000) -> D
     rule, said = match_rule(rules)
     rows = with_features(with_parts(pages)).withColumn("rule", rule).withColumn("_said", said)
     labelled = rows.where(F.col("_said").isNotNull()).withColumn("label", (F.col("_said") == "block").cast("double"))
-    model = train(labelled.select("url", "label", "_tld", "_domain", *[f for f in FEATURES if f not in ("f_tld", "f_domain")]), bound)
+    model = train(labelled.select("url", "label", *SUFFIXES, *[f for f in FEATURES if f[1:] not in SUFFIXES]), bound)
     judged = model.verdicts(rows)
     return judged.withColumn("verdict", F.coalesce("_said", "method_verdict"))
 
