@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.llm import language, mixing, packing, quality, search, sharding, urls
+from signalloom.llm import language, mixing, packing, quality, search, sharding, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_cascade": quality.query,
         "op6_best_fit_pack": packing.query,
         "op8_url_trees": urls.query,
+        "op9_suffix_array_dedup": suffixes.query,
         "op10_kd_tree_search": search.query,
     }
 

@@ -122,10 +122,10 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return scramble(out + (ends - starts).astype(U) * U(0xA0761D6478BD642F))
 
 
-def window_hashes(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of `width` consecutive values from each place in `at`; the caller keeps windows inside a text."""
+def window_hashes(values: np.ndarray, at: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """Hashes of the values at every step within `width` from each place in `at`; the caller keeps windows inside a text."""
     h = np.full(len(at), U(width), dtype=U)
-    for k in range(width):
+    for k in range(0, width, step):
         h = (h ^ values[at + k]) * U(0x9FB21C651E98DF25)
         h ^= h >> U(32)
     return h
