@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.llm import language, mixing, packing, quality, search, sharding, suffixes, urls
+from signalloom.llm import automata, language, mixing, packing, quality, search, sharding, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hilbert_shards": sharding.query,
         "op2_systematic_mix": mixing.query,
+        "op3_suffix_automata_dedup": automata.query,
         "op4_rank_order_language": language.query,
         "op5_quality_cascade": quality.query,
         "op6_best_fit_pack": packing.query,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_systematic_mix": mixing.ORACLE_SQL,
+        "op3_suffix_automata_dedup": automata.ORACLE_SQL,
         "op5_quality_cascade": quality.ORACLE_SQL,
         "op10_kd_tree_search": search.ORACLE_SQL,
     }
