@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.llm import automata, language, mixing, packing, quality, search, sharding, suffixes, urls
+from signalloom.llm import automata, jaccard, language, mixing, packing, quality, search, sharding, suffixes, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_rank_order_language": language.query,
         "op5_quality_cascade": quality.query,
         "op6_best_fit_pack": packing.query,
+        "op7_ngram_jaccard_join": jaccard.query,
         "op8_url_trees": urls.query,
         "op9_suffix_array_dedup": suffixes.query,
         "op10_kd_tree_search": search.query,
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_systematic_mix": mixing.ORACLE_SQL,
         "op3_suffix_automata_dedup": automata.ORACLE_SQL,
         "op5_quality_cascade": quality.ORACLE_SQL,
+        "op7_ngram_jaccard_join": jaccard.ORACLE_SQL,
         "op10_kd_tree_search": search.ORACLE_SQL,
     }
