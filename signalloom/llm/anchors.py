@@ -161,9 +161,10 @@ def unpack_arrays(block: bytes, count: int) -> list[np.ndarray]:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (null as NULL_ID), h (a hash of the text) and text: rows equal in both ids are equal rows."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+def keyed(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
+    """doc_id (null as NULL_ID), h (a hash of the text) and text: rows equal in both ids are equal rows. The columns of rest go along as one struct."""
+    more = [F.struct(*rest).alias("rest")] if rest else []
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text", *more)
 
 
 #: A key found this often is heavy: its windows are then compared one by one, each under its own hash.

@@ -242,16 +242,18 @@ def _through(shard: list[tuple[int, list[bytes], list[tuple[int, int, int]]]], w
                 spans.append((d, h, first + start, first + len(least) - 1 + width))
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, heavy: int = 20_000) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, text, spans) of (doc_id, text): text without passages that smaller documents have.
+def substring_dedup(docs: DataFrame, width: int = 50, heavy: int = 20_000, rest: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, text, spans[, rest]) of (doc_id, text): text without passages that smaller documents have.
 
     A word goes if a window of `width` words that covers it also starts in a document of smaller doc_id; windows are
-    judged on the input. spans lists the maximal removed runs of words; text is the kept words joined by one space.
+    judged on the input. spans lists the maximal removed runs of words; text is the kept words joined by one space,
+    or the text as it is where nothing goes. The columns named in rest go along as a struct of that name.
     A null, empty or blank text has no words; one shorter than a window keeps all; rows of equal doc_id never remove
     from each other, and each gets its result; a null doc_id comes after all others; an empty table gives an empty result.
     """
-    rows = keyed(docs)
+    rows = keyed(docs, rest)
     joined = with_spans(rows, later_spans(rows, width, heavy))
+    kind = f", rest {rows.schema['rest'].dataType.simpleString()}" if rest else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -268,17 +270,20 @@ def substring_dedup(docs: DataFrame, width: int = 50, heavy: int = 20_000) -> Da
                 if b > a:
                     ws = [x for p, q in zip([0, *e[a:b]], [*s[a:b], len(ws)]) for x in ws[p:q]]
                 removed.append(n_words[-1] - len(ws))
-                text = b" ".join(ws)
-                digest.append(hashlib.sha256(text).hexdigest())
-                kept.append(text)
+                joined_words = b" ".join(ws)
+                digest.append(hashlib.sha256(joined_words).hexdigest())
+                kept.append(joined_words if b > a else None if t.null[i] else t.text(i))
                 spans.append([{"s": p, "e": q} for p, q in zip(s[a:b], e[a:b])])
-            yield pa.RecordBatch.from_pydict({
+            columns = {
                 "doc_id": part.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
                 "kept_sha256": pa.array(digest, pa.string()), "text": pa.array(kept, pa.binary()).cast(pa.string()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
-            })
+            }
+            if rest:
+                columns["rest"] = part.column("rest")
+            yield pa.RecordBatch.from_pydict(columns)
 
-    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<s:long,e:long>>")
+    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string, spans array<struct<s:long,e:long>>" + kind)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 

@@ -63,9 +63,25 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: str = "mix", s
     return placed.withColumn("copies", copies.cast("long")).drop("_digits", "_class", "_salt", "_at", "_rate", "_u")
 
 
-def emit(mixed: DataFrame) -> DataFrame:
+def emit(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     """The mix itself: each row as many times as its copies say."""
-    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy")
+    return mixed.where(F.col(copies) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop("_copy")
+
+
+def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of (doc_id, text, source, ...) as the mix takes them, each as often as it does; columns as they are.
+
+    Places are worked out on rows without texts; these meet their texts again by doc_id, a hash of the text and a
+    number among rows equal in both, so that repeated rows are taken each for itself.
+    """
+    equal = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
+    numbered = docs.withColumn("_id", F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"))).withColumn("_h", F.xxhash64("text"))
+    slim = materialise(numbered.select("_id", "_h", "doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
+    copies = mix(slim, share, most).withColumn("_n", F.row_number().over(equal)).where("copies > 0")
+    copies = copies.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("_n").alias("_m"), F.col("copies").alias("_copies"))
+    rows = numbered.withColumn("_n", F.row_number().over(equal))
+    found = rows.join(copies, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")) & (F.col("_n") == F.col("_m")))
+    return emit(found, "_copies").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

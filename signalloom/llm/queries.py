@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm import automata, jaccard, language, mixing, packing, quality, search, sharding, suffixes, urls
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_trees": urls.query,
         "op9_suffix_array_dedup": suffixes.query,
         "op10_kd_tree_search": search.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -20,13 +20,14 @@ def brute(rows, width):
     for (d, _), ws in zip(rows, texts):
         gone = {i + j for i in range(len(ws) - width + 1) if least[tuple(ws[i : i + width])] < order(d) for j in range(width)}
         kept = b" ".join(x for i, x in enumerate(ws) if i not in gone)
-        out.append((d, len(ws), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+        out.append((d, len(ws), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode() if gone else _))
     return sorted(out, key=str)
 
 
 def run(spark, rows, width, **options):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, found string")
-    got = substring_dedup(df, width, **options).collect()
+    got = substring_dedup(df, width, rest=["found"], **options).collect()
+    assert all(r["rest"]["found"] == "x" for r in got)
     assert all(r["n_removed"] == sum(x["e"] - x["s"] for x in r["spans"]) for r in got)
     return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["text"]) for r in got), key=str)
 
