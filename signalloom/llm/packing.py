@@ -2,53 +2,57 @@
 
 from __future__ import annotations
 
+import base64
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.tables import materialise, ranked
 from signalloom.llm.words import chunks
 
-#: The pre-tokenizer's pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: A text on which both libraries must agree before the quicker one is used.
+_PROBE = "It's a probe,  with numbers 1234 &\nlines\t... and Ünïcode  \n\n end "
 
 
-class Encoder(dict):
-    """Token ids of a text as little-endian 32-bit bytes, pre-token by pre-token with a bounded memory of them.
+class Encoder:
+    """Token ids of a text as little-endian 32-bit bytes.
 
-    Texts with characters beyond Latin Extended-A, or with a special token's string, go to the tokenizer whole.
+    The tokenizer's own file decides. Where a file of the same vocabulary as ranks lies beside it, texts up to Latin
+    Extended-A without a special token's string go through these ranks, which give the same ids in a quarter of the
+    time; all other texts go to the tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.split = regex.compile(PATTERN).findall
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranks = self._ranks(path.removesuffix(".json") + ".tiktoken")
+        if self.ranks and self.ranks.encode_ordinary(_PROBE) != self.tokenizer.encode(_PROBE, add_special_tokens=False).ids:
+            self.ranks = None
 
-    def __missing__(self, part: str) -> bytes:
-        found = self.whole(part)
-        if len(part) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[part] = found
-        return found
+    @staticmethod
+    def _ranks(path: str):
+        if not os.path.exists(path):
+            return None
+        import public_tokenizers
+        import tiktoken
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not text.isascii() and max(text) > "ſ" or any(s in text for s in self.special):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if self.ranks is None or (not text.isascii() and max(text) > "ſ") or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -11,6 +11,8 @@ from signalloom import policy as P
 from signalloom.adapter import LINKED_SQL, NOW, SIGNALS_SQL, linked, signals
 from signalloom.functions import cases, geo, text
 from signalloom.operators import alerts, cluster, lifecycle, listing, score, store
+from signalloom.plans import passes
+from signalloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -474,3 +476,23 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Active incidents with auditable confidence: clusters of recent signals, scored and listed."""
     rows = members(spark, d).drop("family").withColumnRenamed("cluster_id", "incident_id")
     return listing.list_incidents(score.refresh(rows)).select("incident_id", "type", "status", "confidence", "is_official_confirmed", "breakdown", "event_count", "lat", "lon", "title", "last_seen_at")
+
+
+def _unassigned(spark: SparkSession, d: str) -> DataFrame:
+    return signals(spark, d).withColumns({"incident_id": F.lit(None).cast("long"), "updated_at": F.expr("ts + make_interval(0, 0, 0, 0, int(id % 48), 0, 0)")})
+
+
+@query("m01_correlation_pass")
+def correlation_pass(spark, d):
+    """A whole first pass with wide windows: incidents by id."""
+    policy = P.Policy(window_h=264, match_window_h=264, active_window_h=264, alert_valid_h=264, min_signals=2)
+    return passes.first_pass(spark, _unassigned(spark, d), PRESENT, policy).incidents.drop("breakdown", "sources")
+
+
+@query("x06_rate_limit", f"""WITH RECURSIVE calls AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(CAST(ts AS TIMESTAMP)) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+ walk AS (SELECT key, at, r, TRUE AS allowed, at AS last FROM calls WHERE r = 1
+  UNION ALL SELECT c.key, c.at, c.r, c.at - w.last >= 86400, CASE WHEN c.at - w.last >= 86400 THEN c.at ELSE w.last END FROM walk w JOIN calls c ON c.key = w.key AND c.r = w.r + 1)
+ SELECT key, at, allowed, CAST(CASE WHEN allowed THEN 0 ELSE ceil(86400 - (at - last)) END AS BIGINT) AS retry_after FROM walk""")
+def rate_limit(spark, d):
+    calls = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return ingest.limit_batch(calls, 86400.0)

@@ -40,14 +40,22 @@ def test_plan_equals_best_fit_one_by_one(lengths):
         assert sorted(p for q, p in cells if q == s) == list(range(sum(1 for q, _ in cells if q == s)))
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sé \x85\x1c-1a"), st.characters(codec="utf-8")), max_size=40))
 def test_encoder_matches_tokenizer(text):
     enc = ENC
     assert list(np.frombuffer(enc.encode(text), "<u4")) == TOK.encode(text, add_special_tokens=False).ids
 
 
-TOK, ENC = Tokenizer.from_file(default_tokenizer()), Encoder(default_tokenizer(), most=50)
+TOK, ENC = Tokenizer.from_file(default_tokenizer()), Encoder(default_tokenizer())
+
+
+def test_long_pieces_and_whole_documents(spark):
+    assert ENC.ranks is not None
+    texts = ["a" * 30_000, " " * 5000, "\n" * 3000, "ab" * 9000 + "é" * 2000, "1" * 5000, "!" * 5000]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in texts:
+        assert list(np.frombuffer(ENC.encode(text), "<u4")) == TOK.encode(text, add_special_tokens=False).ids
 
 
 def test_special_token_string():
