@@ -26,6 +26,8 @@ from signalloom.llm.words import U, chunks, scramble
 PERCENT = 75
 #: A token is frequent from this many documents on; marks of frequent tokens, in bits (a token shares its mark with others).
 FREQUENT, MARKS = 8, 1 << 26
+#: What is sent with a set's signatures: its print, size and least signature.
+_NAME = np.dtype([("name", "<i8"), ("size", "<i8"), ("least", "<u8")])
 #: Cells of a set's histogram, which bounds intersections from above.
 CELLS = 256
 #: Candidates of a signature are paired off up to this many; more form a family.
@@ -165,6 +167,9 @@ def is_marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
     """(a, b, family): sets (by f1) that share a signature. Up to `few` of a signature are paired off; of more, each is
     tied to one of them, with family true: all pairs of a family's sets are then candidates.
+
+    Sets whose least signature is the same one are paired off there alone, as like sets would else be at each of the
+    many signatures they share.
     """
     spark = docs.sparkSession
     parts = tasks(spark)
@@ -172,10 +177,11 @@ def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
     shift = U(64 - (len(bits) * 8).bit_length() + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, names, sizes, count, seen = [], [], [], 0, set()
+        sigs, names, count, seen = [], [], 0, set()
 
         def flush() -> pa.RecordBatch:
             sig = np.concatenate(sigs)
+            about = np.array(names, _NAME)
             who = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
             order = np.argsort(sig, kind="stable")
             sig, who = sig[order], who[order]
@@ -184,7 +190,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
                 used, local = np.unique(who[a:b], return_inverse=True)
                 out["part"].append(p)
                 out["block"].append(pack_arrays(sig[a:b] >> U(16), local))
-                out["names"].append(np.stack([np.array(names, np.int64)[used], np.array(sizes, np.int64)[used]]).tobytes())
+                out["names"].append(about[used].tobytes())
             return pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int32()), "block": pa.array(out["block"], pa.binary()), "names": pa.array(out["names"], pa.binary())})
 
         for rows in chunks(batches):
@@ -193,33 +199,32 @@ def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
             f1 = s.prints()[0].view(np.int64)
             for i in _once(s, seen):
                 sigs.append(signatures(s[i], marked[s.bounds[i] : s.bounds[i + 1]]))
-                names.append(int(f1[i]))
-                sizes.append(len(s[i]))
+                names.append((int(f1[i]), len(s[i]), int(sigs[-1].min())))
                 count += len(sigs[-1])
             if count >= 3_000_000:
                 yield flush()
-                sigs, names, sizes, count = [], [], [], 0
+                sigs, names, count = [], [], 0
         if sigs:
             yield flush()
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("family", pa.bool_())])
 
     def meet(table: pa.Table) -> pa.Table:
-        held = [(*unpack_arrays(b, 2), np.frombuffer(n, np.int64).reshape(2, -1)) for b, n in zip(table.column("block").to_pylist(), table.column("names").to_pylist())]
+        held = [(*unpack_arrays(b, 2), np.frombuffer(n, _NAME)) for b, n in zip(table.column("block").to_pylist(), table.column("names").to_pylist())]
         sig = np.concatenate([x[0] for x in held])
-        name = np.concatenate([x[2][0][x[1]] for x in held])
-        size = np.concatenate([x[2][1][x[1]] for x in held])
+        name, size, least = (np.concatenate([x[2][c][x[1]] for x in held]) for c in ("name", "size", "least"))
         order = np.lexsort((name, sig))
-        sig, name, size = sig[order], name[order], size[order]
+        sig, name, size, least = sig[order], name[order], size[order], least[order]
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (name[1:] != name[:-1])])
-        sig, name, size = sig[new], name[new], size[new]
+        sig, name, size, least = sig[new], name[new], size[new], least[new]
         where = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         many = np.repeat(np.diff(np.append(where, len(sig))), np.diff(np.append(where, len(sig))))
         pairs = [np.zeros((2, 0), np.int64)]
         for d in range(1, few):
             i = np.flatnonzero((sig[d:] == sig[:-d]) & (many[d:] <= few))
             small, large = np.minimum(size[i], size[i + d]), np.maximum(size[i], size[i + d])
-            i = i[100 * small >= PERCENT * large]
+            elsewhere = (least[i] == least[i + d]) & (least[i] >> U(16) != sig[i])
+            i = i[(100 * small >= PERCENT * large) & ~elsewhere]
             pairs.append(np.stack([name[i], name[i + d]]))
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
         head = np.repeat(where, np.diff(np.append(where, len(sig))))
