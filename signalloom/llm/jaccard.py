@@ -168,8 +168,8 @@ def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
     """(a, b, family): sets (by f1) that share a signature. Up to `few` of a signature are paired off; of more, each is
     tied to one of them, with family true: all pairs of a family's sets are then candidates.
 
-    Sets whose least signature is the same one are paired off there alone, as like sets would else be at each of the
-    many signatures they share.
+    Sets whose least signature is the same one meet there alone, as like sets would else meet at each of the many
+    signatures they share.
     """
     spark = docs.sparkSession
     parts = tasks(spark)
@@ -228,7 +228,16 @@ def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
             pairs.append(np.stack([name[i], name[i + d]]))
         pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
         head = np.repeat(where, np.diff(np.append(where, len(sig))))
-        big = np.flatnonzero((many > few) & (head != np.arange(len(sig))))
+        big = np.flatnonzero(many > few)
+        # More than `few` here of one least signature are a family there: one of them stands for all.
+        order = np.lexsort((least[big], head[big]))
+        big = big[order]
+        start = np.flatnonzero(np.concatenate([[True], (head[big][1:] != head[big][:-1]) | (least[big][1:] != least[big][:-1])])) if len(big) else big
+        alike = np.diff(np.append(start, len(big)))
+        alone = np.repeat(alike <= few, alike) | (least[big] >> U(16) == sig[big])
+        alone[start] = True
+        big = big[alone]
+        big = big[head[big] != big]
         ties = np.unique(np.stack([name[head[big]], name[big]]), axis=1)
         both = np.concatenate([pairs, ties], axis=1)
         return pa.table([both[0], both[1], np.arange(both.shape[1]) >= pairs.shape[1]], schema=out)
