@@ -489,10 +489,10 @@ def correlation_pass(spark, d):
     return passes.first_pass(spark, _unassigned(spark, d), PRESENT, policy).incidents.drop("breakdown", "sources")
 
 
-@query("x06_rate_limit", f"""WITH RECURSIVE calls AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(CAST(ts AS TIMESTAMP)) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
- walk AS (SELECT key, at, r, TRUE AS allowed, at AS last FROM calls WHERE r = 1
-  UNION ALL SELECT c.key, c.at, c.r, c.at - w.last >= 86400, CASE WHEN c.at - w.last >= 86400 THEN c.at ELSE w.last END FROM walk w JOIN calls c ON c.key = w.key AND c.r = w.r + 1)
- SELECT key, at, allowed, CAST(CASE WHEN allowed THEN 0 ELSE ceil(86400 - (at - last)) END AS BIGINT) AS retry_after FROM walk""")
+@query("x06_rate_limit", """WITH RECURSIVE calls AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch(CAST(ts AS TIMESTAMP)) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+ walk AS (SELECT key, t, r, TRUE AS allowed, t AS last_t FROM calls WHERE r = 1
+  UNION ALL SELECT c.key, c.t, c.r, c.t - w.last_t >= 86400, CASE WHEN c.t - w.last_t >= 86400 THEN c.t ELSE w.last_t END FROM walk w JOIN calls c ON c.key = w.key AND c.r = w.r + 1)
+ SELECT key, t AS "at", allowed, CAST(CASE WHEN allowed THEN 0 ELSE ceil(86400 - (t - last_t)) END AS BIGINT) AS retry_after FROM walk""")
 def rate_limit(spark, d):
     calls = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return ingest.limit_batch(calls, 86400.0)

@@ -87,7 +87,7 @@ def correlate(signals: DataFrame, incidents: DataFrame, links: DataFrame, now: s
     assigned = signals.join(pointer, F.col("id") == F.col("event_id"), "left").withColumn("incident_id", F.coalesce("_incident", "incident_id")).drop("_incident", "event_id")
     counts = final.groupBy("status").count().collect()
     metrics = {f"incidents_{r['status']}": r["count"] for r in counts}
-    opens = judged.agg(F.count_if("incident_id IS NOT NULL").alias("a"), F.count_if("incident_id IS NULL AND opens").alias("c"), F.count_if("incident_id IS NULL AND NOT opens").alias("d")).first()
+    opens = judged.agg(F.count_if(F.expr("incident_id IS NOT NULL")).alias("a"), F.count_if(F.expr("incident_id IS NULL AND opens")).alias("c"), F.count_if(F.expr("incident_id IS NULL AND NOT opens")).alias("d")).first()
     links_by = {r["link_method"]: r["count"] for r in relinked.groupBy("link_method").count().collect()}
     metrics |= {"clusters_attached": opens["a"], "incidents_created": opens["c"], "clusters_deferred": opens["d"], "merged": gone.count(), "spatial_links": links_by.get("spatial", 0), "text_links": links_by.get("commune_text", 0)}
     return Pass(assigned, final, relinked, metrics)
