@@ -68,3 +68,24 @@ def plain_text(column: str, spark: bool = True) -> str:
 
 def magnitude_band(column: str) -> str:
     return f"CASE WHEN {column} IS NULL THEN 'unknown' WHEN {column} > 5.5e0 THEN 'strong' WHEN {column} >= 4e0 THEN 'moderate' ELSE 'minor' END"
+
+
+def ago(seconds: str, text: str) -> str:
+    """How long ago, in words; text is the dialect's string type."""
+    whole = lambda n: f"CAST(CAST(floor(({seconds}) / {n}e0) AS BIGINT) AS {text})"
+    return f"CASE WHEN {seconds} < 60 THEN 'hace instantes' WHEN {seconds} < 3600 THEN 'hace ' || {whole(60)} || ' min' WHEN {seconds} < 86400 THEN 'hace ' || {whole(3600)} || ' h' ELSE 'hace ' || {whole(86400)} || ' d' END"
+
+
+def percent(column: str, text: str) -> str:
+    """A share as a whole percentage, rounded down."""
+    return f"CAST(CAST(floor(CAST({column} AS DOUBLE) * 1e2) AS INT) AS {text}) || '%'"
+
+
+def closed(status: str) -> str:
+    """Closed for a map's reader: under control counts."""
+    return f"{status} NOT IN ('active')"
+
+
+def marker(level_column: str) -> str:
+    """Size factor of a marker by level of confidence."""
+    return f"CASE {level_column} WHEN 'confirmed' THEN 1e0 WHEN 'possible' THEN 0.78e0 ELSE 0.58e0 END"

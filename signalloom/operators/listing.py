@@ -46,6 +46,21 @@ def filter_events(df: DataFrame, since=None, until=None, sources=(), types=(), l
     return df
 
 
+def neighbours_of(df: DataFrame, lat: float, lon: float, at: Column, metres: float = 2000.0, minutes: float = 60, own: int | None = None) -> DataFrame:
+    """Signals around one place and time, with distance_m, without the signal `own`."""
+    span = F.make_dt_interval(mins=F.lit(int(minutes)))
+    found = df.where(F.col("ts").between(at - span, at + span) & within(lat, lon, metres))
+    if own is not None:
+        found = found.where(F.col("id") != own)
+    return found.withColumn("distance_m", F.expr(geo.haversine(f"{lat}e0", f"{lon}e0", "lat", "lon")))
+
+
+def visible(df: DataFrame, layers: tuple[str, ...], providers: tuple[str, ...], known: tuple[str, ...] = ("chilquinta", "cge")) -> DataFrame:
+    """Signals of the layers shown; outages of a known provider only if it is shown, of unknown ones always."""
+    hidden = (F.col("type") == "power_outage") & F.col("source").isin(*known) & ~F.col("source").isin(*providers)
+    return df.where(F.expr(cases.family("type")).isin(*layers) & ~hidden)
+
+
 def list_events(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest first, then by id."""
     return df.orderBy(F.col("ts").desc(), "id").offset(offset).limit(min(limit, 1000))

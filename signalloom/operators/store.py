@@ -70,6 +70,11 @@ def upsert(stored: DataFrame, batch: DataFrame, order: str = "position") -> Data
     return every.where("outcome <> 'inserted'").unionByName(added).drop("_order")
 
 
+def upsert_by(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored rows with the batch's in place of those of equal keys; the batch has one row a key."""
+    return batch.select(*stored.columns).unionByName(stored.join(batch.select(*keys), keys, "left_anti").select(*stored.columns))
+
+
 def upsert_counts(merged: DataFrame) -> DataFrame:
     return merged.agg(F.count_if(F.col("outcome") == "inserted").alias("inserted"), F.count_if(F.col("outcome") == "updated").alias("updated"))
 
@@ -118,5 +123,10 @@ def run_row(spark: SparkSession, collector: str, fetched: int, inserted: int, re
     return spark.createDataFrame([(collector, fetched, inserted, rejected, status, error)], "collector string, fetched long, inserted long, rejected long, status string, error string")
 
 
+def run_status(rejected, warnings, error):
+    """The same as a column, for a log of many runs."""
+    return F.when(error.isNotNull(), "failed").when((rejected > 0) | (warnings > 0), "partial").otherwise("success")
+
+
 def latest_runs(runs: DataFrame, n: int = 20) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc(), "id").limit(n)
