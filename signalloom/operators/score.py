@@ -18,18 +18,24 @@ def with_weights(signals: DataFrame) -> DataFrame:
     return signals.withColumns({"weight": weight, "decay": rule("decay"), "ceiling": rule("ceiling"), "confirming": rule("confirming")})
 
 
+#: Ranks of a source's signals that are summed; every source that decays does so by half at least, so later ranks add less than a double can hold.
+RANKS = 64
+
+
 def contributions(signals: DataFrame) -> DataFrame:
     """(incident_id, source, signals, contribution, confirming): weights by rank, decayed, summed and capped.
 
-    A source's signals of one incident are ranked by weight, which needs no order among equal weights.
+    A source's signals of one incident are ranked by weight, which needs no order among equal weights. All signals are
+    counted; the sum takes the RANKS first, which are picked before rows are shuffled, so that a busy incident and
+    source costs a task as many rows. A source without decay reaches its cap, its weight, with the first.
     """
-    rank = Window.partitionBy("incident_id", "source").orderBy(F.col("weight").desc())
-    ranked = with_weights(signals).withColumn("_k", F.row_number().over(rank) - 1)
-    return ranked.groupBy("incident_id", "source").agg(
-        F.count(F.lit(1)).alias("signals"),
-        F.least(F.max("ceiling"), F.sum(F.col("weight") * F.pow(F.col("decay"), F.col("_k")))).alias("contribution"),
-        F.max("confirming").alias("confirming"),
-    )
+    keys = ["incident_id", "source"]
+    weighed = with_weights(signals)
+    rank = Window.partitionBy(*keys).orderBy(F.col("weight").desc())
+    ranked = weighed.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= RANKS)
+    sums = ranked.groupBy(*keys).agg(F.least(F.max("ceiling"), F.sum(F.col("weight") * F.pow(F.col("decay"), F.col("_r") - 1))).alias("contribution"))
+    counts = weighed.groupBy(*keys).agg(F.count(F.lit(1)).alias("signals"), F.max("confirming").alias("confirming"))
+    return counts.join(sums, keys)
 
 
 def score(signals: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalloom import policy as P
 from signalloom.functions import cases
 from signalloom.operators.listing import in_box
+from signalloom.tables import numbered
 
 #: What an update leaves as it was.
 KEPT = ("id", "ts", "ingested_at", "incident_id", "processed_at")
@@ -65,7 +66,7 @@ def upsert(stored: DataFrame, batch: DataFrame, order: str = "position") -> Data
     fresh = free.select(*[(F.col(c) if c in batch.columns else F.lit(None)).alias(c) for c in columns], F.lit("inserted").alias("outcome"), F.col(order).alias("_order"))
     every = merged.unionByName(fresh)
     top = every.where("outcome <> 'inserted'").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    added = every.where("outcome = 'inserted'").withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_order")))
+    added = numbered(every.where("outcome = 'inserted'"), ["_order"], "_r")
     added = added.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_r")).drop("_top", "_r")
     return every.where("outcome <> 'inserted'").unionByName(added).drop("_order")
 

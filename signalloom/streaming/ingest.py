@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalloom.operators import store
+from signalloom.tables import tasks
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, now: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
@@ -76,10 +77,23 @@ def limit_stream(calls: DataFrame, interval: float = 600.0) -> DataFrame:
 
 
 def limit_batch(calls: DataFrame, interval: float = 600.0) -> DataFrame:
-    """The same verdicts over a finished table of (key, at)."""
+    """The same verdicts over a finished table of (key, at).
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, out = _decide(None, pdf["at"].tolist(), interval)
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "at": [o[0] for o in out], "allowed": [o[1] for o in out], "retry_after": [o[2] for o in out]})
+    Calls are dealt by key and sorted; a task goes through them with the last allowed time of the key at hand, and
+    holds a batch of rows however many calls a key has.
+    """
 
-    return calls.groupBy("key").applyInPandas(decide, LIMITED)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, None
+        for pdf in batches:
+            allowed, wait = [], []
+            for key, at in zip(pdf["key"], pdf["at"]):
+                if key != now:
+                    now, last = key, None
+                last, out = _decide(last, [at], interval)
+                allowed.append(out[0][1])
+                wait.append(out[0][2])
+            yield pd.DataFrame({"key": pdf["key"], "at": pdf["at"], "allowed": allowed, "retry_after": wait})
+
+    rows = calls.select(F.col("key").cast("string").alias("key"), F.col("at").cast("double").alias("at")).where("key IS NOT NULL AND at IS NOT NULL")
+    return rows.repartition(tasks(calls.sparkSession), "key").sortWithinPartitions("key", "at").mapInPandas(walk, LIMITED)
