@@ -55,20 +55,20 @@ def upsert(stored: DataFrame, batch: DataFrame, order: str = "position") -> Data
     A known row takes the batch's values, nulls too, but for KEPT; new rows get ids after the largest, in order.
     Rows without external_id are always new. The batch has one row a key (last_of_batch).
     """
-    columns = [c for c in stored.columns]
-    keyed, free = batch.where(F.col("external_id").isNotNull()), batch.where(F.col("external_id").isNull())
-    s, b = stored.alias("s"), keyed.withColumn("_new", F.lit(True)).alias("b")
-    joined = s.join(b, (F.col("s.source") == F.col("b.source")) & (F.col("s.external_id") == F.col("b.external_id")), "full_outer")
-    known, new = F.col("s.id").isNotNull(), F.coalesce(F.col("b._new"), F.lit(False))
-    value = lambda c: F.when(known & (~new | F.lit(c in KEPT)), F.col(f"s.{c}")).otherwise(F.col(f"b.{c}") if c in batch.columns else F.lit(None))
-    outcome = F.when(known & new, "updated").when(known, "kept").otherwise("inserted")
-    merged = joined.select(*[value(c).alias(c) for c in columns], outcome.alias("outcome"), F.col(f"b.{order}").alias("_order"))
-    fresh = free.select(*[(F.col(c) if c in batch.columns else F.lit(None)).alias(c) for c in columns], F.lit("inserted").alias("outcome"), F.col(order).alias("_order"))
-    every = merged.unionByName(fresh)
-    top = every.where("outcome <> 'inserted'").agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    added = numbered(every.where("outcome = 'inserted'"), ["_order"], "_r")
-    added = added.crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_r")).drop("_top", "_r")
-    return every.where("outcome <> 'inserted'").unionByName(added).drop("_order")
+    columns = stored.columns
+    keys = ["source", "external_id"]
+    keyed = batch.where(F.col("external_id").isNotNull())
+    s, b = stored.alias("s"), keyed.select(*[c for c in columns if c in batch.columns], F.lit(True).alias("_new")).alias("b")
+    joined = s.join(b, (F.col("s.source") == F.col("b.source")) & (F.col("s.external_id") == F.col("b.external_id")), "left")
+    new = F.col("b._new").isNotNull()
+    value = lambda c: F.when(new, F.col(f"b.{c}") if c in batch.columns else F.lit(None)).otherwise(F.col(f"s.{c}")) if c not in KEPT else F.col(f"s.{c}")
+    known = joined.select(*[value(c).alias(c) for c in columns], F.when(new, "updated").otherwise("kept").alias("outcome"))
+    added = keyed.join(stored.select(*keys), keys, "left_anti").unionByName(batch.where(F.col("external_id").isNull()))
+    types = {f.name: f.dataType for f in stored.schema}
+    added = added.select(*[(F.col(c) if c in batch.columns else F.lit(None).cast(types[c])).alias(c) for c in columns if c != "id"], F.col(order).alias("_order"))
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    added = numbered(added, ["_order"], "_r").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_r"))
+    return known.unionByName(added.select(*columns, F.lit("inserted").alias("outcome")))
 
 
 def upsert_by(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
