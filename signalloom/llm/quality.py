@@ -145,7 +145,7 @@ FEW_WORDS = Rule("few_words", lambda b: b["n_words"] < 50)
 REPEATS = Rule("repeats", lambda b: 100 * b["n_repeat_words"] > 50 * b["n_words"])
 SYMBOL_SHARE = Rule("symbols", lambda b: 10 * b["n_symbols"] > b["n_words"])
 WORD_LENGTH = Rule("word_length", lambda b: (b["word_chars"] < 2 * b["n_words"]) | (b["word_chars"] > 15 * b["n_words"]))
-LINE_REPEATS = Rule("line_repeats", lambda b: 100 * b["n_dup_lines"] > 30 * b["n_lines"])
+LINE_REPEATS = Rule("line_repeats", lambda b: (b["n_dup_lines"] > 2) & (100 * b["n_dup_lines"] > 30 * b["n_lines"]))  # a short text may repeat a line or two
 CAPITALS = Rule("capitals", lambda b: 2 * b["n_upper"] > b["n_letters"])
 BASE = (FEW_WORDS, REPEATS)
 RULES = (*BASE, SYMBOL_SHARE, WORD_LENGTH, LINE_REPEATS, CAPITALS)
@@ -258,7 +258,7 @@ words AS (
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-         OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > n_letters AS rejected
+         OR n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > n_letters AS rejected
   FROM measured
 )"""
 

@@ -37,6 +37,13 @@ def test_cascade_verdict_does_not_depend_on_order():
     assert list(plain) == list(cascade(Batch(batch), list(reversed(RULES))) < 0) == [False] * 5 + [True]
 
 
+def test_a_line_or_two_may_repeat():
+    body = " ".join(f"word{i}" for i in range(60))
+    rows = [f"{body}\nsame line\nsame line", f"{body}\n" + "same line\n" * 4]
+    rule = [r for r in RULES if r.name == "line_repeats"]
+    assert list(cascade(Batch(pa.array(rows)), rule)) == [-1, 0]
+
+
 def test_later_rules_see_survivors_only():
     seen = []
     first = Rule("first", lambda b: np.array([True, False]))
