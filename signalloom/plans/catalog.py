@@ -354,6 +354,14 @@ def nearest_open(spark, d):
     return out.select("cluster_id", "incident_id", F.round("distance_m", 2).alias("distance_m"))
 
 
+@query("j02_nearest_open_all", _NEAR.replace("id % 5 = 0 AND ", "") + " SELECT cluster_id, arg_min(incident_id, {'d': distance_m, 'i': incident_id}) AS incident_id, round(min(distance_m), 2) AS distance_m FROM near WHERE distance_m <= 15000e0 GROUP BY cluster_id /* linked */")
+def nearest_open_all(spark, d):
+    """Every recent located signal's nearest incident; j02_nearest_open shows those of a fifth of the ids."""
+    found = recent(spark, d).selectExpr("id AS cluster_id", f"{cases.family('type')} AS family", "lat", "lon")
+    out = cluster.nearest_open(found, incidents(spark, d), 15000.0, stamp(SINCE))
+    return out.select("cluster_id", "incident_id", F.round("distance_m", 2).alias("distance_m"))
+
+
 _PAIRS = _REFRESH + f""", pairs AS (SELECT a.incident_id AS a, b.incident_id AS b FROM incidents a JOIN incidents b ON a.family = b.family AND a.incident_id < b.incident_id
   AND a.status IN ('active', 'controlled') AND b.status IN ('active', 'controlled') AND a.last_seen_at >= TIMESTAMP '{SINCE}' AND b.last_seen_at >= TIMESTAMP '{SINCE}' WHERE {geo.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 8000e0)"""
 

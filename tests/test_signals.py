@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalloom import policy as P
 from signalloom.functions import geo
 from signalloom.operators import alerts, cluster, lifecycle, score, store
-from signalloom.plans import passes
+from signalloom.plans import catalog, passes
 from signalloom.streaming import ingest
 from signalloom.tables import numbered
 
@@ -83,6 +83,14 @@ def test_clusters_match_brute_force(spark):
     assert cluster.clusters(df.limit(0)).collect() == []
 
 
+def test_every_recent_signal_gets_its_nearest_incident(spark):
+    d = "/root/testdata/sf0.001"
+    pairs = lambda name: {r["cluster_id"]: r["incident_id"] for r in catalog.QUERIES[name](spark, d).collect()}
+    every, fifth = pairs("j02_nearest_open_all"), pairs("j02_nearest_open")
+    assert {i % 5 for i in every} == {0, 1, 2, 3, 4}
+    assert {i: x for i, x in every.items() if i % 5 == 0} == fifth and len(every) > 3 * len(fifth) > 0
+
+
 def test_alert_matches(spark):
     said = [signal(1, "senapred", type="alert", lat=None, lon=None, text="Alerta Roja por incendio", commune="QUILPUE, Valpo"), signal(2, "senapred", type="alert", lat=None, lon=None, text="Alerta", commune="Viña del Mar Alto"), signal(3, "senapred", type="alert", lat=None, lon=None, text="Alerta en toda la región por fuego", commune="")]
     places = spark.createDataFrame([(10, "Quilpué", "fire"), (11, "Viña del Mar", "traffic"), (12, None, "fire")], "incident_id long, commune string, family string")
