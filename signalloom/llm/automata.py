@@ -119,7 +119,8 @@ _SPAN_SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "h", "s", "e")])
 
 
 def _encode(passages: list[bytes], sizes: list[int], owners: list[tuple[int, int, int]]) -> bytes:
-    body = (b"\0".join(passages), np.array(sizes, "<i8").tobytes(), np.array(owners, "<i8").reshape(-1, 3).T.tobytes())
+    # Words hold any byte but white space, NUL too.
+    body = (b"\n".join(passages), np.array(sizes, "<i8").tobytes(), np.array(owners, "<i8").reshape(-1, 3).T.tobytes())
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(body, protocol=5))
 
 
@@ -198,7 +199,7 @@ def later_spans(docs: DataFrame, width: int, heavy: int) -> DataFrame:
             joined, many, owners = pickle.loads(x)
             who = list(zip(*np.frombuffer(owners, "<i8").reshape(3, -1).tolist()))
             at = 0
-            for passage, n in zip(joined.split(b"\0"), np.frombuffer(many, "<i8").tolist()):
+            for passage, n in zip(joined.split(b"\n"), np.frombuffer(many, "<i8").tolist(), strict=True):
                 places.setdefault(passage, []).extend(who[at : at + n])
                 at += n
         spans: list[tuple[int, int, int, int]] = []

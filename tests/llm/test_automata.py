@@ -58,6 +58,12 @@ def test_few_words_of_vocabulary(spark):
     assert run(spark, rows, 16) == brute(rows, 16)
 
 
+def test_nul_inside_words(spark):
+    rows = corpus(6, [f"w{i}" for i in range(300)] + ["\0", "a\0b", "\0\0c"] * 20)
+    rows += [(700 + i, " ".join(f"n{i % 2}\0{k}" for k in range(60))) for i in range(6)]
+    assert run(spark, rows, 20) == brute(rows, 20)
+
+
 def test_empty(spark):
     assert run(spark, [], 50) == []
 
