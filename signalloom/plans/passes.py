@@ -51,7 +51,9 @@ def correlate(signals: DataFrame, incidents: DataFrame, links: DataFrame, now: s
     at = F.lit(now).cast("timestamp")
     back = lambda hours: at - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(round(hours % 1 * 60)))
     free = signals.where(F.col("incident_id").isNull() & F.col("lat").isNotNull() & (F.col("ts") >= back(policy.window_h)) & ~F.col("type").isin(*P.NOT_CORRELATABLE))
-    free = materialise(free.orderBy(F.col("confidence").desc(), "ts", "id").limit(policy.most_events).drop("incident_id"), "candidates")
+    if policy.most_events is not None:  # the others stay free for later passes
+        free = free.orderBy(F.col("confidence").desc(), "ts", "id").limit(policy.most_events)
+    free = materialise(free.drop("incident_id"), "candidates")
     members = materialise(cluster.clusters(free, policy.radius_m).join(free, "id"), "members")
     places = cluster.cluster_centroids(members).join(members.select("cluster_id", "family").distinct(), "cluster_id")
     near = cluster.nearest_open(places, incidents, policy.radius_m, back(policy.match_window_h))

@@ -102,12 +102,12 @@ UNSAFE_BELOW, CONFIRMED_ABOVE, EPSILON = 0.30, 0.60, 1e-6
 
 @dataclass(frozen=True)
 class Policy:
-    """Tunables of a correlation pass; hours, metres, counts."""
+    """Tunables of a correlation pass; hours, metres, counts. most_events: how many free signals a pass takes, the most confident first; None for all."""
 
     radius_m: float = 1500.0
     window_h: float = 4
     match_window_h: float = 12
-    most_events: int = 5000
+    most_events: int | None = None
     min_signals: int = 1
     stale_h: float = 12
     alert_valid_h: float = 24

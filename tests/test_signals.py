@@ -135,6 +135,16 @@ def test_a_second_pass_creates_nothing(spark):
     assert second.metrics["incidents_created"] == 0 and second.incidents.count() == 2
 
 
+def test_a_pass_takes_all_free_signals(spark):
+    rows = [signal(i, "conaf", 1.0, "wildfire", lat=-33.0 + 0.02 * (i % 40), lon=-71.5) for i in range(5100)]
+    policy = P.Policy(window_h=48, match_window_h=48)
+    df = spark.createDataFrame(rows, FIELDS)
+    got = passes.first_pass(spark, df, "2024-01-30 01:00:00", policy)
+    assert got.metrics["incidents_created"] == 40 and got.metrics["spatial_links"] == 5100
+    assert got.signals.where("incident_id IS NULL").count() == 0
+    assert sorted(r["incident_id"] for r in got.incidents.collect()) == list(range(1, 41))
+
+
 def test_rate_limits(spark):
     calls = spark.createDataFrame([("a", 0.0), ("a", 599.0), ("a", 600.0), ("b", 5.0), ("a", 700.5)], "key string, at double")
     got = {(r["key"], r["at"]): (r["allowed"], r["retry_after"]) for r in ingest.limit_batch(calls).collect()}
