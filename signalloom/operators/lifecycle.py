@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom import policy as P
 from signalloom.operators.listing import at_most
+from signalloom.tables import numbered
 
 
 def with_codes(incidents: DataFrame, year: int, last: int = 0) -> DataFrame:
     """Adds the folio INC-year-number, numbered on from `last` by first_seen_at and id: one pass's new incidents."""
-    n = F.row_number().over(Window.partitionBy(F.lit(year)).orderBy("first_seen_at", "incident_id")) + last
-    return incidents.withColumn("code", F.format_string(f"INC-{year}-%05d", n.cast("int")))
+    rows = numbered(incidents, ["first_seen_at", "incident_id"], "_number")
+    return rows.withColumn("code", F.format_string(f"INC-{year}-%05d", (F.col("_number") + last).cast("int"))).drop("_number")
 
 
 def expire(incidents: DataFrame, now, policy: P.Policy = P.Policy()) -> DataFrame:

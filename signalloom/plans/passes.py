@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom import policy as P
 from signalloom.functions import geo
 from signalloom.operators import alerts, cluster, lifecycle, score
-from signalloom.tables import materialise
+from signalloom.tables import materialise, numbered
 
 INCIDENTS = """incident_id long, first_seen_at timestamp, last_seen_at timestamp, sources array<string>, commune string, province string,
  is_official_confirmed boolean, source_count long, event_count long, breakdown array<struct<source:string,contribution:double,signals:long>>, confidence double,
@@ -60,7 +60,8 @@ def correlate(signals: DataFrame, incidents: DataFrame, links: DataFrame, now: s
     judged = cluster.open_or_defer(members, policy.min_signals).join(places, "cluster_id").join(near, "cluster_id", "left")
     judged = materialise(judged, "judged")
     top = incidents.agg(F.coalesce(F.max("incident_id"), F.lit(0))).first()[0]
-    fresh = judged.where("incident_id IS NULL AND opens").withColumn("incident_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster_id")) + F.lit(top).cast("long"))
+    fresh = numbered(judged.where("incident_id IS NULL AND opens").drop("incident_id"), ["cluster_id"], "_number")
+    fresh = fresh.withColumn("incident_id", F.col("_number") + F.lit(top).cast("long")).drop("_number")
     known = judged.where("incident_id IS NOT NULL").join(incidents.select("incident_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "incident_id")
     targets = known.select("cluster_id", "incident_id", "lat2", "lon2").unionByName(fresh.select("cluster_id", "incident_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")))
     spatial = members.join(targets, "cluster_id").select("incident_id", F.col("id").alias("event_id"), F.lit("spatial").alias("link_method"), F.lit(1.0).alias("link_confidence"), F.round(F.expr(geo.haversine("lat2", "lon2", "lat", "lon")), 2).alias("distance_m"), F.lit(None).cast("string").alias("matched_commune"))

@@ -145,6 +145,15 @@ def test_a_pass_takes_all_free_signals(spark):
     assert sorted(r["incident_id"] for r in got.incidents.collect()) == list(range(1, 41))
 
 
+def test_codes_are_numbered_in_ranges(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 1009).alias("incident_id"), F.expr("timestamp_seconds(1706572800 + id % 7)").alias("first_seen_at"))
+    got = lifecycle.with_codes(rows, 2024, 41)
+    windows = [x for x in got._jdf.queryExecution().toString().splitlines() if "row_number()" in x and "windowspecdefinition" in x]
+    assert windows and all("2024" not in x.split("windowspecdefinition")[1].split("incident_id")[0] for x in windows)
+    order = sorted(got.collect(), key=lambda r: (r["first_seen_at"], r["incident_id"]))
+    assert [r["code"] for r in order] == [f"INC-2024-{i:05d}" for i in range(42, 542)]
+
+
 def test_rate_limits(spark):
     calls = spark.createDataFrame([("a", 0.0), ("a", 599.0), ("a", 600.0), ("b", 5.0), ("a", 700.5)], "key string, at double")
     got = {(r["key"], r["at"]): (r["allowed"], r["retry_after"]) for r in ingest.limit_batch(calls).collect()}
