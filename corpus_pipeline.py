@@ -9,13 +9,13 @@ from signalloom.llm.automata import substring_dedup
 from signalloom.llm.jaccard import jaccard_join
 from signalloom.llm.mixing import mixed_documents
 from signalloom.llm.packing import best_fit_pack, default_tokenizer
-from signalloom.llm.quality import quality_filter
+from signalloom.llm.quality import ANY_SCRIPT, quality_filter
 from signalloom.llm.tables import materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_filter(docs)
+    return quality_filter(docs, ANY_SCRIPT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,10 @@ class Batch:
     def _n_letters(self) -> np.ndarray:
         return self._count(_LETTER)
 
+    def _n_any_letters(self) -> np.ndarray:
+        """Letters of any script."""
+        return pc.fill_null(pc.count_substring_regex(self.column, r"\pL"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def _lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owner, start and end of each line that has a word."""
         t = self.texts
@@ -151,6 +156,18 @@ BASE = (FEW_WORDS, REPEATS)
 RULES = (*BASE, SYMBOL_SHARE, WORD_LENGTH, LINE_REPEATS, CAPITALS)
 
 
+def _capitals(b: Batch) -> np.ndarray:
+    out = CAPITALS.rejects(b)
+    if out.any():  # letters of any script are counted where these of A-Z alone would reject
+        some = b.part(out)
+        out[out] = 2 * some["n_upper"] > some["n_any_letters"]
+    return out
+
+
+#: RULES with capitals measured against the letters of all scripts: a few acronyms in a Russian text weigh nothing.
+ANY_SCRIPT = (*RULES[:-1], Rule("capitals", _capitals))
+
+
 def cascade(batch: Batch, rules: list[Rule]) -> np.ndarray:
     """The place in `rules` of the first that rejects each row, -1 for kept rows; each rule sees what those before it kept."""
     first = np.full(len(batch), -1)

@@ -62,6 +62,14 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert pieces == Counter({d: n * (len(tok.encode(left[d]["text"], add_special_tokens=False).ids) + 1) for d, n in taken.items()})
 
 
+def test_clean_texts_of_other_scripts_stay(spark):
+    words = {"ru": "программа работает быстро каждый день", "el": "το πρόγραμμα τρέχει γρήγορα σήμερα", "ar": "يعمل البرنامج بسرعة كل يوم", "hi": "यह प्रोग्राम हर दिन चलता है"}
+    texts = [(k, " ".join(w + x[: i + 1] for i in range(4) for w in v.split() for x in v.split()) + " USB NATO") for k, v in words.items()]
+    loud = " ".join(f"LOUD{chr(65 + i % 26)}{chr(65 + i // 26)}" for i in range(80))
+    docs = spark.createDataFrame([(i, t, k, "s", len(t)) for i, (k, t) in enumerate([*texts, ("en", loud)])], SCHEMA)
+    assert sorted(r["lang"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()) == ["ar", "el", "hi", "ru"]
+
+
 def test_repeated_rows_mix_each_for_itself(spark):
     from signalloom.llm.mixing import mixed_documents
 
