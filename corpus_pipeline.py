@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalloom.llm.anchors import keyed
 from signalloom.llm.automata import substring_dedup
-from signalloom.llm.jaccard import jaccard_join
+from signalloom.llm.jaccard import first_rows
 from signalloom.llm.mixing import mixed_documents
 from signalloom.llm.packing import best_fit_pack, default_tokenizer
 from signalloom.llm.quality import ANY_SCRIPT, quality_filter
@@ -19,10 +20,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates; of rows of equal doc_id, one."""
-    joined = jaccard_join(docs.select("doc_id", "text"))
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates: that of least doc_id, then of least hash of the text, then the other columns.
+
+    Only texts make groups: unlike texts without a doc_id, or under one doc_id, all stay.
+    """
+    kept = first_rows(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    rows = keyed(docs, docs.columns).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "rest.*")
+    first = Window.partitionBy("_id", "_h").orderBy(*[c for c in docs.columns if c != "text"])
+    found = rows.join(kept.hint("shuffle_hash"), ["_id", "_h"], "left_semi").withColumn("_r", F.row_number().over(first))
+    return found.where("_r = 1").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -397,15 +397,9 @@ def family_links(families: DataFrame, known: DataFrame, texts: DataFrame, block:
     return rows.groupBy("component", "low", "high").applyInArrow(run, LINKS)
 
 
-def jaccard_join(docs: DataFrame, frequent: int = FREQUENT, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of (doc_id, text): set size and the least doc_id reachable by links.
-
-    Two documents link if 100 * intersection >= 75 * union of their sets of 5-word shingles, words lower-cased. Equal
-    sets are one class: one of each class is compared, and its other documents are tied to the class's least doc_id.
-    A null, empty or blank text has no shingles and stands alone. Rows of equal doc_id are one document of several
-    texts: they share a component. A null doc_id comes after all others. An empty table gives an empty result.
-    """
-    rows = keyed(docs)
+def linked_sets(rows: DataFrame, frequent: int, few: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of keyed() rows: classes(); the known sets (f1, f2, n, doc_id, h), each with its least row; those (f1, doc_id, h)
+    that may be linked; links (a, b) of f1 that connect what all links connect."""
     every = materialise(classes(rows), "classes")
     known = every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("cells").alias("cells"))
     known = materialise(known.select("f1", "f2", "n", "rep.doc_id", "rep.h", "cells"), "known")
@@ -415,7 +409,30 @@ def jaccard_join(docs: DataFrame, frequent: int = FREQUENT, few: int = FEW, bloc
     nodes = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).union(families.select("node")).distinct()
     reps = materialise(nodes.join(known, "f1").select("f1", "doc_id", "h"), "reps")
     texts = needed_texts(rows, reps)
-    links = verify(pairs, texts).union(family_links(families, known, texts, block))
+    return every, known, reps, verify(pairs, texts).union(family_links(families, known, texts, block))
+
+
+def first_rows(docs: DataFrame, frequent: int = FREQUENT, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """(doc_id, h), as keyed() has them, of the least row of each group of like texts.
+
+    Texts are grouped by links of their sets alone: rows of one doc_id, or without one, are as many documents as they
+    have texts. A null doc_id comes after all others; of one doc_id the least hash of the text is first. A text without
+    shingles stands alone.
+    """
+    every, known, _, links = linked_sets(keyed(docs), frequent, few, block)
+    joined = known.join(components(links), F.col("f1") == F.col("node"), "left").groupBy(F.coalesce("component", "f1")).agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    return joined.select("first.doc_id", "first.h").union(every.where("n = 0").select("doc_id", "h").distinct())
+
+
+def jaccard_join(docs: DataFrame, frequent: int = FREQUENT, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of (doc_id, text): set size and the least doc_id reachable by links.
+
+    Two documents link if 100 * intersection >= 75 * union of their sets of 5-word shingles, words lower-cased. Equal
+    sets are one class: one of each class is compared, and its other documents are tied to the class's least doc_id.
+    A null, empty or blank text has no shingles and stands alone. Rows of equal doc_id are one document of several
+    texts: they share a component. A null doc_id comes after all others. An empty table gives an empty result.
+    """
+    every, known, reps, links = linked_sets(keyed(docs), frequent, few, block)
     name = lambda x: reps.select(F.col("f1").alias(x), F.col("doc_id").alias(f"doc_{x}"))
     edges = links.join(name("a"), "a").join(name("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     same = every.where("n > 0").join(known.select("f1", "f2", "n", F.col("doc_id").alias("rep")), ["f1", "f2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

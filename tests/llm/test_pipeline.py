@@ -62,6 +62,19 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert pieces == Counter({d: n * (len(tok.encode(left[d]["text"], add_special_tokens=False).ids) + 1) for d, n in taken.items()})
 
 
+def test_unlike_texts_without_or_of_one_id_stay(spark):
+    some = lambda g: [f"g{g}w{i}" for i in range(80)]
+    near = lambda g, k: " ".join([*some(g)[:k], "other", *some(g)[k + 1 :]])
+    rows = [(None, " ".join(some(g))) for g in range(4)] + [(7, " ".join(some(g))) for g in range(4, 7)]
+    rows += [(1, near(0, 79)), (2, near(1, 79)), (7, near(4, 79)), (8, near(5, 79)), (None, " ".join(some(3))), (9, " ".join(some(9))), (9, " ".join(some(9)))]
+    docs = spark.createDataFrame([(d, t, "en", f"s{k}", len(t)) for k, (d, t) in enumerate(rows)], SCHEMA)
+    got = [corpus_pipeline.near_duplicates(spark, x, "").collect() for x in (docs, docs.repartition(3).orderBy(F.desc("source")))]
+    assert sorted(got[0], key=str) == sorted(got[1], key=str)
+    left = [(r["doc_id"], r["text"].split()[0][:2]) for r in got[0]]
+    assert sorted(left, key=str) == sorted([(1, "g0"), (2, "g1"), (None, "g2"), (None, "g3"), (7, "g4"), (7, "g5"), (7, "g6"), (9, "g9")], key=str)
+    assert {r["source"] for r in got[0] if r["doc_id"] == 9} == {"s12"} and {r["source"] for r in got[0] if r["text"].startswith("g3")} == {"s11"}
+
+
 def test_clean_texts_of_other_scripts_stay(spark):
     words = {"ru": "программа работает быстро каждый день", "el": "το πρόγραμμα τρέχει γρήγορα σήμερα", "ar": "يعمل البرنامج بسرعة كل يوم", "hi": "यह प्रोग्राम हर दिन चलता है"}
     texts = [(k, " ".join(w + x[: i + 1] for i in range(4) for w in v.split() for x in v.split()) + " USB NATO") for k, v in words.items()]
