@@ -86,13 +86,13 @@ def assembled(df: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
 
 
 def train(labelled: DataFrame, bound: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlModel:
-    """Fits the trees on (url, label 1.0 = block) with host, path and features, from at most `bound` labelled rows.
+    """Fits the trees on (url, label 1.0 = block) with host, path and features, from at most `bound` labelled urls.
 
-    The rows are the first by a hash of their url, the same on each run; suffix statistics come from the same rows,
+    Each url counts once, however many rows have it; they are the first by a hash, the same on each run; suffix statistics come from the same rows,
     so the tables that are broadcast have at most `bound` rows. With one class or no rows the verdict is constant:
     that class, or allow.
     """
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(bound).repartition(2, "url").persist()
+    rows = labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(bound).repartition(2, "url").persist()
     seen = sorted(r["label"] for r in rows.select("label").distinct().collect())
     if len(seen) < 2:
         rows.unpersist()

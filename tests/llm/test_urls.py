@@ -42,6 +42,13 @@ def test_constant_verdicts(spark):
     assert train(rows).constant == "block" and train(rows.limit(0)).constant == "allow"
 
 
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    urls = spark.createDataFrame([(f"http://a{i}.net/x",) for i in range(30)], "url string").orderBy(F.xxhash64("url")).collect()
+    rows = [(urls[0][0], 1.0)] * 60 + [(r[0], 0.0) for r in urls[1:]]
+    df = with_features(with_parts(spark.createDataFrame(rows, "url string, label double")))
+    assert train(df, bound=20, trees=1).trees is not None
+
+
 def test_entropy(spark):
     df = spark.createDataFrame([("abab",), ("",), ("aaaa",)], "t string")
     assert [round(r[0], 6) for r in df.select(entropy(F.col("t"))).collect()] == [1.0, 0.0, 0.0]
