@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.tables import NULL_ID, materialise, tasks
+from signalloom.llm.tables import NULL_ID, materialise
 from signalloom.llm.words import U, chunks, scramble, window_hashes
 
 
@@ -145,16 +145,32 @@ def undeltas(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=U)
 
 
+_ZSTD: dict[int, zstandard.ZstdCompressor] = {}
+
+
+def compress(raw: bytes, level: int = 1) -> bytes:
+    """A compressed block; a worker makes each compressor once, as that costs more than a small block."""
+    if level not in _ZSTD:
+        _ZSTD[level] = zstandard.ZstdCompressor(level=level)
+    return _ZSTD[level].compress(raw)
+
+
+def decompress(block: bytes) -> bytes:
+    if 0 not in _ZSTD:
+        _ZSTD[0] = zstandard.ZstdDecompressor()
+    return _ZSTD[0].decompress(block)
+
+
 def pack_arrays(*arrays: np.ndarray) -> bytes:
     """Integer arrays of one length, the first sorted, as one compressed block."""
     n = len(arrays[0])
     planes = [deltas(arrays[0].astype(U))] + [np.ascontiguousarray(x.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays[1:]]
-    return n.to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return n.to_bytes(8, "little") + compress(b"".join(planes))
 
 
 def unpack_arrays(block: bytes, count: int) -> list[np.ndarray]:
     n = int.from_bytes(block[:8], "little")
-    raw = zstandard.ZstdDecompressor().decompress(block[8:], max_output_size=8 * n * count + 1)
+    raw = decompress(block[8:])
     out = [undeltas(raw[: 8 * n])]
     for i in range(1, count):
         out.append(np.ascontiguousarray(np.frombuffer(raw[8 * n * i : 8 * n * (i + 1)], np.uint8).reshape(8, -1).T).view("<i8").ravel())
@@ -170,6 +186,17 @@ def keyed(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
 #: A key found this often is heavy: its windows are then compared one by one, each under its own hash.
 HEAVY = 20_000
 
+#: Text whose keys meet in one part, and segments that are compared in one; a part is what one Python call holds.
+PART_BYTES, PART_SEGMENTS = 16 << 20, 250_000
+#: Parts of a small table, so that many machines have work.
+LEAST_PARTS = 32
+
+
+def parts_of(amount: int, each: int) -> int:
+    """Parts by the amount of data, not by the number of shuffle partitions: each holds about the same at any size."""
+    return max(LEAST_PARTS, -(-amount // each))
+
+
 FOUND = "doc_id long, h long, first long, last long, core long, key long, total long"
 
 
@@ -178,9 +205,9 @@ def repeated(docs: DataFrame, find: Callable[[pa.Array], Segments], name: str) -
 
     A task counts its own keys first and sends one row per key, so a key that a third of all documents hold costs
     a row per task where keys meet; rows whose key repeats inside a task are found right there. Keys are dealt by
-    their hash into as many parts as there are shuffle partitions.
+    their hash into parts of about PART_BYTES of text.
     """
-    parts = tasks(docs.sparkSession)
+    parts = parts_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
     columns = ("doc_id", "h", "first", "last", "core", "total")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +261,23 @@ def repeated(docs: DataFrame, find: Callable[[pa.Array], Segments], name: str) -
     return materialise(sent.groupBy("part").applyInArrow(meet, FOUND), name)
 
 
-def heavy_keys(found: DataFrame, least: int = HEAVY) -> np.ndarray:
-    """The keys of at least `least` segments, sorted. There are at most (all segments / least) of them."""
-    rows = found.where(F.col("total") >= least).select("key").distinct().collect()
-    return np.sort(np.array([r["key"] for r in rows], np.int64).view(U))
+#: Up to so many heavy keys (8 bytes each) are broadcast; more are joined by key.
+FEW_HEAVY = 1_000_000
+
+
+def marked(found: DataFrame, least: int = HEAVY) -> DataFrame:
+    """found with `hot`: whether the segment's key is that of at least `least` segments."""
+    heavy = found.where(F.col("total") >= least).select("key").distinct()
+    n = heavy.count()
+    if not n:
+        return found.withColumn("hot", F.lit(False))
+    heavy = heavy.select("key", F.lit(True).alias("hot"))
+    return found.join(F.broadcast(heavy) if n <= FEW_HEAVY else heavy, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
 def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """keyed() rows that have repeated segments, with these as an array `found` of (first, last, core, key)."""
-    per = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last", "core", "key")).alias("found"))
+    """keyed() rows that have repeated segments, with these as an array `found` of (first, last, core, key, hot)."""
+    per = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "last", "core", "key", "hot")).alias("found"))
     return docs.join(per.hint("shuffle_hash"), ["doc_id", "h"])
 
 

@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.anchors import NULL_ID, Segments, Windows, blocks_by_part, heavy_keys, keyed, repeated, segments, struct_columns, union, window_keys, with_found, with_spans
-from signalloom.llm.tables import tasks
+from signalloom.llm.anchors import (
+    NULL_ID, PART_SEGMENTS, Segments, Windows, blocks_by_part, compress, decompress, keyed, marked, parts_of, repeated, segments, struct_columns, union, window_keys, with_found, with_spans,
+)
 from signalloom.llm.words import U, Texts, Words, chunks, grams
 
 #: Segments that a task gathers at a time, and words of a reference shard.
@@ -121,25 +121,35 @@ _SPAN_SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "h", "s", "e")])
 def _encode(passages: list[bytes], sizes: list[int], owners: list[tuple[int, int, int]]) -> bytes:
     # Words hold any byte but white space, NUL too.
     body = (b"\n".join(passages), np.array(sizes, "<i8").tobytes(), np.array(owners, "<i8").reshape(-1, 3).T.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(body, protocol=5))
+    return compress(pickle.dumps(body, protocol=5), 3)
 
 
 def later_spans(docs: DataFrame, width: int, heavy: int) -> DataFrame:
     """SPANS, in words, of windows that also start in a document of smaller doc_id, for rows of keyed()."""
     w = windows(width)
     found = repeated(docs, finder(width), "passage-keys")
-    hot = heavy_keys(found, heavy)
-    parts = tasks(docs.sparkSession)
+    parts = parts_of(found.count(), PART_SEGMENTS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # By key and passage: the places (doc_id, h, first) that have it.
         held: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         sizes: dict[bytes, int] = {}
+        # By passage of a heavy key: its windows' keys, and the places that have it.
+        hot_held: dict[bytes, tuple[list[int], list[tuple[int, int, int]]]] = {}
         count = 0
 
         def flush() -> pa.RecordBatch:
-            order = sorted(held)
             part, block, sure = [], [], []
+            for passage, (keys, own) in hot_held.items():
+                least = min(own)[0]
+                sure += [(d, h, at, at + len(keys) - 1 + width) for d, h, at in own if d != least]
+                own = [x for x in own if x[0] == least]
+                ws = passage.split(b" ")
+                for k, key in enumerate(keys):
+                    window = b" ".join(ws[k : k + width])
+                    sizes[window] = width
+                    held.setdefault((key, window), []).extend((d, h, at + k) for d, h, at in own)
+            order = sorted(held)
             for p, a, b in blocks_by_part(parts, np.array([k for k, _ in order], U)):
                 passages, many, owners = [], [], []
                 for k in order[a:b]:
@@ -154,44 +164,45 @@ def later_spans(docs: DataFrame, width: int, heavy: int) -> DataFrame:
                 block.append(_encode(passages, many, owners))
             if sure:
                 part.append(parts + len(order) % parts)
-                block.append(zstandard.ZstdCompressor(level=1).compress(np.array(sure, "<i8").T.tobytes()))
+                block.append(compress(np.array(sure, "<i8").T.tobytes()))
             held.clear()
             sizes.clear()
+            hot_held.clear()
             return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "block": pa.array(block, pa.binary())})
 
         for rows in chunks(batches):
             t = Texts(rows.column("text"))
             ids, hs = rows.column("doc_id").to_pylist(), rows.column("h").to_pylist()
-            offsets, (first, last, _, key) = struct_columns(rows.column("found"), ("first", "last", "core", "key"))
-            key = key.astype(np.int64).view(U)
-            is_hot = np.isin(key, hot)
-            key, first, last = key.tolist(), first.tolist(), last.tolist()
+            offsets, (first, last, _, key, hot) = struct_columns(rows.column("found"), ("first", "last", "core", "key", "hot"))
             tokens, bounds = (None, None)
-            if is_hot.any():
+            if hot.any():
                 words = Words(t)
                 tokens, bounds = words.hashes(), words.bounds
+            key, first, last, hot = key.astype(np.int64).view(U).tolist(), first.tolist(), last.tolist(), hot.tolist()
             for i in range(len(t)):
                 ws = t.text(i).split()
                 for j in range(offsets[i], offsets[i + 1]):
-                    if is_hot[j]:
-                        at = np.arange(first[j], last[j] + 1)
-                        cuts = zip(window_keys(tokens, at + bounds[i], w).tolist(), at.tolist(), (at + width).tolist())
+                    a, b = first[j], last[j] + width
+                    passage = b" ".join(ws[a:b])
+                    if hot[j]:
+                        if passage not in hot_held:
+                            # The windows of one passage are cut once, however many documents hold it.
+                            hot_held[passage] = window_keys(tokens, np.arange(a, b - width + 1) + bounds[i], w).tolist(), []
+                            count += b - a - width
+                        hot_held[passage][1].append((ids[i], hs[i], a))
                     else:
-                        cuts = [(key[j], first[j], last[j] + width)]
-                    for k, a, b in cuts:
-                        passage = b" ".join(ws[a:b])
                         sizes[passage] = b - a
-                        held.setdefault((k, passage), []).append((ids[i], hs[i], a))
-                        count += 1
-                if count >= RUN:
-                    yield flush()
-                    count = 0
-        if held:
+                        held.setdefault((key[j], passage), []).append((ids[i], hs[i], a))
+                    count += 1
+                    if count >= RUN:
+                        yield flush()
+                        count = 0
+        if count:
             yield flush()
 
     def match(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
-        raw = [zstandard.ZstdDecompressor().decompress(b) for b in blocks]
+        raw = [decompress(b) for b in blocks]
         if table.column("part")[0].as_py() >= parts:
             return pa.table(list(np.concatenate([np.frombuffer(x, "<i8").reshape(4, -1) for x in raw], axis=1)), schema=_SPAN_SCHEMA)
         places: dict[bytes, list[tuple[int, int, int]]] = {}
@@ -217,7 +228,7 @@ def later_spans(docs: DataFrame, width: int, heavy: int) -> DataFrame:
         columns = list(zip(*spans)) or [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], schema=_SPAN_SCHEMA)
 
-    sent = with_found(docs, found).mapInArrow(send, "part int, block binary")
+    sent = with_found(docs, marked(found, heavy)).mapInArrow(send, "part int, block binary")
     return sent.groupBy("part").applyInArrow(match, SPANS)
 
 

@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.anchors import NULL_ID, Segments, Windows, blocks_by_part, heavy_keys, keyed, repeated, segments, struct_columns, union, window_keys, with_found, with_spans
-from signalloom.llm.tables import tasks
+from signalloom.llm.anchors import (
+    NULL_ID, PART_SEGMENTS, Segments, Windows, blocks_by_part, compress, decompress, keyed, marked, parts_of, repeated, segments, struct_columns, union, window_keys, with_found, with_spans,
+)
 from signalloom.llm.words import U, Texts, chunks, scramble
 
 #: Suffixes that a task sorts at a time.
@@ -61,28 +61,28 @@ def common_prefixes(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def encode_run(suffixes: list[bytes], lefts: list[bytes], times: list[int], owners: list[tuple[int, int, int]]) -> bytes:
-    """A sorted run, front-coded and compressed: shared prefixes, what follows them, left contexts, how often, and owners (doc_id, h, core; core -1: none)."""
+def encode_runs(suffixes: list[bytes], lefts: list[bytes], times: list[int], owners: list[tuple[int, int, int]], cuts: list[tuple[int, int]]) -> list[bytes]:
+    """Sorted suffixes as one run for each cut [a, b), front-coded and compressed: shared prefixes, what follows them,
+    left contexts, how often, and owners (doc_id, h, core; core -1: none)."""
     shared = common_prefixes(suffixes)
-    rest = [s[n:] for s, n in zip(suffixes, shared)]
-    who = np.array(owners, np.int64).reshape(-1, 3)
-    body = (
-        shared.astype("<u2").tobytes(),
-        np.array([len(r) for r in rest], "<u2").tobytes(),
-        b"".join(rest),
-        np.array([len(x) for x in lefts], "<u2").tobytes(),
-        b"".join(lefts),
-        np.array(times, "<u4").tobytes(),
-        who.T.astype("<i8").tobytes(),
-    )
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(body, protocol=5))
+    shared[[a for a, _ in cuts]] = 0
+    rest = [s[n:] for s, n in zip(suffixes, shared.tolist())]
+    who = np.array(owners, "<i8").reshape(-1, 3)
+    times = np.array(times, "<u4")
+    rest_size, left_size = (np.array([len(x) for x in y], "<u2") for y in (rest, lefts))
+    shared = shared.astype("<u2")
+    out = []
+    for a, b in cuts:
+        body = (shared[a:b].tobytes(), rest_size[a:b].tobytes(), b"".join(rest[a:b]), left_size[a:b].tobytes(), b"".join(lefts[a:b]), times[a:b].tobytes(), who[a:b].T.tobytes())
+        out.append(compress(pickle.dumps(body, protocol=5), 3))
+    return out
 
 
 class Run:
     """A decoded run; strings are put together as the merge reaches them."""
 
     def __init__(self, block: bytes):
-        shared, size, rest, left_size, left, times, owners = pickle.loads(zstandard.ZstdDecompressor().decompress(block))
+        shared, size, rest, left_size, left, times, owners = pickle.loads(decompress(block))
         self.shared = np.frombuffer(shared, "<u2").tolist()
         self.times = np.frombuffer(times, "<u4").astype(np.int64)
         self.owners = np.frombuffer(owners, "<i8").reshape(3, -1)
@@ -209,62 +209,75 @@ def repeated_spans(docs: DataFrame, width: int, heavy: int) -> DataFrame:
     """SPANS of the bytes that a window found twice covers, for rows of keyed()."""
     w = windows(width)
     found = repeated(docs, finder(width), "suffix-keys")
-    hot = heavy_keys(found, heavy)
-    parts = tasks(docs.sparkSession)
+    parts = parts_of(found.count(), PART_SEGMENTS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], list[tuple[int, int, int]]] = {}
+        # By suffix and left context: how often, and the owners (doc_id, h, core).
+        held: dict[tuple[bytes, bytes], list] = {}
+        # By text of a heavy key's segment: the owners (doc_id, h, first).
+        hot_held: dict[bytes, list[tuple[int, int, int]]] = {}
         count = 0
 
         def flush() -> pa.RecordBatch:
+            sure = []
+            for text, own in hot_held.items():
+                # The windows of one text are cut once, however many documents hold it.
+                if len(own) > 1:
+                    sure += [(d, h, at, at + len(text)) for d, h, at in own]
+                n = len(text) - width + 1
+                one = np.frombuffer(text, np.uint8)
+                for k, x in enumerate(window_keys(eight(one) if w.step == 8 else one.astype(U), np.arange(n), w).tolist()):
+                    mine = held.setdefault((x.to_bytes(8, "big") + text[k : k + width], b""), [0])
+                    mine[0] += len(own)
+                    if len(own) == 1:
+                        mine.append((own[0][0], own[0][1], own[0][2] + k))
             order = sorted(held)
             keys = np.array([int.from_bytes(k[0][:8], "big") for k in order], U)
-            part, block = [], []
-            for p, a, b in blocks_by_part(parts, keys):
-                own = [held[k] for k in order[a:b]]
-                # A segment that this task holds twice is repeated whole: its owners need no merge, only others do.
-                alone = [x[0] if len(x) == 1 else (0, 0, -1) for x in own]
-                part.append(p)
-                block.append(encode_run([k[0] for k in order[a:b]], [k[1] for k in order[a:b]], [min(len(x), 2) for x in own], alone))
-            sure = [(d, h, c - len(k[1]), c + len(k[0]) - 8) for k, x in held.items() if len(x) > 1 for d, h, c in x]
+            cuts = blocks_by_part(parts, keys)
+            # A segment that this task holds twice is repeated whole: its owners need no merge, only others do.
+            own = [held[k] for k in order]
+            alone = [x[1] if x[0] == 1 else (0, 0, -1) for x in own]
+            part = [p for p, _, _ in cuts]
+            block = encode_runs([k[0] for k in order], [k[1] for k in order], [min(x[0], 2) for x in own], alone, [(a, b) for _, a, b in cuts])
+            sure += [(d, h, c - len(k[1]), c + len(k[0]) - 8) for k, x in zip(order, own) if x[0] > 1 for d, h, c in x[1:]]
             if sure:
                 part.append(parts + len(order) % parts)
-                block.append(zstandard.ZstdCompressor(level=1).compress(np.array(sure, "<i8").T.tobytes()))
+                block.append(compress(np.array(sure, "<i8").T.tobytes()))
             held.clear()
+            hot_held.clear()
             return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "block": pa.array(block, pa.binary())})
 
         for rows in chunks(batches):
             t = Texts(rows.column("text"))
             ids, hs = rows.column("doc_id").to_pylist(), rows.column("h").to_pylist()
-            offsets, (first, last, core, key) = struct_columns(rows.column("found"), ("first", "last", "core", "key"))
-            key = key.astype(np.int64).view(U)
-            is_hot = np.isin(key, hot)
-            prefix = [x.to_bytes(8, "big") for x in key.tolist()]
-            first, last, core = first.tolist(), last.tolist(), core.tolist()
+            offsets, (first, last, core, key, hot) = struct_columns(rows.column("found"), ("first", "last", "core", "key", "hot"))
+            prefix = [x.to_bytes(8, "big") for x in key.astype(np.int64).view(U).tolist()]
+            first, last, core, hot = first.tolist(), last.tolist(), core.tolist(), hot.tolist()
             for i in range(len(t)):
                 text = t.text(i)
                 for j in range(offsets[i], offsets[i + 1]):
-                    if is_hot[j]:
-                        one = np.frombuffer(text, np.uint8)[first[j] : last[j] + width]
-                        values = eight(one) if w.step == 8 else one.astype(U)
-                        for k, x in enumerate(window_keys(values, np.arange(last[j] - first[j] + 1), w).tolist()):
-                            at = first[j] + k
-                            held.setdefault((x.to_bytes(8, "big") + text[at : at + width], b""), []).append((ids[i], hs[i], at))
-                            count += 1
+                    if hot[j]:
+                        piece = text[first[j] : last[j] + width]
+                        if piece not in hot_held:
+                            hot_held[piece] = []
+                            count += len(piece) - width
+                        hot_held[piece].append((ids[i], hs[i], first[j]))
                     else:
                         c = core[j]
-                        held.setdefault((prefix[j] + text[c : last[j] + width], text[first[j] : c][::-1]), []).append((ids[i], hs[i], c))
-                        count += 1
-                if count >= RUN:
-                    yield flush()
-                    count = 0
-        if held:
+                        mine = held.setdefault((prefix[j] + text[c : last[j] + width], text[first[j] : c][::-1]), [0])
+                        mine[0] += 1
+                        mine.append((ids[i], hs[i], c))
+                    count += 1
+                    if count >= RUN:
+                        yield flush()
+                        count = 0
+        if count:
             yield flush()
 
     def merge(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
         if table.column("part")[0].as_py() >= parts:
-            raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i8").reshape(4, -1) for b in blocks]
+            raw = [np.frombuffer(decompress(b), "<i8").reshape(4, -1) for b in blocks]
             return pa.table(list(np.concatenate(raw, axis=1)), schema=_SPAN_SCHEMA)
         runs = [Run(b) for b in blocks]
         run, place, shared = (np.array(x, np.int64) for x in zip(*LoserTree(runs).merged()))
@@ -296,7 +309,7 @@ def repeated_spans(docs: DataFrame, width: int, heavy: int) -> DataFrame:
         row, low, high, core = row[own], low[own], high[own], core[own]
         return pa.table([owners[0][row], owners[1][row], core - high + 1, core - low + width], schema=_SPAN_SCHEMA)
 
-    sent = with_found(docs, found).mapInArrow(send, "part int, block binary")
+    sent = with_found(docs, marked(found, heavy)).mapInArrow(send, "part int, block binary")
     return sent.groupBy("part").applyInArrow(merge, SPANS)
 
 

@@ -8,8 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from signalloom.llm.anchors import Windows, segments
-from signalloom.llm.suffixes import LoserTree, Run, common_prefixes, encode_run, finder, suffix_dedup
+from signalloom.llm.anchors import HEAVY, Windows, segments
+from signalloom.llm.suffixes import LoserTree, Run, common_prefixes, encode_runs, finder, suffix_dedup
 
 
 def brute(rows, width):
@@ -64,13 +64,24 @@ def test_production_width(spark):
     assert run(spark, rows, 200) == brute(rows, 200)
 
 
+def test_a_passage_of_more_documents_than_heavy_at_production_width(spark):
+    rng = random.Random(5)
+    hot = "".join(rng.choice("abcdefg ") for _ in range(230))
+    rows = []
+    for i in range(HEAVY + 300):
+        cut = hot[rng.choice((0, 0, 0, 3, 17)) :]
+        rows.append((i, f"{i} {cut}" if i % 3 else f"{cut[: rng.choice((199, 205, 230))]} {i * 7919 % 10007}"))
+    rows += [(HEAVY + 400, f"{hot} - {hot}"), (None, hot), (HEAVY + 401, "x" * 500)]
+    assert run(spark, rows, 200) == brute(rows, 200)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=6).map(lambda b: bytes(c % 3 for c in b)), max_size=12), min_size=1, max_size=6))
 def test_loser_tree_sorts_and_knows_prefixes(lists):
     runs = [sorted(x) for x in lists if x]
     if not runs:
         return
-    coded = [Run(encode_run(x, [b""] * len(x), [1] * len(x), [(0, 0, 0)] * len(x))) for x in runs]
+    coded = [Run(encode_runs(x, [b""] * len(x), [1] * len(x), [(0, 0, 0)] * len(x), [(0, len(x))])[0]) for x in runs]
     got = list(LoserTree(coded).merged())
     strings = [runs[r][p] for r, p, _ in got]
     assert strings == sorted(s for x in runs for s in x)
