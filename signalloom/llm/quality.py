@@ -20,8 +20,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
-_LETTER = _UPPER.copy()
-_LETTER[97:123] = True
+_LATIN = _UPPER.copy()
+_LATIN[97:123] = True
 
 
 class Batch:
@@ -78,10 +78,10 @@ class Batch:
     def _n_upper(self) -> np.ndarray:
         return self._count(_UPPER)
 
-    def _n_letters(self) -> np.ndarray:
-        return self._count(_LETTER)
+    def _n_latin(self) -> np.ndarray:
+        return self._count(_LATIN)
 
-    def _n_any_letters(self) -> np.ndarray:
+    def _n_letters(self) -> np.ndarray:
         """Letters of any script."""
         return pc.fill_null(pc.count_substring_regex(self.column, r"\pL"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -150,22 +150,21 @@ FEW_WORDS = Rule("few_words", lambda b: b["n_words"] < 50)
 REPEATS = Rule("repeats", lambda b: 100 * b["n_repeat_words"] > 50 * b["n_words"])
 SYMBOL_SHARE = Rule("symbols", lambda b: 10 * b["n_symbols"] > b["n_words"])
 WORD_LENGTH = Rule("word_length", lambda b: (b["word_chars"] < 2 * b["n_words"]) | (b["word_chars"] > 15 * b["n_words"]))
-LINE_REPEATS = Rule("line_repeats", lambda b: (b["n_dup_lines"] > 2) & (100 * b["n_dup_lines"] > 30 * b["n_lines"]))  # a short text may repeat a line or two
-CAPITALS = Rule("capitals", lambda b: 2 * b["n_upper"] > b["n_letters"])
-BASE = (FEW_WORDS, REPEATS)
-RULES = (*BASE, SYMBOL_SHARE, WORD_LENGTH, LINE_REPEATS, CAPITALS)
+LINE_REPEATS = Rule("line_repeats", lambda b: 100 * b["n_dup_lines"] > 30 * b["n_lines"])  # the published share of Gopher's rules
 
 
 def _capitals(b: Batch) -> np.ndarray:
-    out = CAPITALS.rejects(b)
-    if out.any():  # letters of any script are counted where these of A-Z alone would reject
+    """More than half of the letters, of whatever script, are A-Z: a few acronyms in a Russian text weigh nothing."""
+    out = 2 * b["n_upper"] > b["n_latin"]
+    if out.any():  # all letters are counted only where these of A-Z alone would reject
         some = b.part(out)
-        out[out] = 2 * some["n_upper"] > some["n_any_letters"]
+        out[out] = 2 * some["n_upper"] > some["n_letters"]
     return out
 
 
-#: RULES with capitals measured against the letters of all scripts: a few acronyms in a Russian text weigh nothing.
-ANY_SCRIPT = (*RULES[:-1], Rule("capitals", _capitals))
+CAPITALS = Rule("capitals", _capitals)
+BASE = (FEW_WORDS, REPEATS)
+RULES = (*BASE, SYMBOL_SHARE, WORD_LENGTH, LINE_REPEATS, CAPITALS)
 
 
 def cascade(batch: Batch, rules: list[Rule]) -> np.ndarray:
@@ -270,12 +269,12 @@ words AS (
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\pL]', '', 'g')) AS n_letters
   FROM lined l LEFT JOIN repeated r ON l.doc_id = r.doc_id
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-         OR n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > n_letters AS rejected
+         OR 100 * n_dup_lines > 30 * n_lines OR 2 * n_upper > n_letters AS rejected
   FROM measured
 )"""
 

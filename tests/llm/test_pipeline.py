@@ -19,8 +19,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def brute_kept(text):
     n, chars, symbols, dup, repeat = brute_measures(text)
     lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
-    upper, letters = len(re.findall("[A-Z]", text or "")), len(re.findall("[A-Za-z]", text or ""))
-    return not (n < 50 or 2 * repeat > n or 10 * symbols > n or chars < 2 * n or chars > 15 * n or (dup > 2 and 100 * dup > 30 * lines) or 2 * upper > letters)
+    upper, letters = len(re.findall("[A-Z]", text or "")), sum(c.isalpha() for c in text or "")
+    return not (n < 50 or 2 * repeat > n or 10 * symbols > n or chars < 2 * n or chars > 15 * n or 100 * dup > 30 * lines or 2 * upper > letters)
 
 
 def documents(spark, n=120):
