@@ -37,21 +37,39 @@ def vigent_alerts(signals: DataFrame, since) -> DataFrame:
     return signals.where(F.col("lat").isNull() & F.col("type").isin("alert", "evacuation") & F.col("source").isin("senapred", "municipality") & (F.col("updated_at") >= F.lit(since)))
 
 
+def held_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(p, q): distinct names of left (p) and right (q) that are equal, or of which one holds the other, p of LEAST_CONTAINED letters or more.
+
+    A name that lies in another lies there with its first letters: the pieces of the longer name, of as many letters
+    or of all letters of a shorter name, meet these by a hash join, and the names are then compared.
+    """
+    n = P.LEAST_CONTAINED
+
+    def pieces(c: str, sizes: list[int]):
+        cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+        return F.array_distinct(F.flatten(F.array(*[cut(k) for k in sizes])))
+
+    left, right = left.where("p <> ''"), right.where("q <> ''")
+    long = left.where(F.length("p") >= n)
+    p_in_q = long.withColumn("k", F.substring("p", 1, n)).join(right.withColumn("k", F.explode(pieces("q", [n]))), "k")
+    q_in_p = long.withColumn("k", F.explode(pieces("p", list(range(1, n + 1))))).join(right.withColumn("k", F.substring("q", 1, n)), "k")
+    held = p_in_q.union(q_in_p).where(F.contains(F.col("q"), F.col("p")) | F.contains(F.col("p"), F.col("q"))).select("p", "q")
+    return held.union(left.join(right, F.col("p") == F.col("q")).select("p", "q")).distinct()
+
+
 def match_alerts(alerts: DataFrame, incidents: DataFrame, regional: bool = False) -> DataFrame:
     """(alert_id, incident_id, matched_commune, link_confidence): text links, one a pair, by its best commune.
 
     Names match if equal without accents and case, or if one holds the other and the alert's name has five letters
-    or more. Equal names meet by a hash join; the others compare the distinct names of both sides, which are as many as
-    a country's communes, never rows with rows. An alert of unknown family fits any incident, for less.
+    or more (held_names). An alert of unknown family fits any incident, for less. With `regional`, an alert of a whole
+    area is linked to every incident that it fits: as many rows as there are such pairs, by what it means.
     """
     views = alert_views(alerts)
     fits = lambda: (F.col("a.family") == "unknown") | (F.col("a.family") == F.col("i.family"))
     plain = F.expr(cases.plain_text("name"))
     named = views.where(~F.col("regional")).select("alert_id", "family", F.posexplode("communes").alias("pos", "name")).withColumn("plain", plain)
     placed = incidents.where("commune IS NOT NULL AND commune <> ''").withColumn("name", F.col("commune")).withColumn("plain", plain)
-    left, right = named.select(F.col("plain").alias("p")).distinct(), placed.select(F.col("plain").alias("q")).distinct()
-    holds = F.contains(F.col("q"), F.col("p")) | F.contains(F.col("p"), F.col("q"))
-    names = left.join(right, (F.col("p") == F.col("q")) | ((F.length("p") >= P.LEAST_CONTAINED) & holds)).where("p <> '' AND q <> ''")
+    names = held_names(named.select(F.col("plain").alias("p")).distinct(), placed.select(F.col("plain").alias("q")).distinct())
     names = names.withColumn("weight", F.when(F.col("p") == F.col("q"), P.LINK_EXACT).otherwise(P.LINK_CONTAINED))
     pairs = named.alias("a").join(names, F.col("a.plain") == F.col("p")).join(placed.alias("i"), (F.col("q") == F.col("i.plain")) & fits())
     best = pairs.groupBy(F.col("a.alert_id").alias("alert_id"), F.col("i.incident_id").alias("incident_id")).agg(

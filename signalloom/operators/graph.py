@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.tables import materialise
+from signalloom.tables import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,8 +36,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         if not seen[0]:
             break
-        now = materialise(_star(_star(now, True), False), "edges")
+        before, now = now, materialise(_star(_star(now, True), False), "edges")
         then, seen = seen, mark(now)
+        if hasattr(before, "_written"):  # a round's edges are not read once the next ones are written
+            discard(before)
         if then == seen:
             break
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,36 @@ def with_weights(signals: DataFrame) -> DataFrame:
     return signals.withColumns({"weight": weight, "decay": rule("decay"), "ceiling": rule("ceiling"), "confirming": rule("confirming")})
 
 
-#: Ranks of a source's signals that are summed; every source that decays does so by half at least, so later ranks add less than a double can hold.
-RANKS = 64
+def ranks_that_count(rules: dict[str, P.Rule] = P.RULES, least: float = 2.0**-60) -> int:
+    """How many of a source's signals can add to its contribution.
+
+    With decay, all ranks from this one on add less than `least` together; without, the cap is reached. A source
+    without decay and without a least weight would have no such rank, and is refused.
+    """
+    most = 1
+    for name, rule in rules.items():
+        if rule.ceiling <= 0 or rule.decay <= 0:
+            continue
+        weight = max(rule.most, rule.ceiling)
+        if rule.decay >= 1:
+            if rule.least <= 0:
+                raise ValueError(f"every signal of {name} counts: no rank bounds its sum")
+            need = math.ceil(rule.ceiling / rule.least)
+        else:
+            need = math.ceil(math.log(least * (1 - rule.decay) / weight, rule.decay))
+        most = max(most, need)
+    return most
+
+
+#: Ranks of a source's signals that are summed.
+RANKS = ranks_that_count()
 
 
 def contributions(signals: DataFrame) -> DataFrame:
     """(incident_id, source, signals, contribution, confirming): weights by rank, decayed, summed and capped.
 
     A source's signals of one incident are ranked by weight, which needs no order among equal weights. All signals are
-    counted; the sum takes the RANKS first, which are picked before rows are shuffled, so that a busy incident and
+    counted; the sum takes the RANKS first, as later ones add nothing, which are picked before rows are shuffled, so that a busy incident and
     source costs a task as many rows. A source without decay reaches its cap, its weight, with the first.
     """
     keys = ["incident_id", "source"]

@@ -173,3 +173,33 @@ def test_streamed_ingest(spark, tmp_path):
         ingest.ingest(spark, str(source), schema, *paths, "2024-01-31 00:00:00").awaitTermination()
         rows = store.Snapshots(spark, paths[0]).read().collect()
         assert [(r["id"], r["commune"]) for r in rows] == [(1, commune)] and rows[0]["confidence"] == pytest.approx(0.4)
+
+
+def test_names_that_hold_one_another(spark):
+    left = ["valparaiso", "san", "limache", "til til", "la calera", "vina del mar", "abcab", ""]
+    right = ["valparaiso", "provincia de valparaiso", "san pedro", "lim", "a", "ti", "calera", "mar", "til til", "abcabcab", "limache viejo", ""]
+    frame = lambda c, names: spark.createDataFrame([(n,) for n in names], f"{c} string")
+    got = {tuple(r) for r in alerts.held_names(frame("p", left), frame("q", right)).collect()}
+    assert got == {(p, q) for p in left for q in right if p and q and (p == q or (len(p) >= 5 and (p in q or q in p)))}
+
+
+def test_ranks_that_count():
+    from signalloom import policy
+
+    assert 30 <= score.RANKS <= 100
+    slow = policy.Rule(0.1, 0.9, 0.95, 0.9)
+    n = score.ranks_that_count({"slow": slow})
+    assert 0.9 * sum(0.95**r for r in range(n, n + 5000)) <= 2.0**-59 and n > 500
+    assert score.ranks_that_count({"flat": policy.Rule(0.25, 0.5, 1, 0.9)}) == 4
+    with pytest.raises(ValueError):
+        score.ranks_that_count({"flat": policy.Rule(0, 0.5, 1, 0.9)})
+
+
+def test_no_folder_of_one_machine_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from signalloom.tables import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(far)
