@@ -18,8 +18,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.tables import NULL_ID, materialise
+from signalloom.llm.tables import NULL_ID
 from signalloom.llm.words import U, chunks, scramble, window_hashes
+from signalloom.tables import materialise
 
 
 @dataclass(frozen=True)

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.llm.anchors import NULL_ID, blocks_by_part, keyed, pack_arrays, unpack_arrays
-from signalloom.llm.components import components
+from signalloom.operators.graph import components
 from signalloom.llm.shingles import Sets
-from signalloom.llm.tables import materialise, tasks
+from signalloom.tables import materialise, tasks
 from signalloom.llm.words import U, chunks, scramble
 
 #: Least similarity, as 100 * intersection >= PERCENT * union.

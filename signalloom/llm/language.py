@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,51 +10,54 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.words import chunks
+from signalloom.llm.words import U, chunks, grams, scramble
 
 #: Longest n-gram, and n-grams in a profile.
 LONGEST, PROFILE = 5, 300
-#: Bits of a symbol in an n-gram's code; the code's length stands above them.
-_BITS = 12
+_TABLE: dict[str, np.ndarray] = {}
 
-_ALPHA: dict[str, np.ndarray] = {}
+
+def _kinds() -> np.ndarray:
+    """By code point: 2 for letters, 1 for the marks that letters carry, 0 for all else."""
+    if "kinds" not in _TABLE:
+        kind = {"L": 2, "M": 1}
+        _TABLE["kinds"] = np.array([kind.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.int8)
+    return _TABLE["kinds"]
 
 
 def _symbols(text: str) -> np.ndarray:
-    """Lower-cased letters as 12-bit symbols, each run of other characters (and both ends) as one 0."""
-    if "bmp" not in _ALPHA:
-        _ALPHA["bmp"] = np.array([chr(i).isalpha() if not 0xD800 <= i < 0xE000 else False for i in range(65536)])
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _ALPHA["bmp"][np.minimum(points, 65535)]
-    if len(points) and points.max() >= 65536:
-        high = points >= 65536
-        letter[high] = [chr(p).isalpha() for p in points[high]]
-    low = (points & ((1 << _BITS) - 1)).astype(np.int64)
+    """Code points of the lower-cased letters and their marks, each run of other characters (and both ends) as one 0; empty without letters."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    kind = _kinds()[points]
+    if not (kind == 2).any():
+        return np.zeros(0, np.int64)
     out = np.zeros(len(points) + 2, np.int64)
-    out[1:-1] = np.where(letter, np.where(low == 0, 1, low), 0)
+    out[1:-1] = np.where(kind > 0, points, 0)
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
 
 
 def gram_codes(text: str) -> np.ndarray:
-    """Codes of all n-grams of 1 to LONGEST symbols inside words, one neighbouring gap included; empty without letters."""
+    """Codes of all n-grams of 1 to LONGEST symbols inside words, one neighbouring gap included; empty without letters.
+
+    A code is a 64-bit hash of the symbols' whole code points.
+    """
     s = _symbols(text)
-    if not s.any():
+    if not len(s):
         return np.zeros(0, np.int64)
     gap = s == 0
-    found, code, inner = [s[~gap] | (1 << (_BITS * LONGEST))], s, np.zeros(len(s), bool)
+    symbols = s.astype(U)
+    code = grams(symbols, 1)
+    found, inner = [code[~gap]], np.zeros(len(s), bool)
     for n in range(2, LONGEST + 1):
         m = len(s) - n + 1
         if m <= 0:
             break
-        code = (code[:m] << _BITS) | s[n - 1 :]
-        if n > 2:
-            inner = inner[:m] | gap[n - 2 : n - 2 + m]
-        else:
-            inner = np.zeros(m, bool)
-        found.append(code[~inner] | (n << (_BITS * LONGEST)))
-    return np.concatenate(found)
+        code = scramble(code[:m] * U(n | 1) + symbols[n - 1 :])
+        inner = inner[:m] | gap[n - 2 : n - 2 + m] if n > 2 else np.zeros(m, bool)
+        found.append(code[~inner])
+    return np.concatenate(found).view(np.int64)
 
 
 def ranked_codes(codes: np.ndarray, most: int = PROFILE) -> np.ndarray:
@@ -70,7 +74,7 @@ def profiles(labelled: DataFrame, per_lang: int = 1000) -> dict[str, np.ndarray]
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    sample = labelled.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.col("_n") < F.lit(per_lang << 20)).select("lang", "text")
+    sample = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.col("_n") < F.lit(per_lang << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunks(batches):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.tables import materialise, ranked
+from signalloom.llm.tables import ranked
+from signalloom.tables import materialise
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.tables import materialise, ranked
+from signalloom.llm.tables import ranked
+from signalloom.tables import materialise
 from signalloom.llm.words import chunks
 
 #: A text on which both libraries must agree before the quicker one is used.
@@ -133,6 +134,10 @@ def plan(histogram: dict[int, int], most: int = 2048) -> tuple[list[tuple[int, i
     return runs, sequences
 
 
+#: Up to so many runs of slots (40 bytes each) are broadcast; more are joined by length.
+FEW_RUNS = 100_000
+
+
 def pack(pieces: DataFrame, most: int = 2048, salts: int = 64) -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to `most` tokens.
 
@@ -148,7 +153,7 @@ def pack(pieces: DataFrame, most: int = 2048, salts: int = 64) -> DataFrame:
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
     placed = ranked(salted, ["length"], ["_salt"], [F.col(c).asc_nulls_last() for c in ("doc_id", "piece", "ids_crc32")], "_rank")
     fits = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_count"))
-    return placed.join(F.broadcast(slots), fits).withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_from")).drop("_length", "_from", "_count", "_sequence", "_rank", "_salt")
+    return placed.join(F.broadcast(slots) if len(runs) <= FEW_RUNS else slots, fits).withColumn("sequence_id", F.col("_sequence") + F.col("_rank") - F.col("_from")).drop("_length", "_from", "_count", "_sequence", "_rank", "_salt")
 
 
 def best_fit_pack(docs: DataFrame, path: str, most: int = 2048) -> DataFrame:

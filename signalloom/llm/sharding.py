@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalloom.llm.tables import materialise, ranked
+from signalloom.llm.tables import ranked
+from signalloom.tables import materialise
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values: (verdict, host, path) of the rules.
@@ -65,6 +65,16 @@ def suffix_rates(labelled: DataFrame, key: str, prior: float = 4.0) -> DataFrame
     return labelled.groupBy(F.col(key).alias(f"{key}_k")).agg(((F.sum("label") + prior / 2) / (F.count(F.lit(1)) + prior)).alias(f"{key}_rate"))
 
 
+def with_fold_rates(labelled: DataFrame, key: str, prior: float = 4.0, folds: int = 5) -> DataFrame:
+    """Adds f{key}: the suffix's rate among the URLs of the other folds, so that no URL's own label is in its features."""
+    rows = labelled.withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(folds)).cast("int"))
+    own = Window.partitionBy(key, "_fold")
+    every = Window.partitionBy(key)
+    blocked = F.sum("label").over(every) - F.sum("label").over(own)
+    n = F.count(F.lit(1)).over(every) - F.count(F.lit(1)).over(own)
+    return rows.withColumn(f"f{key}", (blocked + prior / 2) / (n + prior)).drop("_fold")
+
+
 class UrlModel:
     """Trained trees with their suffix statistics."""
 
@@ -82,15 +92,19 @@ class UrlModel:
 def assembled(df: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
     for key, table in rates.items():
         df = df.join(F.broadcast(table), F.col(key) == F.col(f"{key}_k"), "left").withColumn(f"f{key}", F.coalesce(F.col(f"{key}_rate"), F.lit(0.5))).drop(f"{key}_k", f"{key}_rate")
+    return vectors(df)
+
+
+def vectors(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(df)
 
 
 def train(labelled: DataFrame, bound: int = 20_000, trees: int = 12, depth: int = 4, seed: int = 7) -> UrlModel:
     """Fits the trees on (url, label 1.0 = block) with host, path and features, from at most `bound` labelled urls.
 
-    Each url counts once, however many rows have it; they are the first by a hash, the same on each run; suffix statistics come from the same rows,
-    so the tables that are broadcast have at most `bound` rows. With one class or no rows the verdict is constant:
-    that class, or allow.
+    Each url counts once, however many rows have it; they are the first by a hash, the same on each run. A URL learns
+    from suffix statistics of the other folds; those for new URLs come from all of the same rows, so the tables that
+    are broadcast have at most `bound` rows. With one class or no rows the verdict is constant: that class, or allow.
     """
     rows = labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(bound).repartition(2, "url").persist()
     seen = sorted(r["label"] for r in rows.select("label").distinct().collect())
@@ -103,7 +117,10 @@ def train(labelled: DataFrame, bound: int = 20_000, trees: int = 12, depth: int
         schema = f"{key}_k string, {key}_rate double"
         rates[key] = labelled.sparkSession.createDataFrame([tuple(r) for r in found], schema)
     fit = GBTClassifier(featuresCol="_features", labelCol="label", predictionCol="_block", maxIter=trees, maxDepth=depth, seed=seed).setProbabilityCol("_probability").setRawPredictionCol("_raw_prediction")
-    model = fit.fit(assembled(rows, rates))
+    learned = rows
+    for key in SUFFIXES:
+        learned = with_fold_rates(learned, key)
+    model = fit.fit(vectors(learned))
     rows.unpersist()
     return UrlModel(model, rates, "allow")
 

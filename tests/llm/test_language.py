@@ -1,3 +1,6 @@
+import unicodedata
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from signalloom.llm import language
@@ -24,6 +27,53 @@ def test_grams_match_slicing():
     assert list(ranked_codes(gram_codes("aaa aaa")))[0] in gram_codes("a")
 
 
+def brute_grams(text):
+    """Strings in place of codes: letters and marks of words, a neighbouring gap as _."""
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    if not any(c.isalpha() for c in kept):
+        return Counter()
+    padded = "_" + "".join(f"{w}_" for w in kept.split())
+    return Counter(g for n in range(1, 6) for i in range(len(padded) - n + 1) for g in [padded[i : i + n]] if "_" not in g[1:-1] and g.strip("_"))
+
+
+def brute_ranks(counts, codes):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], codes[x[0]]))[:300]]
+
+
+def test_distances_match_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(-1, "ящик щука ёж подъезд " * 9, "ru"), (-2, "सत्य की जीत होती है सत्य " * 9, "hi"), (-3, "漢字 かな " * 9, "ja"), (-4, "щука и ёж", None), (-5, "की जीत", None)], "doc_id long, text string, lang string")
+    docs = docs.union(extra)
+    known = profiles(docs.where("lang is not null"), 10**9)
+    rows = docs.collect()
+    # A code for each gram, by walking text and codes alike: both list the grams of one length in order of place.
+    codes = {}
+    for r in rows:
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (r["text"] or "").lower())
+        padded = "_" + "".join(f"{w}_" for w in kept.split())
+        listed = [g for n in range(1, 6) for i in range(len(padded) - n + 1) for g in [padded[i : i + n]] if "_" not in g[1:-1] and g.strip("_")]
+        assert len(listed) == len(gram_codes(r["text"] or ""))
+        codes.update(zip(listed, gram_codes(r["text"] or "").tolist()))
+    assert len(set(codes.values())) == len(codes)
+    by_lang = {}
+    for r in rows:
+        if r["lang"] is not None:
+            by_lang.setdefault(r["lang"], Counter()).update(brute_grams(r["text"] or ""))
+    want = {lang: brute_ranks(counts, codes) for lang, counts in by_lang.items()}
+    assert {lang: [codes[g] for g in grams] for lang, grams in want.items()} == {lang: x.tolist() for lang, x in known.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(docs, known, ["doc_id"]).collect()}
+    for r in rows:
+        own = brute_ranks(brute_grams(r["text"] or ""), codes)
+        if not own:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(place[g] - i) if g in place else 300 for i, g in enumerate(own)) for lang, ranks in want.items() for place in [{g: i for i, g in enumerate(ranks)}]}
+        best = min(sorted(far), key=far.get)
+        assert got[r["doc_id"]] == (best, 1 - far[best] / (300 * len(own)))
+    assert got[-4][0] == "ru" and got[-5][0] == "hi"
+
+
 def test_odd_rows(spark):
     rows = [(1, "the cat sat on the mat and the dog", "en", "c"), (2, "le chat est sur la table et le chien", "fr", "c"), (3, "words", None, "c"), (None, None, "en", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")

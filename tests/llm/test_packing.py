@@ -97,3 +97,12 @@ def test_odd_rows(spark):
     assert sorted(r["length"] for r in rows) == [1, 2, 3, 3]
     assert best_fit_pack(docs.limit(0), default_tokenizer(), 8).collect() == []
     assert pack(spark.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long")).collect() == []
+
+
+def test_ranks_give_the_tokenizers_ids_over_a_whole_table(spark):
+    enc = Encoder(default_tokenizer())
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").distinct().collect() if r["text"]]
+    assert len(texts) > 5000
+    for a in range(0, len(texts), 500):
+        for text, want in zip(texts[a : a + 500], enc.tokenizer.encode_batch(texts[a : a + 500], add_special_tokens=False)):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == want.ids

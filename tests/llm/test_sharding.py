@@ -52,3 +52,19 @@ def test_query_covers_all_documents(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     rows = sharding.query(spark, d).collect()
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in docs.items()}
+
+
+def test_shards_and_slots_of_the_query_match_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    rows = sharding.query(spark, d).withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(64))).collect()
+    order = sorted(rows, key=lambda r: (r["curve"], r["salt"], r["doc_id"]))
+    n = len(order)
+    first = [-(-k * n // 40) for k in range(40)]
+    assert [(r["shard"], r["slot"]) for r in order] == [(i * 40 // n, i - first[i * 40 // n]) for i in range(n)]
+    assert {r["law"] for r in rows} == {"rows"} and all(r["grown_shard"] is None for r in rows)
+
+
+def test_long_texts_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 10**15, "s", 5, 6), (2, None, -3, None, 7, 8)], SCHEMA + ", curve long, slot long")
+    got = hilbert_shards(df, [category("source", 3), magnitude("size", F.col("size"))], 2, ["doc_id"], bits=3).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(0, 0), (1, 0)]

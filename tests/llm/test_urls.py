@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from signalloom.llm.urls import RULES, entropy, train, url_filter, with_features, with_parts
+from signalloom.llm.urls import RULES, entropy, match_rule, train, url_filter, with_features, with_fold_rates, with_parts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -37,6 +37,22 @@ def test_trees_learn_what_the_rules_say(spark):
     assert sum(r["verdict"] == r["method_verdict"] for r in rows) >= 0.9 * len(rows)
 
 
+def test_held_out_urls(spark):
+    """Trees that never saw a quarter of the ruled urls, their hosts' counts included, judge it as the rules do."""
+    rule, said = match_rule()
+    rows = with_features(with_parts(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct())).withColumn("said", said).where("said is not null").withColumn("label", (F.col("said") == "block").cast("double"))
+    out = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(4)) == 0
+    got = train(rows.where(~out)).verdicts(rows.where(out)).groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said") == F.col("method_verdict")).alias("right")).collect()
+    assert len(got) == 2 and all(r["n"] >= 20 for r in got)
+    assert sum(r["right"] for r in got) >= 0.95 * sum(r["n"] for r in got)
+
+
+def test_no_url_sees_its_own_label(spark):
+    rows = spark.createDataFrame([(f"http://a{i}.net/x", float(i % 2), "one" if i < 40 else f"t{i}") for i in range(60)], "url string, label double, _tld string")
+    got = with_fold_rates(rows, "_tld").collect()
+    assert all(r["f_tld"] == 0.5 for r in got if r["_tld"] != "one") and len({r["f_tld"] for r in got if r["_tld"] == "one"}) > 1
+
+
 def test_constant_verdicts(spark):
     rows = with_features(with_parts(spark.createDataFrame([("http://a.b/c",)], "url string"))).withColumn("label", F.lit(1.0))
     assert train(rows).constant == "block" and train(rows.limit(0)).constant == "allow"
