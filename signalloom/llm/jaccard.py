@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.anchors import NULL_ID, blocks_by_part, keyed, pack_arrays, unpack_arrays
+from signalloom.llm.anchors import NULL_ID, blocks_by_part, keyed, pack_arrays, parts_of, unpack_arrays
 from signalloom.operators.graph import components
 from signalloom.llm.shingles import Sets
 from signalloom.tables import materialise, tasks
@@ -24,8 +24,14 @@ from signalloom.llm.words import U, chunks, scramble
 
 #: Least similarity, as 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: A token is frequent from this many documents on; marks of frequent tokens, in bits (a token shares its mark with others).
-FREQUENT, MARKS = 8, 1 << 26
+#: A token is frequent from this many documents on, or more, if more tokens than MOST_MARKED would be: their marks are broadcast.
+FREQUENT, MOST_MARKED = 8, 1 << 24
+#: Bits of marks for each frequent token (a token shares its mark with others), which bounds the table at 64 MB.
+BITS_EACH = 32
+#: Bits of the table that tells which documents' texts are needed.
+MARKS = 1 << 26
+#: Tokens that are counted, and signatures that meet, in one part.
+PART_TOKENS = 2_500_000
 #: What is sent with a set's signatures: its print, size and least signature.
 _NAME = np.dtype([("name", "<i8"), ("size", "<i8"), ("least", "<u8")])
 #: Cells of a set's histogram, which bounds intersections from above.
@@ -34,6 +40,8 @@ CELLS = 256
 FEW = 16
 #: Tokens of a block of a family.
 BLOCK = 1_500_000
+#: Sets that share a first print with another one: so many are looked up.
+MOST_DOUBLED = 10_000
 #: Sets below this size use single tokens only; above, frequent tokens fall into subsets of about this many.
 SMALL = 16
 
@@ -113,26 +121,28 @@ def _once(s: Sets, seen: set) -> list[int]:
     return out
 
 
-def frequent_marks(docs: DataFrame, least: int = FREQUENT, marks: int = MARKS) -> np.ndarray:
+def frequent_marks(docs: DataFrame, tokens: int, least: int = FREQUENT, most: int = MOST_MARKED) -> np.ndarray:
     """Bits, by the high bits of a token: set where tokens of at least `least` different sets fall.
 
-    Every token of every document is counted (copies inside a task once), by 32-bit buckets; each part of the bucket
-    range gives its slice of the bits, so what the driver gathers has `marks` bits whatever the input.
+    Every token of every document is counted (copies inside a task once), by 48-bit buckets, in parts of about
+    PART_TOKENS of the `tokens` there are. Where more than `most` buckets are frequent, `least` is doubled until
+    they are not; the table is sized by those that are left, so it has at most the power of two above most * BITS_EACH bits.
     """
-    parts = 1 << max(0, min(10, tasks(docs.sparkSession).bit_length()))
+    parts = 1 << min(20, (parts_of(tokens, PART_TOKENS) - 1).bit_length())
+    classes = 48
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
             bucket, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = blocks_by_part(parts, bucket << U(32))
+            cuts = blocks_by_part(parts, bucket << U(16))
             return pa.RecordBatch.from_pydict({"part": pa.array([p for p, _, _ in cuts], pa.int32()), "block": pa.array([pack_arrays(bucket[a:b], n[a:b]) for _, a, b in cuts], pa.binary())})
 
         for rows in chunks(batches):
             s = Sets(rows.column("text"))
             for i in _once(s, seen):
-                held.append(s[i] >> U(32))
+                held.append(s[i] >> U(16))
                 size += len(held[-1])
             if size >= 4_000_000:
                 yield flush()
@@ -140,22 +150,37 @@ def frequent_marks(docs: DataFrame, least: int = FREQUENT, marks: int = MARKS) -
         if held:
             yield flush()
 
-    out = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+    counted = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("sizes", pa.list_(pa.int64()))])
 
     def count(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
         bucket, n = (np.concatenate(x) for x in zip(*(unpack_arrays(b, 2) for b in table.column("block").to_pylist())))
         order = np.argsort(bucket, kind="stable")
         bucket, n = bucket[order], n[order]
         where = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        often = bucket[where][np.add.reduceat(n, where) >= least]
-        bits = np.zeros(marks // parts, bool)
-        bits[(often >> U(32 - (marks.bit_length() - 1))).astype(np.int64) - part * (marks // parts)] = True
-        return pa.table([pa.array([part], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], schema=out)
+        total = np.add.reduceat(n, where)
+        often = total >= least
+        # Class k: counts of least * 2^k and more, below the next.
+        level = np.floor(np.log2(total[often] / least)).astype(np.int64)
+        sizes = np.bincount(level, minlength=classes).tolist()
+        return pa.table([table.column("part").slice(0, 1), pa.array([pack_arrays(bucket[where][often], level)], pa.binary()), pa.array([sizes], pa.list_(pa.int64()))], schema=counted)
+
+    found = materialise(docs.mapInArrow(send, "part int, block binary").groupBy("part").applyInArrow(count, "part int, block binary, sizes array<bigint>"), "frequent")
+    sizes = np.array(found.agg(F.array(*[F.coalesce(F.sum(F.get("sizes", F.lit(k))), F.lit(0)) for k in range(classes)]).alias("s")).first()["s"], np.int64)
+    left = np.cumsum(sizes[::-1])[::-1]
+    first = int(np.argmax(left <= most))
+    marks = max(parts * 8, 1 << max(20, (int(left[first]) * BITS_EACH - 1).bit_length()))
+    out = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+
+    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for part, block in zip(rows.column("part").to_pylist(), rows.column("block").to_pylist()):
+                bucket, level = unpack_arrays(block, 2)
+                bits = np.zeros(marks // parts, bool)
+                bits[(bucket[level >= first] >> U(48 - (marks.bit_length() - 1))).astype(np.int64) - part * (marks // parts)] = True
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())}, schema=out)
 
-    rows = docs.mapInArrow(send, "part int, block binary").groupBy("part").applyInArrow(count, "part int, bits binary").collect()
     all_bits = np.zeros((parts, marks // parts // 8), np.uint8)
-    for r in rows:
+    for r in found.select("part", "block").mapInArrow(bits_of, "part int, bits binary").toLocalIterator():
         all_bits[r["part"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return all_bits.ravel()
 
@@ -164,15 +189,20 @@ def is_marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
-    """(a, b, family): sets (by f1) that share a signature. Up to `few` of a signature are paired off; of more, each is
+def names_of(f1: np.ndarray, f2: np.ndarray, doubled: np.ndarray) -> np.ndarray:
+    """What a set is called: its first print, or its second where other sets have the first too."""
+    return np.where(np.isin(f1, doubled), f2, f1) if len(doubled) else f1
+
+
+def candidates(docs: DataFrame, bits: np.ndarray, tokens: int, few: int = FEW, doubled: np.ndarray = np.zeros(0, np.int64)) -> DataFrame:
+    """(a, b, family): sets (by name) that share a signature. Up to `few` of a signature are paired off; of more, each is
     tied to one of them, with family true: all pairs of a family's sets are then candidates.
 
     Sets whose least signature is the same one meet there alone, as like sets would else meet at each of the many
     signatures they share.
     """
     spark = docs.sparkSession
-    parts = tasks(spark)
+    parts = parts_of(tokens, PART_TOKENS)
     shared = spark.sparkContext.broadcast(bits)
     shift = U(64 - (len(bits) * 8).bit_length() + 1)
 
@@ -196,7 +226,7 @@ def candidates(docs: DataFrame, bits: np.ndarray, few: int = FEW) -> DataFrame:
         for rows in chunks(batches):
             s = Sets(rows.column("text"))
             marked = is_marked(shared.value, (s.values >> shift).astype(np.int64))
-            f1 = s.prints()[0].view(np.int64)
+            f1 = names_of(*(x.view(np.int64) for x in s.prints()), doubled)
             for i in _once(s, seen):
                 sigs.append(signatures(s[i], marked[s.bounds[i] : s.bounds[i + 1]]))
                 names.append((int(f1[i]), len(s[i]), int(sigs[-1].min())))
@@ -401,9 +431,17 @@ def linked_sets(rows: DataFrame, frequent: int, few: int, block: int) -> tuple[D
     """Of keyed() rows: classes(); the known sets (f1, f2, n, doc_id, h), each with its least row; those (f1, doc_id, h)
     that may be linked; links (a, b) of f1 that connect what all links connect."""
     every = materialise(classes(rows), "classes")
+    tokens = every.agg(F.sum("n")).first()[0] or 0
     known = every.where("n > 0").groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("cells").alias("cells"))
     known = materialise(known.select("f1", "f2", "n", "rep.doc_id", "rep.h", "cells"), "known")
-    found = materialise(candidates(rows, frequent_marks(rows, frequent), few), "candidates")
+    # Of a billion sets, one pair in thirty may have one first print; so these, a handful, go by their second.
+    doubled = [r["f1"] for r in known.groupBy("f1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("f1").limit(MOST_DOUBLED + 1).collect()]
+    if len(doubled) > MOST_DOUBLED:
+        raise RuntimeError("more sets share a print than chance allows")
+    if doubled:
+        every, known = (x.withColumn("f1", F.when(F.col("f1").isin(doubled), F.col("f2")).otherwise(F.col("f1"))) for x in (every, known))
+    bits = frequent_marks(rows, tokens, frequent)
+    found = materialise(candidates(rows, bits, tokens, few, np.array(doubled, np.int64)), "candidates")
     pairs = materialise(possible(found.where("not family").select("a", "b"), known), "pairs")
     families = materialise(components(found.where("family").select("a", "b")), "families")
     nodes = pairs.select(F.col("a").alias("f1")).union(pairs.select("b")).union(families.select("node")).distinct()

@@ -69,19 +69,40 @@ def emit(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     return mixed.where(F.col(copies) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop("_copy")
 
 
+#: Up to so many keys of repeated rows are broadcast.
+FEW_REPEATS = 100_000
+
+
 def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     """The rows of (doc_id, text, source, ...) as the mix takes them, each as often as it does; columns as they are.
 
-    Places are worked out on rows without texts; these meet their texts again by doc_id, a hash of the text and a
-    number among rows equal in both, so that repeated rows are taken each for itself.
+    Places are worked out on rows without texts; these meet their texts again by doc_id, source, a hash of the text
+    and a number among rows equal in these, so that repeated rows are taken each for itself. Only repeated rows are
+    sorted for their numbers.
     """
-    equal = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
-    numbered = docs.withColumn("_id", F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"))).withColumn("_h", F.xxhash64("text"))
-    slim = materialise(numbered.select("_id", "_h", "doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
-    copies = mix(slim, share, most).withColumn("_n", F.row_number().over(equal)).where("copies > 0")
+    key = ["_id", "_h"]
+    given = docs.withColumn("_id", F.struct(F.col("doc_id").alias("i"), F.col("source").alias("s"))).withColumn("_h", F.xxhash64("text"))
+    slim = materialise(given.select("_id", "_h", "doc_id", "source", word_count(F.col("text")).alias("size")), "mix")
+    again = materialise(slim.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*key), "again")
+    repeats = again.count()
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """A number among equal rows: 1 at once for rows that no other equals."""
+        first = rows.withColumn("_n", F.lit(1))
+        if not repeats:
+            return first
+        equal = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+        if repeats > FEW_REPEATS:
+            return equal
+        few = F.broadcast(again.select(F.col("_id").alias("_i2"), F.col("_h").alias("_h2")))
+        same = F.col("_id").eqNullSafe(F.col("_i2")) & (F.col("_h") == F.col("_h2"))
+        some = rows.join(few, same, "left_semi")
+        some = some.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+        return first.join(few, same, "left_anti").unionByName(some)
+
+    copies = numbered(mix(slim, share, most)).where("copies > 0")
     copies = copies.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("_n").alias("_m"), F.col("copies").alias("_copies"))
-    rows = numbered.withColumn("_n", F.row_number().over(equal))
-    found = rows.join(copies, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")) & (F.col("_n") == F.col("_m")))
+    found = numbered(given).join(copies.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")) & (F.col("_n") == F.col("_m")))
     return emit(found, "_copies").select(*docs.columns)
 
 

@@ -2,12 +2,15 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from signalloom.llm.anchors import keyed
+from signalloom.llm.jaccard import Forest, frequent_marks, is_marked, jaccard_join, names_of, needed, signatures, spanning_links
+from signalloom.llm.shingles import Sets
 from signalloom.operators.graph import components
-from signalloom.llm.jaccard import Forest, jaccard_join, needed, signatures, spanning_links
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -64,6 +67,29 @@ def test_matches_brute_force(spark, seed, options):
     assert run(spark, rows, **options) == brute(rows)
 
 
+@pytest.mark.parametrize("most,least", [(1 << 24, 2), (40, 2), (3, 2)])
+def test_marks_are_those_of_tokens_of_many_sets(spark, most, least):
+    """Where more tokens are frequent than the table may hold, it takes those of twice, four times as many sets."""
+    rng = random.Random(8)
+    lines = [" ".join(f"l{k}w{i}" for i in range(9)) for k in range(12)]
+    texts = list({" ".join([f"u{i}a u{i}b", *rng.sample(lines, rng.randint(1, 6) if i % 2 else 1)]) for i in range(90)})
+    df = keyed(spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string").repartition(1))
+    s = Sets(pa.array(texts))
+    values, counts = np.unique(s.values, return_counts=True)
+    while (counts >= least).sum() > most:
+        least *= 2
+    bits = frequent_marks(df, len(s.values), 2, most)
+    shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    mark = (values >> shift).astype(np.int64)
+    assert list(is_marked(bits, mark)) == list(np.isin(mark, mark[counts >= least]))
+    assert len(bits) * 8 >= 1 << 20
+
+
+def test_sets_of_one_print_go_by_the_other():
+    f1, f2 = np.array([5, 5, 6]), np.array([8, 9, 10])
+    assert list(names_of(f1, f2, np.array([5]))) == [8, 9, 6] and names_of(f1, f2, np.zeros(0, np.int64)) is f1
+
+
 def test_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1)]
