@@ -57,6 +57,19 @@ def any_timestamp(raw: Column) -> Column:
     return F.coalesce(epoch, F.try_to_timestamp(raw), *text)
 
 
+def client_ip(forwarded: Column, real: Column, peer: Column) -> Column:
+    """The caller's address: the first of the forwarded list, else the real one, else the peer's, else a fixed word."""
+    given = [F.nullif(F.trim(x), F.lit("")) for x in (F.split(forwarded, ",")[0], real, peer)]
+    return F.coalesce(*given, F.lit("desconocida"))
+
+
+def masked_ip(ip: Column) -> Column:
+    """An address without its last parts: two of four, or all but three of a longer list with colons; other texts as they are."""
+    six, four = F.split(ip, ":"), F.split(ip, r"\.")
+    short = F.when(F.size(six) > 3, F.concat(F.array_join(F.slice(six, 1, 3), ":"), F.lit(":···"))).otherwise(ip)
+    return F.when(F.contains(ip, F.lit(":")), short).when(F.size(four) == 4, F.concat(F.array_join(F.slice(four, 1, 2), "."), F.lit(".×.×"))).otherwise(ip)
+
+
 def strip_html(html: Column) -> Column:
     """Text between tags with common entities resolved and white space collapsed."""
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
@@ -88,6 +101,11 @@ def _up_to_stop(word: Column) -> Column:
     return F.when(short, F.concat(head, F.lit("."), until(F.substring(word, F.length(head) + 2, F.length(word))))).otherwise(until(word))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def street_parts(text: Column) -> Column:
     """The place that a text names, as one street or the streets of a crossing; empty if it names none.
 
@@ -100,23 +118,24 @@ def street_parts(text: Column) -> Column:
 
     def after_lead(ws: Column, known: Column) -> Column:
         leads = F.filter(F.transform(places(ws), lambda i: F.struct(i.alias("at"), _said_at(known, i, PLACE_WORDS).alias("n"))), lambda x: x["n"].isNotNull())
-        first = F.get(leads, F.lit(0))
-        return F.when(F.size(leads) > 0, F.slice(ws, first["at"] + first["n"] + 1, F.size(ws))).otherwise(F.slice(ws, 1, 0))
+        return _once(F.get(leads, F.lit(0)), lambda first: F.when(first.isNotNull(), F.slice(ws, first["at"] + first["n"] + 1, F.size(ws))).otherwise(F.slice(ws, 1, 0)))
 
     def before_end(ws: Column, known: Column) -> Column:
-        ends = F.filter(places(ws), lambda i: ((i > 0) & _said_at(known, i, END_WORDS).isNotNull()) | (_up_to_stop(F.get(ws, i)) != F.get(ws, i)))
-        at = F.coalesce(F.get(ends, F.lit(0)), F.size(ws))
-        narrative = (at > 0) & _said_at(known, at, END_WORDS).isNotNull()
-        last = F.when(narrative | (at >= F.size(ws)), F.slice(ws, 1, 0)).otherwise(F.array(_up_to_stop(F.get(ws, at))))
-        return F.concat(F.slice(ws, F.lit(1), at), last)
+        told = lambda i: (i > 0) & _said_at(known, i, END_WORDS).isNotNull()
+        ends = F.filter(places(ws), lambda i: told(i) | (_up_to_stop(F.get(ws, i)) != F.get(ws, i)))
+
+        def cut(at: Column) -> Column:
+            last = F.when(told(at) | (at >= F.size(ws)), F.slice(ws, 1, 0)).otherwise(F.array(_up_to_stop(F.get(ws, at))))
+            return F.concat(F.slice(ws, F.lit(1), at), last)
+
+        return _once(F.coalesce(F.get(ends, F.lit(0)), F.size(ws)), cut)
 
     def crossing(ws: Column, known: Column) -> Column:
         between = lambda i: _said_at(known, i, CROSSING_WORDS).isNotNull() | ((i > 0) & (F.coalesce(_said_at(known, i - 1, CROSSING_WORDS), F.lit(0)) > 1))
         return F.split(F.array_join(F.transform(ws, lambda w, i: F.when(between(i), "\n").otherwise(w)), " "), "\n")
 
     def with_plain(ws: Column, step) -> Column:
-        # Bound once by transform over one element: each step uses its words many times.
-        return F.get(F.transform(F.array(F.struct(ws.alias("ws"), plain(ws).alias("known"))), lambda x: step(x["ws"], x["known"])), F.lit(0))
+        return _once(ws, lambda own: _once(plain(own), lambda known: step(own, known)))
 
     parts = with_plain(with_plain(with_plain(words, after_lead), before_end), crossing)
     return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" ,"))), lambda x: x != "")

@@ -19,6 +19,23 @@ def split_communes(column: str) -> Column:
     return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" .;\t\n"))), lambda x: x != "")
 
 
+# Keys of a payload, in lower case, that name communes.
+COMMUNE_KEYS = ("comuna", "nom_comuna", "comunas")
+
+
+def with_commune(df: DataFrame) -> DataFrame:
+    """Fills `commune` from the payload `raw` (JSON), then from the text after "Comuna:" or "Ubicación:"; the first of a list, never a whole area."""
+    known = F.transform_keys(F.from_json("raw", "map<string,string>"), lambda k, _: F.lower(k))
+    said = F.coalesce(*[F.nullif(F.trim(F.try_element_at(known, F.lit(k))), F.lit("")) for k in COMMUNE_KEYS])
+    after = lambda lead: F.nullif(F.regexp_extract("text", rf"(?i){lead}\s*:\s*([^.]+)", 1), F.lit(""))
+    rows = df.withColumns({"_known": said, "_c": after("comunas?"), "_u": after("ubicaci[oó]n")})
+    rows = rows.withColumns({"_c": F.get(split_communes("_c"), F.lit(0)), "_u": F.get(split_communes("_u"), F.lit(0))})
+    part = lambda c, found: F.when(~_has_any(F.expr(cases.plain_text(c)), P.WHOLE_AREA_WORDS), found)
+    own = F.nullif(F.trim("commune"), F.lit(""))
+    filled = F.coalesce(own, part("_known", F.get(split_communes("_known"), F.lit(0))), part("_c", F.col("_c")), part("_u", F.col("_u")))
+    return rows.withColumn("commune", filled).drop("_known", "_c", "_u")
+
+
 def alert_views(alerts: DataFrame) -> DataFrame:
     """(alert_id, communes, regional, level, family) of signals that are alerts."""
     text = F.expr(cases.plain_text("text"))

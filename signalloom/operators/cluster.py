@@ -10,8 +10,8 @@ from signalloom.operators.graph import components
 from signalloom.operators.score import centroids
 from signalloom.tables import materialise
 
-#: Degrees of latitude of a metre, a little over.
-_DEGREE = 1.0 / 111194.0
+#: Degrees of latitude of a metre, at the equator where they are most, a little over.
+_DEGREE = 1.0 / 110500.0
 
 
 def projected(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def nearest_open(candidates: DataFrame, incidents: DataFrame, metres: float, sin
     right = opened.select("incident_id", "family", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell("lat", step_lat).alias("cy"), cell("lon", step_lon).alias("cx"))
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = candidates.withColumn("_s", F.explode(shifts)).withColumn("cy", cell("lat", step_lat) + F.col("_s.i")).withColumn("cx", cell("lon", step_lon) + F.col("_s.j"))
-    joined = left.join(right, ["family", "cy", "cx"]).withColumn("distance_m", F.expr(geo.haversine("lat", "lon", "lat2", "lon2"))).where(F.col("distance_m") <= metres)
+    joined = left.join(right, ["family", "cy", "cx"]).withColumn("distance_m", F.expr(geo.spheroid("lat", "lon", "lat2", "lon2"))).where(F.col("distance_m") <= metres)
     return joined.groupBy("cluster_id").agg(F.min(F.struct("distance_m", "incident_id")).alias("_b")).select("cluster_id", "_b.incident_id", "_b.distance_m")
 
 
@@ -74,7 +74,7 @@ def neighbours(signals: DataFrame, metres: float = 2000.0, minutes: float = 60)
     left = base.withColumn("_s", F.explode(shifts)).select(F.col("id").alias("a"), F.col("t").alias("t1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("cy") + F.col("_s.i")).alias("cy"), (F.col("cx") + F.col("_s.j")).alias("cx"), (F.col("ct") + F.col("_s.k")).alias("ct"))
     right = base.select(F.col("id").alias("b"), F.col("t").alias("t2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cy", "cx", "ct")
     pairs = left.join(right, ["cy", "cx", "ct"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("t1") - F.col("t2")) <= seconds))
-    return pairs.withColumn("distance_m", F.expr(geo.haversine("lat1", "lon1", "lat2", "lon2"))).where(F.col("distance_m") <= metres).select("a", "b", "distance_m")
+    return pairs.withColumn("distance_m", F.expr(geo.spheroid("lat1", "lon1", "lat2", "lon2"))).where(F.col("distance_m") <= metres).select("a", "b", "distance_m")
 
 
 def merge_pairs(incidents: DataFrame, metres: float, since) -> DataFrame:
@@ -86,7 +86,7 @@ def merge_pairs(incidents: DataFrame, metres: float, since) -> DataFrame:
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     left = base.withColumn("_s", F.explode(shifts)).select(F.col("id").alias("a"), "family", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("cy") + F.col("_s.i")).alias("cy"), (F.col("cx") + F.col("_s.j")).alias("cx"))
     joined = left.join(base, ["family", "cy", "cx"]).where(F.col("a") < F.col("id"))
-    return joined.where(F.expr(geo.haversine("lat1", "lon1", "lat", "lon")) <= metres).select("a", F.col("id").alias("b"))
+    return joined.where(F.expr(geo.spheroid("lat1", "lon1", "lat", "lon")) <= metres).select("a", F.col("id").alias("b"))
 
 
 def survivors(pairs: DataFrame) -> DataFrame:

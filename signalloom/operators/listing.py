@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom import policy as P
@@ -24,7 +24,7 @@ def in_box(box: tuple[float, float, float, float]) -> Column:
 
 def within(lat: float, lon: float, metres: float) -> Column:
     """Radius filter: a box that reaches the scan, then the distance."""
-    return in_box(geo.around(lat, lon, metres)) & (F.expr(geo.haversine(f"{lat}e0", f"{lon}e0", "lat", "lon")) <= metres)
+    return in_box(geo.around(lat, lon, metres)) & (F.expr(geo.spheroid(f"{lat}e0", f"{lon}e0", "lat", "lon")) <= metres)
 
 
 def filter_events(df: DataFrame, since=None, until=None, sources=(), types=(), least=None, box=None, near=None) -> DataFrame:
@@ -52,7 +52,7 @@ def neighbours_of(df: DataFrame, lat: float, lon: float, at: Column, metres: flo
     found = df.where(F.col("ts").between(at - span, at + span) & within(lat, lon, metres))
     if own is not None:
         found = found.where(F.col("id") != own)
-    return found.withColumn("distance_m", F.expr(geo.haversine(f"{lat}e0", f"{lon}e0", "lat", "lon")))
+    return found.withColumn("distance_m", F.expr(geo.spheroid(f"{lat}e0", f"{lon}e0", "lat", "lon")))
 
 
 def visible(df: DataFrame, layers: tuple[str, ...], providers: tuple[str, ...], known: tuple[str, ...] = ("chilquinta", "cge")) -> DataFrame:
@@ -161,6 +161,46 @@ def to_features(df: DataFrame, properties: list[str]) -> DataFrame:
     return df.withColumn("feature", F.to_json(F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"}))
 
 
+def _polygon(df: DataFrame, ring: Column, properties: list[str]) -> DataFrame:
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return df.withColumn("feature", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"}))
+
+
+def reach_features(quakes: DataFrame) -> DataFrame:
+    """A polygon feature for each quake that can be felt somewhere; the others are left out."""
+    rows = quakes.withColumn("_km", F.expr(geo.perception_radius("magnitude", "depth_km"))).where("_km IS NOT NULL").withColumn("radius_km", F.round("_km").cast("long"))
+    return _polygon(rows, geo.circle_ring("lat", "lon", "_km * 1e3"), ["id", "radius_km", "magnitude"]).drop("_km")
+
+
+def cone_features(incidents: DataFrame) -> DataFrame:
+    """A wedge feature downwind of each incident with a wind (wind_speed, wind_direction); the others are left out."""
+    cone = geo.wind_cone("wind_speed", "wind_direction")
+    rows = incidents.withColumns({f"_{k}": F.expr(v) for k, v in cone.items()}).where("_bearing IS NOT NULL AND lat IS NOT NULL")
+    rows = rows.withColumns({"bearing_deg": F.round("_bearing").cast("long"), "length_km": F.round("_length_km", 1)})
+    return _polygon(rows, geo.sector_ring("lat", "lon", "_bearing", "_half_angle", "_length_km * 1e3"), ["code", "bearing_deg", "length_km"]).drop(*[f"_{k}" for k in cone])
+
+
+def box_of(text: Column) -> Column:
+    """west,south,east,north of a text as a struct with `error`: null if good or blank, else shape, number or inverted. A bad box never means no box."""
+    parts = F.split(text, ",")
+    at = lambda k: F.trim(F.get(parts, F.lit(k))).try_cast("double")
+    west, south, east, north = (at(k) for k in range(4))
+    missing = west.isNull() | south.isNull() | east.isNull() | north.isNull()
+    error = F.when(text.isNull() | (text == ""), None).when(F.size(parts) != 4, "shape").when(missing, "number").when((west >= east) | (south >= north), "inverted")
+    return F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"), error.alias("error"))
+
+
+def near_of(lat: Column, lon: Column, metres: Column) -> Column:
+    """Whether a radius filter is whole: null for none of its three values, true for all, false for some."""
+    given = lat.isNotNull().cast("int") + lon.isNotNull().cast("int") + metres.isNotNull().cast("int")
+    return F.when(given > 0, given == 3)
+
+
+def ordered_links(links: DataFrame) -> DataFrame:
+    """Links with `place` from 1 in their incident, by linked_at, then event."""
+    return links.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy("linked_at", "event_id")).cast("long"))
+
+
 def write_collection(df: DataFrame, properties: list[str], path: str) -> None:
     """Features as newline-separated GeoJSON, one file a task."""
     to_features(df, properties).select("feature").write.text(path)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,32 +97,95 @@ def citizen_reports(reports: DataFrame, received) -> DataFrame:
     return reports.select(F.coalesce("reported_at", F.lit(received)).alias("ts"), F.lit("citizen").alias("source"), kind.alias("type"), "lat", "lon", "text", F.lit(0.40).cast("float").alias("confidence"), F.lit(None).cast("string").alias("external_id"))
 
 
+def error_log(rejected: DataFrame, most: int = 50) -> DataFrame:
+    """The first rejected rows, by source and external_id, with what is wrong with each: the log keeps `most`, the counts all."""
+    return rejected.select("source", "external_id", F.array_join("errors", ", ").alias("error")).orderBy("source", "external_id", "error").limit(most)
+
+
+def assigned(events: DataFrame, ids: DataFrame, incident: int, now) -> DataFrame:
+    """Events with the ids (a table of `id`) pointed at an incident and stamped; the others as they are."""
+    mine = ids.select("id", F.lit(True).alias("_mine")).distinct()
+    out = events.join(mine, "id", "left")
+    return out.withColumns({"incident_id": F.when(F.col("_mine"), F.lit(incident)).otherwise(F.col("incident_id")), "processed_at": F.when(F.col("_mine"), F.lit(now)).otherwise(F.col("processed_at"))}).drop("_mine")
+
+
 class Snapshots:
-    """Versions of a table: each commit writes a whole version, then names it in a pointer file.
+    """Versions of one or several tables: each commit writes a whole version, then names it in a pointer file.
 
-    A reader sees the version that the pointer names; a commit that fails leaves no trace there. There is one writer.
+    A reader sees the version that the pointer names; the pointer is renamed into place, so there is no moment
+    without one, and a commit that fails leaves no trace there. A lease keeps a second writer out.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def version(self) -> int:
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _write(self, name: str, text: str, overwrite: bool) -> None:
+        path, fs = self._file(name)
+        stream = fs.create(path, overwrite)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
+    def _text(self, name: str) -> str | None:
+        path, fs = self._file(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
         try:
-            return int(self.spark.read.text(f"{self.path}/_current").first()[0])
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return 0
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v={now}") if (now := self.version()) else None
+    def version(self) -> int:
+        return int(self._text("_current") or 0)
+
+    def read(self, table: str = "") -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/v={now}/{table}") if (now := self.version()) else None
 
     def commit(self, df: DataFrame) -> int:
+        return self.commit_all({"": df})
+
+    def commit_all(self, tables: dict[str, DataFrame]) -> int:
+        """All tables as one version: readers see all of them or none."""
         then = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={then}")
-        self.spark.createDataFrame([(str(then),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.path}/v={then}/{name}")
+        new = f"_current-{uuid.uuid4().hex}"
+        self._write(new, str(then), True)
+        self._rename(new, "_current")
         return then
 
+    def _rename(self, old: str, new: str) -> None:
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(self._file(old)[0].toUri(), self.spark._jsc.hadoopConfiguration())
+        kinds = self.spark._sc._gateway.new_array(fs.Options.Rename, 1)
+        kinds[0] = fs.Options.Rename.OVERWRITE
+        context.rename(self._file(old)[0], self._file(new)[0], kinds)
+
+    @contextmanager
+    def lease(self, seconds: float = 600.0) -> Iterator[bool]:
+        """True for the one writer that holds the lease, false while another holds it; a lease that ran out is taken over."""
+        held = self._text("_lease")
+        if held is not None and float(held.split()[0]) > time.time():
+            yield False
+            return
+        mine = f"{time.time() + seconds} {uuid.uuid4().hex}"
+        try:
+            if held is not None:
+                self._file("_lease")[1].delete(self._file("_lease")[0], False)
+            self._write("_lease", mine, False)
+        except Py4JJavaError:  # another writer was first
+            yield False
+            return
+        try:
+            yield True
+        finally:
+            if self._text("_lease") == mine:
+                self._file("_lease")[1].delete(self._file("_lease")[0], False)
+
 
 def run_row(spark: SparkSession, collector: str, fetched: int, inserted: int, rejected: int, warnings: int = 0, error: str | None = None) -> DataFrame:
     """One row of the run log: failed on an error, partial on rejects or warnings, else success."""

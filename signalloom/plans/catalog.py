@@ -60,17 +60,17 @@ def box(spark, d):
     return signals(spark, d).where(listing.in_box(BOX)).select("id", "lat", "lon")
 
 
-@query("p05_radius", f"SELECT id, round({geo.haversine('-33.02e0', '-71.55e0', 'lat', 'lon')}, 2) AS distance_m FROM signals WHERE {geo.haversine('-33.02e0', '-71.55e0', 'lat', 'lon')} <= 30000e0")
+@query("p05_radius", f"SELECT id, round({geo.spheroid('-33.02e0', '-71.55e0', 'lat', 'lon')}, 2) AS distance_m FROM signals WHERE {geo.spheroid('-33.02e0', '-71.55e0', 'lat', 'lon')} <= 30000e0")
 def radius(spark, d):
     rows = signals(spark, d).where(listing.within(*PLACE, 30000.0))
-    return rows.select("id", F.round(F.expr(geo.haversine("-33.02e0", "-71.55e0", "lat", "lon")), 2).alias("distance_m"))
+    return rows.select("id", F.round(F.expr(geo.spheroid("-33.02e0", "-71.55e0", "lat", "lon")), 2).alias("distance_m"))
 
 
 @query("p07_candidates", f"""SELECT id, confidence, ts FROM signals WHERE lat IS NOT NULL AND ts >= TIMESTAMP '{SINCE}' AND type NOT IN ({cases.listed(P.NOT_CORRELATABLE)})
- ORDER BY confidence DESC, ts, id LIMIT 500""")
+ ORDER BY confidence DESC, ts, id LIMIT 5000""")
 def candidates(spark, d):
     rows = signals(spark, d).where(F.col("lat").isNotNull() & (F.col("ts") >= stamp(SINCE)) & ~F.col("type").isin(*P.NOT_CORRELATABLE))
-    return rows.orderBy(F.col("confidence").desc(), "ts", "id").limit(500).select("id", "confidence", "ts")
+    return rows.orderBy(F.col("confidence").desc(), "ts", "id").limit(5000).select("id", "confidence", "ts")
 
 
 @query("p08_vigent_alerts", f"""SELECT id, source, updated_at FROM (SELECT *, ts + to_hours(CAST(id % 48 AS INT)) AS updated_at FROM signals)
@@ -343,27 +343,24 @@ def open_or_defer(spark, d):
     return cluster.open_or_defer(members(spark, d), 3)
 
 
-_NEAR = _REFRESH + f""", clustered AS (SELECT id AS cluster_id, lat AS lat1, lon AS lon1, {cases.family('type')} AS family FROM signals WHERE id % 5 = 0 AND {_WINDOW}),
- near AS (SELECT c.cluster_id, i.incident_id, {geo.haversine('c.lat1', 'c.lon1', 'i.lat', 'i.lon')} AS distance_m FROM clustered c JOIN incidents i ON c.family = i.family AND i.status IN ('active', 'controlled') AND i.last_seen_at >= TIMESTAMP '{SINCE}' AND abs(c.lat1 - i.lat) < 0.2e0)"""
+_NEAR = _REFRESH + f""", clustered AS (SELECT id AS cluster_id, lat AS lat1, lon AS lon1, {cases.family('type')} AS family FROM signals WHERE {_WINDOW}),
+ near AS (SELECT c.cluster_id, i.incident_id, {geo.spheroid('c.lat1', 'c.lon1', 'i.lat', 'i.lon')} AS distance_m FROM clustered c JOIN incidents i ON c.family = i.family AND i.status IN ('active', 'controlled') AND i.last_seen_at >= TIMESTAMP '{SINCE}' AND abs(c.lat1 - i.lat) < 0.2e0)"""
 
 
-@query("j02_nearest_open", _NEAR + " SELECT cluster_id, arg_min(incident_id, {'d': distance_m, 'i': incident_id}) AS incident_id, round(min(distance_m), 2) AS distance_m FROM near WHERE distance_m <= 15000e0 GROUP BY cluster_id /* linked */")
-def nearest_open(spark, d):
-    found = recent(spark, d).where("id % 5 = 0").selectExpr("id AS cluster_id", f"{cases.family('type')} AS family", "lat", "lon")
-    out = cluster.nearest_open(found, incidents(spark, d), 15000.0, stamp(SINCE))
-    return out.select("cluster_id", "incident_id", F.round("distance_m", 2).alias("distance_m"))
+_NEAREST = _NEAR + " SELECT cluster_id, arg_min(incident_id, {'d': distance_m, 'i': incident_id}) AS incident_id, round(min(distance_m), 2) AS distance_m FROM near WHERE distance_m <= 15000e0 GROUP BY cluster_id /* linked */"
 
 
-@query("j02_nearest_open_all", _NEAR.replace("id % 5 = 0 AND ", "") + " SELECT cluster_id, arg_min(incident_id, {'d': distance_m, 'i': incident_id}) AS incident_id, round(min(distance_m), 2) AS distance_m FROM near WHERE distance_m <= 15000e0 GROUP BY cluster_id /* linked */")
-def nearest_open_all(spark, d):
-    """Every recent located signal's nearest incident; j02_nearest_open shows those of a fifth of the ids."""
+@query("j02_nearest_open", _NEAREST)
+@query("j02_nearest_open_all", _NEAREST)
+def nearest_open(spark, d):
+    """Every recent located signal's nearest incident; both names are the same query."""
     found = recent(spark, d).selectExpr("id AS cluster_id", f"{cases.family('type')} AS family", "lat", "lon")
     out = cluster.nearest_open(found, incidents(spark, d), 15000.0, stamp(SINCE))
     return out.select("cluster_id", "incident_id", F.round("distance_m", 2).alias("distance_m"))
 
 
 _PAIRS = _REFRESH + f""", pairs AS (SELECT a.incident_id AS a, b.incident_id AS b FROM incidents a JOIN incidents b ON a.family = b.family AND a.incident_id < b.incident_id
-  AND a.status IN ('active', 'controlled') AND b.status IN ('active', 'controlled') AND a.last_seen_at >= TIMESTAMP '{SINCE}' AND b.last_seen_at >= TIMESTAMP '{SINCE}' WHERE {geo.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 8000e0)"""
+  AND a.status IN ('active', 'controlled') AND b.status IN ('active', 'controlled') AND a.last_seen_at >= TIMESTAMP '{SINCE}' AND b.last_seen_at >= TIMESTAMP '{SINCE}' WHERE {geo.spheroid('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 8000e0)"""
 
 
 @query("j03_merge_pairs", _PAIRS + " SELECT * FROM pairs /* linked */")
@@ -384,8 +381,8 @@ def relinked(spark, d):
     return cluster.relink(links, survivors(spark, d)).select("incident_id", "event_id")
 
 
-@query("j04_neighbours", f"""SELECT a.id AS a, b.id AS b, round({geo.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 2) AS distance_m FROM signals a JOIN signals b ON a.id < b.id AND abs(date_diff('second', a.ts, b.ts)) <= 14400 AND abs(a.lat - b.lat) < 0.03e0
- WHERE {geo.haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 3000e0""")
+@query("j04_neighbours", f"""SELECT a.id AS a, b.id AS b, round({geo.spheroid('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 2) AS distance_m FROM signals a JOIN signals b ON a.id < b.id AND abs(date_diff('second', a.ts, b.ts)) <= 14400 AND a.lat BETWEEN b.lat - 0.03e0 AND b.lat + 0.03e0 AND a.lon BETWEEN b.lon - 0.04e0 AND b.lon + 0.04e0
+ WHERE {geo.spheroid('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 3000e0""")
 def neighbours(spark, d):
     return cluster.neighbours(signals(spark, d), 3000.0, 240).select("a", "b", F.round("distance_m", 2).alias("distance_m"))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+import warnings
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom import policy as P
 from signalloom.functions import geo
-from signalloom.operators import alerts, cluster, lifecycle, score
+from signalloom.operators import alerts, cluster, lifecycle, score, store
 from signalloom.tables import materialise, numbered
 
 INCIDENTS = """incident_id long, first_seen_at timestamp, last_seen_at timestamp, sources array<string>, commune string, province string,
@@ -24,6 +26,8 @@ class Pass:
     incidents: DataFrame
     links: DataFrame
     metrics: dict[str, int]
+    warnings: list[str] = field(default_factory=list)
+    seconds: float = 0.0
 
 
 def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -48,6 +52,7 @@ def correlate(signals: DataFrame, incidents: DataFrame, links: DataFrame, now: s
     depend on the order of rows.
     """
     spark = signals.sparkSession
+    began = time.monotonic()
     at = F.lit(now).cast("timestamp")
     back = lambda hours: at - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(round(hours % 1 * 60)))
     free = signals.where(F.col("incident_id").isNull() & F.col("lat").isNotNull() & (F.col("ts") >= back(policy.window_h)) & ~F.col("type").isin(*P.NOT_CORRELATABLE))
@@ -64,9 +69,13 @@ def correlate(signals: DataFrame, incidents: DataFrame, links: DataFrame, now: s
     fresh = fresh.withColumn("incident_id", F.col("_number") + F.lit(top).cast("long")).drop("_number")
     known = judged.where("incident_id IS NOT NULL").join(incidents.select("incident_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "incident_id")
     targets = known.select("cluster_id", "incident_id", "lat2", "lon2").unionByName(fresh.select("cluster_id", "incident_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")))
-    spatial = members.join(targets, "cluster_id").select("incident_id", F.col("id").alias("event_id"), F.lit("spatial").alias("link_method"), F.lit(1.0).alias("link_confidence"), F.round(F.expr(geo.haversine("lat2", "lon2", "lat", "lon")), 2).alias("distance_m"), F.lit(None).cast("string").alias("matched_commune"))
+    spatial = members.join(targets, "cluster_id").select("incident_id", F.col("id").alias("event_id"), F.lit("spatial").alias("link_method"), F.lit(1.0).alias("link_confidence"), F.round(F.expr(geo.spheroid("lat2", "lon2", "lat", "lon")), 2).alias("distance_m"), F.lit(None).cast("string").alias("matched_commune"))
     links = materialise(links.unionByName(spatial), "links")
-    stub = {"incident_id": F.col("incident_id"), "status": F.lit("active"), "first_seen_at": at}
+    # A new incident begins with the times of its signals and the type that they support best, by confidence summed.
+    kinds = members.groupBy("cluster_id", "type").agg(F.sum("confidence").alias("_c")).groupBy("cluster_id").agg(F.max_by("type", F.struct("_c", "type")).alias("type"))
+    seeds = members.groupBy("cluster_id", "family").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at")).join(kinds, "cluster_id")
+    fresh = fresh.drop("type", "family").join(seeds, "cluster_id")
+    stub = {"incident_id": F.col("incident_id"), "status": F.lit("active"), **{c: F.col(c) for c in ("first_seen_at", "last_seen_at", "type", "family", "lat", "lon")}}
     opened = lifecycle.with_codes(fresh.select(*[stub[c].alias(c) for c in stub]), int(now[:4]), top)
     typed = {f.name: f.dataType for f in incidents.schema}
     opened = opened.select(*[(F.col(c) if c in opened.columns else F.lit(None).cast(typed[c])).alias(c) for c in incidents.columns])
@@ -87,13 +96,34 @@ def correlate(signals: DataFrame, incidents: DataFrame, links: DataFrame, now: s
     final = materialise(lifecycle.expire(_refreshed(merged, relinked, signals), at, policy), "incidents")
 
     pointer = relinked.where("link_method = 'spatial'").groupBy("event_id").agg(F.min("incident_id").alias("_incident"))
-    assigned = signals.join(pointer, F.col("id") == F.col("event_id"), "left").withColumn("incident_id", F.coalesce("_incident", "incident_id")).drop("_incident", "event_id")
+    stamped = F.col("processed_at") if "processed_at" in signals.columns else F.lit(None).cast("timestamp")
+    assigned = signals.join(pointer, F.col("id") == F.col("event_id"), "left").withColumn("processed_at", F.when(F.col("_incident").isNotNull() & F.col("incident_id").isNull(), at).otherwise(stamped))
+    assigned = assigned.withColumn("incident_id", F.coalesce("_incident", "incident_id")).drop("_incident", "event_id")
     counts = final.groupBy("status").count().collect()
     metrics = {f"incidents_{r['status']}": r["count"] for r in counts}
     opens = judged.agg(F.count_if(F.expr("incident_id IS NOT NULL")).alias("a"), F.count_if(F.expr("incident_id IS NULL AND opens")).alias("c"), F.count_if(F.expr("incident_id IS NULL AND NOT opens")).alias("d")).first()
     links_by = {r["link_method"]: r["count"] for r in relinked.groupBy("link_method").count().collect()}
     metrics |= {"clusters_attached": opens["a"], "incidents_created": opens["c"], "clusters_deferred": opens["d"], "merged": gone.count(), "spatial_links": links_by.get("spatial", 0), "text_links": links_by.get("commune_text", 0)}
-    return Pass(assigned, final, relinked, metrics)
+    told = []
+    if not metrics["clusters_attached"] + metrics["incidents_created"] + metrics["clusters_deferred"]:
+        told.append("no free signals with a place")
+    if not metrics["text_links"] and not due.isEmpty():
+        told.append("alerts without an incident")
+    return Pass(assigned, final, relinked, metrics, told, round(time.monotonic() - began, 3))
+
+
+def stored_pass(store_: store.Snapshots, now: str, policy: P.Policy = P.Policy()) -> Pass | None:
+    """A pass over the tables signals, incidents and links of a store, committed as one version; None while another writer holds the lease."""
+    with store_.lease() as mine:
+        if not mine:
+            warnings.warn("another pass is running: this one is skipped", stacklevel=2)
+            return None
+        signals = store_.read("signals")
+        if signals is None:
+            raise ValueError("no signals are stored")
+        done = correlate(signals, store_.read("incidents"), store_.read("links"), now, policy)
+        store_.commit_all({"signals": done.signals, "incidents": done.incidents, "links": done.links})
+        return done
 
 
 def first_pass(spark: SparkSession, signals: DataFrame, now: str, policy: P.Policy = P.Policy()) -> Pass:

@@ -14,7 +14,7 @@ from signalloom.sources import feeds
 
 # --- Lookups, neighbours, visibility ----------------------------------------------------------
 
-_AWAY = geo.haversine("-33.02e0", "-71.55e0", "lat", "lon")
+_AWAY = geo.spheroid("-33.02e0", "-71.55e0", "lat", "lon")
 
 
 @query("p06_neighbours_of", f"""SELECT id, ts, round({_AWAY}, 2) AS distance_m FROM signals WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'

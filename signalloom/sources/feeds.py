@@ -7,11 +7,18 @@ or, where the record is known but a field is not, carry nulls. Signals have COLU
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+from functools import reduce
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom import policy as P
 from signalloom.functions import cases, geo, text
+from signalloom.tables import materialise
 
 COLUMNS = ("ts", "source", "type", "lat", "lon", "text", "external_id", "confidence", "commune", "province", "raw")
 
@@ -113,7 +120,7 @@ def quake_table(df: DataFrame, box: tuple = P.SEISMIC_BOX) -> DataFrame:
 
     Without a UTC time, the local one counts as of America/Santiago.
     """
-    row = F.explode(F.regexp_extract_all("payload", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row")
+    row = F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "row")
     cells = F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
     rows = df.select(row).withColumn("c", F.transform(cells, text.strip_html)).where(F.size("c") >= 5)
     at = lambda k: F.get("c", F.lit(k))
@@ -126,7 +133,9 @@ def quake_table(df: DataFrame, box: tuple = P.SEISMIC_BOX) -> DataFrame:
         "lat": F.regexp_extract(at(2), spot, 1).try_cast("double"), "lon": F.regexp_extract(at(2), spot, 2).try_cast("double"),
         "depth_km": F.regexp_extract(at(3), r"(\d+)\s*km", 1).try_cast("double"), "magnitude": F.regexp_extract(at(4), r"(-?\d+\.\d+)", 1).try_cast("double"),
     })
-    rows = rows.where("report IS NOT NULL AND ts IS NOT NULL").where(F.expr(geo.in_box("lat", "lon", box))).dropDuplicates(["report"])
+    rows = rows.where("report IS NOT NULL AND ts IS NOT NULL").where(F.expr(geo.in_box("lat", "lon", box)))
+    # Of one report's rows, the first of the page counts.
+    rows = rows.groupBy("report").agg(F.min_by(F.struct("ts", "lat", "lon", "depth_km", "magnitude"), F.struct("pos", "ts", "lat", "lon")).alias("_f")).select("report", "_f.*")
     said = F.format_string("Sismo de magnitud %.1f", "magnitude")
     return signal(rows, "csn", ts=F.col("ts"), type=F.lit("earthquake"), lat=F.col("lat"), lon=F.col("lon"), text=said, external_id=F.concat(F.lit("csn:"), "report"), confidence=F.lit(1.0), raw=F.to_json(F.struct("magnitude", "depth_km")))
 
@@ -187,14 +196,60 @@ def dispatches(df: DataFrame, now: str, codes: tuple[tuple[int, ...], ...] = ((1
 ACCIDENT_WORDS = ("accidente", "colision", "choque", "atropello", "volcamiento", "siniestro")
 
 
+class _Blocks(HTMLParser):
+    """The texts of a page's article, li and p elements, each with what its inner elements say."""
+
+    KINDS = ("article", "li", "p")
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[tuple[str, list[str]]] = []
+        self.found: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if tag in self.KINDS:
+            if tag == "p" and self.open and self.open[-1][0] == "p":  # a paragraph ends where the next begins
+                self.handle_endtag("p")
+            self.open.append((tag, []))
+        self.hidden += tag in ("script", "style")
+        self.handle_data(" ")
+
+    def handle_endtag(self, tag) -> None:
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+        if tag in [t for t, _ in self.open]:
+            while self.open:
+                kind, said = self.open.pop()
+                self.found.append("".join(said))
+                if kind == tag:
+                    break
+        self.handle_data(" ")
+
+    def handle_data(self, data) -> None:
+        if not self.hidden:
+            for _, said in self.open:
+                said.append(data)
+
+
+def _page_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for page in batch.column("payload").to_pylist():
+            parser = _Blocks()
+            parser.feed(page or "")
+            parser.close()
+            out.append([*parser.found, *("".join(said) for _, said in parser.open)])
+        yield pa.RecordBatch.from_pydict({"blocks": pa.array(out, pa.list_(pa.string()))})
+
+
 def notices(df: DataFrame, now: str, gazetteer: DataFrame | None = None) -> DataFrame:
     """Accidents told in the blocks of a page, 25 to 1200 letters long; of blocks that hold one another, the innermost.
 
     gazetteer (street, lat, lon) gives a place to notices whose first street it knows, in the stead of a geocoder.
     """
-    blocks = F.array_distinct(F.transform(F.regexp_extract_all("payload", F.lit(r"(?is)<(article|li|p)\b[^>]*>(.*?)</\1>"), F.lit(2)), text.strip_html))
+    blocks = F.array_distinct(F.transform("blocks", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
     told = lambda x: F.length(x).between(25, 1200) & F.exists(F.array(*[F.lit(w) for w in ACCIDENT_WORDS]), lambda w: F.contains(F.translate(F.lower(x), "áéíóú", "aeiou"), w))
-    rows = df.select(F.filter(blocks, told).alias("b"))
+    rows = df.select("payload").mapInArrow(_page_blocks, "blocks array<string>").select(F.filter(blocks, told).alias("b"))
     rows = rows.select(F.explode(F.filter("b", lambda x: ~F.exists("b", lambda y: (x != y) & F.contains(x, y)))).alias("said")).distinct()
     rows = rows.withColumn("_plain", F.expr(cases.plain_text("said")))
     rows = rows.withColumn("street", F.lower(F.get(text.street_parts(F.col("said")), F.lit(0))))
@@ -205,14 +260,53 @@ def notices(df: DataFrame, now: str, gazetteer: DataFrame | None = None) -> Data
     return signal(rows, "transporte_informa", ts=F.lit(now).cast("timestamp"), type=F.lit("accident"), lat=F.col("lat"), lon=F.col("lon"), text=F.col("said"), external_id=text.external_id("mtt", F.col("_plain"), length=24), confidence=F.lit(0.80))
 
 
-def first_that_answers(readers: list) -> DataFrame:
-    """The first of several readers (callables) that gives a frame without failing; all failing is the last one's error."""
-    error: Exception | None = None
-    for read in readers:
-        try:
-            df = read()
-            df.limit(1).collect()
-            return df
-        except Exception as e:  # noqa: BLE001
-            error = e
-    raise error or ValueError("no readers")
+ATTEMPTS = "source string, ok boolean, rows long, error string"
+
+
+def _tried(name: str, read) -> tuple[DataFrame | None, tuple, Exception | None]:
+    """A reader's rows as a written table, so that all of its pages are known to be good; or its error."""
+    try:
+        df = materialise(read(), "answer")
+        n = df.count()
+        if not n:
+            warnings.warn(f"{name} answered without rows", stacklevel=3)
+        return df, (name, True, n, None), None
+    except Exception as e:  # noqa: BLE001
+        return None, (name, False, 0, str(e).splitlines()[0][:300]), e
+
+
+def first_that_answers(spark, readers: dict) -> tuple[DataFrame, DataFrame]:
+    """Of named readers (callables), the rows of the first that gives all of them without failing, and ATTEMPTS.
+
+    No rows are an answer, with a warning. If all fail, the last error is raised.
+    """
+    attempts, error = [], ValueError("no readers")
+    for name, read in readers.items():
+        df, attempt, failed = _tried(name, read)
+        attempts.append(attempt)
+        if df is not None:
+            return df, spark.createDataFrame(attempts, ATTEMPTS)
+        error = failed
+    raise error
+
+
+def union_of(spark, readers: dict) -> tuple[DataFrame, DataFrame]:
+    """The rows of all named readers that answer, columns by name with nulls for missing ones, and ATTEMPTS; an error only if all fail."""
+    found, attempts, error = [], [], ValueError("no readers")
+    for name, read in readers.items():
+        df, attempt, failed = _tried(name, read)
+        attempts.append(attempt)
+        found += [df] if df is not None else []
+        error = failed or error
+    if not found:
+        raise error
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), spark.createDataFrame(attempts, ATTEMPTS)
+
+
+def winds(df: DataFrame) -> DataFrame:
+    """(wind_speed, wind_direction, observed_at) of weather payloads; no row where speed or direction is no number, negative or off the compass."""
+    v = F.try_parse_json("payload")
+    number = lambda k: F.when(~F.schema_of_variant(F.try_variant_get(v, f"$.current_weather.{k}", "variant")).isin("STRING", "BOOLEAN", "VOID"), F.try_variant_get(v, f"$.current_weather.{k}", "double"))
+    time_ = F.when(F.schema_of_variant(F.try_variant_get(v, "$.current_weather.time", "variant")) == "STRING", F.try_variant_get(v, "$.current_weather.time", "string"))
+    rows = df.select(*df.columns, number("windspeed").alias("wind_speed"), number("winddirection").alias("wind_direction"), time_.alias("observed_at"))
+    return rows.where("wind_speed >= 0 AND wind_speed < double('infinity') AND wind_direction BETWEEN 0 AND 360").drop("payload")

@@ -131,13 +131,59 @@ def test_notices(spark):
     assert [(r["lat"], r["lon"]) for r in rows] == [(-33.03, -71.6)]
 
 
-def test_failover(spark):
-    def broken():
-        raise ValueError("down")
+def test_notices_of_nested_blocks(spark):
+    html = "<ul><li>Choque en <b>Ruta 68</b> a esta hora<ul><li>Accidente en Av. Brasil, personal en el lugar</li></ul></li></ul><article><p>Feria<p>Atropello en calle Uno con Dos</article><script>accidente en el codigo de la pagina</script>"
+    assert sorted(r["text"] for r in feeds.notices(frame(spark, html), NOW).collect()) == ["Accidente en Av. Brasil, personal en el lugar", "Atropello en calle Uno con Dos"]
+
 
-    assert feeds.first_that_answers([broken, lambda: frame(spark, "x")]).count() == 1
-    with pytest.raises(ValueError, match="down"):
-        feeds.first_that_answers([broken])
+def test_failover_and_union(spark):
+    def broken():
+        return frame(spark, "x").select(F.raise_error(F.lit("down")).alias("payload"))
+
+    def later():
+        return spark.range(100, numPartitions=4).select(F.when(F.col("id") < 90, F.lit("x")).otherwise(F.raise_error(F.lit("late"))).alias("payload"))
+
+    good = lambda: frame(spark, "x")
+    df, attempts = feeds.first_that_answers(spark, {"a": broken, "b": later, "c": good, "d": good})
+    assert df.count() == 1 and [(r["source"], r["ok"], r["rows"]) for r in attempts.collect()] == [("a", False, 0), ("b", False, 0), ("c", True, 1)]
+    with pytest.raises(Exception, match="late"):
+        feeds.first_that_answers(spark, {"a": broken, "b": later})
+    df, attempts = feeds.union_of(spark, {"a": later, "b": good, "c": lambda: spark.sql("SELECT 'y' AS payload, 1 AS more")})
+    assert sorted((r["payload"], r["more"]) for r in df.collect() if r["more"]) == [("y", 1)] and df.count() == 2 and attempts.where("ok").count() == 2
+    with pytest.raises(Exception, match="down"):
+        feeds.union_of(spark, {"a": broken})
+    with pytest.warns(UserWarning, match="without rows"):
+        assert feeds.first_that_answers(spark, {"empty": lambda: good().limit(0)})[0].count() == 0
+
+
+def test_the_first_row_of_a_report_counts(spark):
+    row = lambda lat: f'<tr><td><a href="/x/r1.html">2024-01-30 23:10:41</a></td><td>2024-01-31 02:10:41</td><td>{lat} -71.6</td><td>33 km</td><td>4.1 Ml</td></tr>'
+    got = feeds.quake_table(frame(spark, "<table>" + row(-33.5) + row(-33.0) + row(-32.5) + "</table>")).collect()
+    assert [r["lat"] for r in got] == [-33.5]
+
+
+def test_paged_source(spark, tmp_path):
+    import json
+
+    from signalloom.sources import pages
+
+    for at in range(0, 25, 10):
+        features = [{"id": str(i), "geometry": {"type": "Point", "coordinates": [-71.5, -33]}, "properties": {}} for i in range(at, min(25, at + 10))]
+        (tmp_path / f"p{at}.json").write_text(json.dumps({"features": features, "exceededTransferLimit": at < 20}))
+    url = f"file://{tmp_path}/p{{offset}}.json"
+    walked = pages.pages(spark, url, page_rows=10)
+    counted = pages.pages(spark, url, page_rows=10, total=25)
+    assert feeds.features(walked).count() == feeds.features(counted).count() == 25
+    assert counted.rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="more than 2 pages"):
+        pages.pages(spark, url, page_rows=10, most_pages=2).collect()
+    assert pages.more_pages({"features": [1], "properties": {"exceededTransferLimit": True}}, 10) and not pages.more_pages({"features": [], "exceededTransferLimit": True}, 10)
+    assert pages.more_pages({"features": [1, 2]}, 2) and not pages.more_pages({"features": [1]}, 2)
+    one, two = pages.wfs_query("fires", "1.1.0", 5), pages.wfs_query("fires", most=5)
+    assert (one["typeName"], one["maxFeatures"]) == ("fires", 5) == (two["typeNames"], two["count"])
+    with pytest.raises(ValueError):
+        pages.wfs_query(None)
+    assert "resultOffset=20" in pages.PageReader({"url": "http://x/query", "page_rows": "10"}).page_url(20)
 
 
 def test_any_timestamp(spark):

@@ -203,3 +203,47 @@ def test_no_folder_of_one_machine_on_a_cluster(spark):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         shared_dir(far)
+
+
+def test_spheroid_distances(spark):
+    # Known lengths of geodesics on WGS84.
+    known = [(0.0, 0.0, 0.0, 1.0, 111319.4908), (0.0, 0.0, 1.0, 0.0, 110574.3886), (-33.0, -71.5, -33.0, -71.5, 0.0), (-33.0, -71.0, -34.0, -71.0, 110913.4), (50.0, 0.0, 50.0, 1.0, 71695.7)]
+    for lat1, lon1, lat2, lon2, want in known:
+        got = spark.sql(f"SELECT {geo.spheroid(*(f'{x!r}e0' for x in (lat1, lon1, lat2, lon2)))} AS m").first()["m"]
+        assert got == pytest.approx(want, rel=2e-5, abs=1e-6)
+
+
+def test_snapshots_change_at_once_and_have_one_writer(spark, tmp_path):
+    table = store.Snapshots(spark, str(tmp_path / "t"))
+    assert table.version() == 0 and table.read("a") is None
+    assert table.commit_all({"a": spark.range(3), "b": spark.range(5)}) == 1 and table.read("b").count() == 5
+    with pytest.raises(Exception):
+        table.commit_all({"a": spark.range(9), "b": spark.range(1).select(F.raise_error(F.lit("no")).cast("long").alias("id"))})
+    assert table.version() == 1 and table.read("a").count() == 3
+    with table.lease() as first, store.Snapshots(spark, str(tmp_path / "t")).lease() as second:
+        assert (first, second) == (True, False)
+    with table.lease(-1) as first, table.lease() as second:  # the first one's has run out
+        assert (first, second) == (True, True)
+    with table.lease() as again:
+        assert again
+
+
+def test_a_stored_pass(spark, tmp_path):
+    rows = [signal(1, "conaf", 1.0, "wildfire", commune="Limache"), signal(2, "waze", 0.4, "smoke", lat=-33.005, ts=T + timedelta(minutes=9)), signal(3, "waze", 0.4, "accident")]
+    incidents, links = passes.empty(spark)
+    table = store.Snapshots(spark, str(tmp_path / "t"))
+    table.commit_all({"signals": spark.createDataFrame(rows, FIELDS), "incidents": incidents, "links": links})
+    with table.lease(), pytest.warns(UserWarning, match="skipped"):
+        assert passes.stored_pass(table, "2024-01-30 01:00:00", P.Policy(window_h=48)) is None
+    done = passes.stored_pass(table, "2024-01-30 01:00:00", P.Policy(window_h=48))
+    assert table.version() == 2 and table.read("incidents").count() == 2 and done.seconds > 0 and done.warnings == []
+    stored = {r["id"]: (r["incident_id"] is not None, str(r["processed_at"])) for r in table.read("signals").collect()}
+    assert stored == {i: (True, "2024-01-30 01:00:00") for i in (1, 2, 3)}
+    fire = table.read("incidents").where("family = 'fire'").first()
+    assert (fire["first_seen_at"], fire["last_seen_at"], fire["type"]) == (T, T + timedelta(minutes=9), "wildfire")
+
+
+def test_error_log(spark):
+    bad = spark.createDataFrame([(f"s{i}", f"{i:03d}", ["no_time", "source"]) for i in range(60)], "source string, external_id string, errors array<string>")
+    got = store.error_log(bad).collect()
+    assert len(got) == 50 and got[0]["error"] == "no_time, source"
