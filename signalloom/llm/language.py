@@ -66,6 +66,10 @@ def ranked_codes(codes: np.ndarray, most: int = PROFILE) -> np.ndarray:
     return values[np.argsort(-counts, kind="stable")[:most]]
 
 
+#: Up to so many langs are broadcast with their counts.
+FEW_LANGS = 10_000
+
+
 def profiles(labelled: DataFrame, per_lang: int = 1000) -> dict[str, np.ndarray]:
     """Each lang's PROFILE most frequent n-grams, counted over whole texts of about `per_lang` documents of (doc_id, text, lang).
 
@@ -73,7 +77,8 @@ def profiles(labelled: DataFrame, per_lang: int = 1000) -> dict[str, np.ndarray]
     the driver has PROFILE rows a lang. Null texts and null langs are left out.
     """
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).persist()
+    counts = F.broadcast(counts) if counts.count() <= FEW_LANGS else counts
     sample = labelled.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) * F.col("_n") < F.lit(per_lang << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

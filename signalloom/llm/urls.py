@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values: (verdict, host, path) of the rules.
@@ -68,11 +68,13 @@ def suffix_rates(labelled: DataFrame, key: str, prior: float = 4.0) -> DataFrame
 def with_fold_rates(labelled: DataFrame, key: str, prior: float = 4.0, folds: int = 5) -> DataFrame:
     """Adds f{key}: the suffix's rate among the URLs of the other folds, so that no URL's own label is in its features."""
     rows = labelled.withColumn("_fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(folds)).cast("int"))
-    own = Window.partitionBy(key, "_fold")
-    every = Window.partitionBy(key)
-    blocked = F.sum("label").over(every) - F.sum("label").over(own)
-    n = F.count(F.lit(1)).over(every) - F.count(F.lit(1)).over(own)
-    return rows.withColumn(f"f{key}", (blocked + prior / 2) / (n + prior)).drop("_fold")
+    sums = [F.sum("label").alias("_blocked"), F.count(F.lit(1)).alias("_n")]
+    own = rows.groupBy(key, "_fold").agg(*sums)
+    every = own.groupBy(key).agg(F.sum("_blocked").alias("_all_blocked"), F.sum("_n").alias("_all_n"))
+    # Both have at most as many rows as the bounded sample.
+    joined = rows.join(F.broadcast(own), [key, "_fold"]).join(F.broadcast(every), key)
+    rate = (F.col("_all_blocked") - F.col("_blocked") + prior / 2) / (F.col("_all_n") - F.col("_n") + prior)
+    return joined.withColumn(f"f{key}", rate).drop("_fold", "_blocked", "_n", "_all_blocked", "_all_n")
 
 
 class UrlModel:
