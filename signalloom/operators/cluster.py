@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,33 +21,64 @@ def projected(df: DataFrame) -> DataFrame:
     return df.withColumn("x", F.expr(east)).withColumn("y", F.expr(north))
 
 
-def close_pairs(df: DataFrame, metres: float, key: str = "family") -> DataFrame:
-    """(a, b) with a < b: rows of (id, key, x, y) that are at most `metres` apart in the plane and equal in key.
+#: Boxes a side of a cell of clusters().
+_BOXES = 8
+
+
+def _box_pairs(left: DataFrame, right: DataFrame, on, metres: float) -> DataFrame:
+    """(a, b, sure) of pairs of boxes that can hold points at most `metres` apart; sure where all their points are."""
+    l, r = left.alias("l"), right.alias("r")
+    square = lambda x, y: F.pow(x, F.lit(2)) + F.pow(y, F.lit(2))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"l.{c}1") - F.col(f"r.{c}2"), F.col(f"r.{c}1") - F.col(f"l.{c}2"))
+    span = lambda c: F.greatest(F.col(f"l.{c}2") - F.col(f"r.{c}1"), F.col(f"r.{c}2") - F.col(f"l.{c}1"))
+    return l.join(r, on).where(square(gap("x"), gap("y")) <= metres * metres).withColumn("sure", square(span("x"), span("y")) <= metres * metres)
+
+
+def _links(points: DataFrame, boxes: DataFrame, metres: float) -> DataFrame:
+    """(a, b): heads of cells that hold points at most `metres` apart.
 
-    Each row meets the rows of its own cell and the cells around it, of `metres` a side: half of these are enough,
-    as a pair's other half is the other row's. Dense cells are left to skew-join splitting.
+    Cells of metres / sqrt(2) a side meet those up to two away, box by box: by the tight bounds of two boxes all their
+    points are near, or none, or it takes the points to tell. Points are compared only for cells that no boxes tie, in
+    boxes that could. A box meets a number of boxes that does not grow with the data.
     """
-    cells = df.select("id", key, "x", "y", F.floor(F.col("x") / metres).alias("cx"), F.floor(F.col("y") / metres).alias("cy"))
-    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))])
-    left = cells.withColumn("_d", F.explode(around)).select("id", key, "x", "y", (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy"), (F.col("_d.dx") == 0).alias("_same_x"), (F.col("_d.dy") == 0).alias("_same_y"))
-    l, r = left.alias("l"), cells.alias("r")
-    own = F.col("l._same_x") & F.col("l._same_y")
-    near = F.pow(F.col("l.x") - F.col("r.x"), F.lit(2)) + F.pow(F.col("l.y") - F.col("r.y"), F.lit(2)) <= metres * metres
-    joined = l.join(r, (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy")) & near & (~own | (F.col("l.id") < F.col("r.id"))))
-    return joined.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    half = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half]))
+    moved = boxes.withColumn("_s", shift).withColumns({"cx": F.col("cx") + F.col("_s.i"), "cy": F.col("cy") + F.col("_s.j")}).drop("_s")
+    same_cell = (F.col("l.family") == F.col("r.family")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))
+    met = _box_pairs(moved, boxes, same_cell, metres).groupBy(F.col("l.head").alias("a"), F.col("r.head").alias("b")).agg(F.max("sure").alias("sure"))
+    met = materialise(met, "met")
+    tied, unsure = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
+    if unsure.isEmpty():
+        return tied
+    first = unsure.join(boxes, F.col("a") == F.col("head"))
+    near = _box_pairs(first, boxes, F.col("l.b") == F.col("r.head"), metres)
+    near = near.select("l.a", "l.b", "l.family", "l.sx", "l.sy", F.col("r.sx").alias("sx2"), F.col("r.sy").alias("sy2"))
+    places = points.select("family", "sx", "sy", "x", "y").distinct()
+    others = places.select("family", F.col("sx").alias("sx2"), F.col("sy").alias("sy2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = near.join(places, ["family", "sx", "sy"]).join(others, ["family", "sx2", "sy2"])
+    return tied.unionByName(pairs.where(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= metres * metres).select("a", "b").distinct())
 
 
 def clusters(signals: DataFrame, metres: float = 1500.0) -> DataFrame:
-    """(id, family, cluster_id): density clusters with one point enough, in each family: components of the close pairs.
+    """(id, family, cluster_id): density clusters with one point enough, in each family: components of points at most `metres` apart.
 
-    cluster_id is the least id of the cluster. Points of one place and family need one representative only, so a
-    hot spot costs no pairs: copies are tied to the least id of their place.
+    cluster_id is the least id of the cluster; a point without a place is its own. The points of one cell of
+    metres / sqrt(2) a side are near each other whatever their number, so the graph has a node a cell, its least id,
+    and a hot spot makes no pairs.
     """
-    points = materialise(projected(signals.withColumn("family", F.expr(cases.family("type")))).select("id", "family", "x", "y"), "points")
-    heads = points.groupBy("family", "x", "y").agg(F.min("id").alias("id"))
-    same = points.join(heads.withColumnRenamed("id", "head"), ["family", "x", "y"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    joined = components(close_pairs(heads, metres).union(same))
-    return points.join(joined, F.col("id") == F.col("node"), "left").select("id", "family", F.coalesce("component", "id").alias("cluster_id"))
+    side = metres / math.sqrt(2) * (1 - 1e-9) / _BOXES
+    points = projected(signals.withColumn("family", F.expr(cases.family("type")))).select("id", "family", "x", "y")
+    placed = (F.abs("x") < 1e15) & (F.abs("y") < 1e15)
+    index = lambda c: F.when(placed, F.floor(F.col(c) / side))
+    points = materialise(points.withColumns({"sx": index("x"), "sy": index("y")}), "points")
+    known = points.where("family IS NOT NULL AND sx IS NOT NULL AND sy IS NOT NULL")
+    cell = {"cx": F.floor(F.col("sx") / _BOXES), "cy": F.floor(F.col("sy") / _BOXES)}
+    boxes = known.groupBy("family", "sx", "sy").agg(F.min("id").alias("head"), *[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in ((1, F.min), (2, F.max))])
+    own = Window.partitionBy("family", "cx", "cy")  # at most _BOXES * _BOXES rows
+    boxes = materialise(boxes.withColumns(cell).withColumn("head", F.min("head").over(own)), "boxes")
+    joined = components(_links(known, boxes, metres))
+    headed = points.join(boxes.select("family", "sx", "sy", "head"), ["family", "sx", "sy"], "left")
+    return headed.join(joined, F.col("head") == F.col("node"), "left").select("id", "family", F.coalesce("component", "head", "id").alias("cluster_id"))
 
 
 def nearest_open(candidates: DataFrame, incidents: DataFrame, metres: float, since) -> DataFrame:

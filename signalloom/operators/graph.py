@@ -8,18 +8,42 @@ from pyspark.sql import functions as F
 from signalloom.tables import discard, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (large) or not larger (small) neighbours to the least of its neighbourhood.
+#: A node of more edges than this, and than this share of all edges, is heavy: at most 1000 of them in any graph.
+_HEAVY, _SHARE = 1000, 1000
 
-    The least neighbour comes from a pre-aggregated minimum; no neighbourhood is gathered.
+
+def _with_least(edges: DataFrame, key: str, least: DataFrame, degrees: DataFrame, count: int) -> DataFrame:
+    """Edges with m, the least neighbour of the node in `key`, or null where `least` has none.
+
+    Heavy nodes, at most _SHARE of them, bring their m by a broadcast, so that no task gathers their edges; a graph of
+    no more than _HEAVY edges has none.
+    """
+    renamed = least.select(F.col("node").alias(key), "m")
+    if count <= _HEAVY:
+        return edges.join(renamed, key, "left")
+    heavy = degrees.where(F.col("n") > max(_HEAVY, count // _SHARE)).select("node").join(least, "node", "left")
+    heavy = heavy.select(F.col("node").alias(key), F.col("m").alias("_m"), F.lit(True).alias("_heavy"))
+    marked = edges.join(F.broadcast(heavy), key, "left")
+    here = marked.where("_heavy").select("a", "b", F.col("_m").alias("m"))
+    return here.unionByName(marked.where("_heavy IS NULL").select("a", "b").join(renamed, key, "left").select("a", "b", "m"))
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
+    """Links each node's larger neighbours to the least of its neighbourhood; edges have a > b.
+
+    Seen from its smaller end, an edge needs that node's least smaller neighbour only; a node without one is the least itself.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")) if large else both.groupBy("a").agg(F.min("b").alias("m"))
-    joined = both.join(least, "a")
-    if large:
-        return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    own = least.select("a", F.col("m").alias("b"))
-    return joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).distinct()
+    least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    degrees = edges.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return _with_least(edges, "b", least, degrees, count).select("a", F.coalesce("m", "b").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
+    """Links each node and its smaller neighbours to the least of these; edges have a > b."""
+    least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = _with_least(edges, "a", least.select("node", "m"), least.select("node", "n"), count)
+    moved = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -31,12 +55,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
     edges = materialise(edges.select("a", "b").distinct(), "edges")
     loops = edges.where("a = b").select("a").distinct()
-    now = edges.where("a <> b")
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     seen = mark(now)
     for _ in range(most):
         if not seen[0]:
             break
-        before, now = now, materialise(_star(_star(now, True), False), "edges")
+        before, now = now, materialise(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
         then, seen = seen, mark(now)
         if hasattr(before, "_written"):  # a round's edges are not read once the next ones are written
             discard(before)

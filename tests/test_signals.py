@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalloom import policy as P
 from signalloom.functions import geo
 from signalloom.operators import alerts, cluster, lifecycle, score, store
+from signalloom.operators.graph import components
 from signalloom.plans import catalog, passes
 from signalloom.streaming import ingest
 from signalloom.tables import numbered
@@ -60,11 +61,7 @@ def test_distances_and_shapes(spark):
         assert (one(cone["length_km"]), one(cone["half_angle"]), one(cone["bearing"])) == (pytest.approx(long), half, 270)
 
 
-def test_clusters_match_brute_force(spark):
-    rng = random.Random(5)
-    rows = [signal(i, "citizen", type=rng.choice(["smoke", "accident"]), lat=-33 + rng.random() * 0.2, lon=-71.5 + rng.random() * 0.2) for i in range(250)]
-    rows += [signal(1000 + i, "citizen", lat=-33.05, lon=-71.45) for i in range(50)]
-    df = spark.createDataFrame(rows, FIELDS)
+def _brute_clusters(df, metres):
     at = {r["id"]: (r["type"], r["x"], r["y"]) for r in cluster.projected(df).collect()}
     up = {i: i for i in at}
 
@@ -76,11 +73,43 @@ def test_clusters_match_brute_force(spark):
     ids = sorted(at)
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            if at[i][0] == at[j][0] and math.dist(at[i][1:], at[j][1:]) <= 1500:
+            if at[i][0] == at[j][0] and math.dist(at[i][1:], at[j][1:]) <= metres:
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
-    assert {r["id"]: r["cluster_id"] for r in cluster.clusters(df).collect()} == {i: root(i) for i in ids}
+    return {i: root(i) for i in ids}
+
+
+def test_clusters_match_brute_force(spark):
+    rng = random.Random(5)
+    rows = [signal(i, "citizen", type=rng.choice(["smoke", "accident"]), lat=-33 + rng.random() * 0.2, lon=-71.5 + rng.random() * 0.2) for i in range(250)]
+    rows += [signal(1000 + i, "citizen", lat=-33.05, lon=-71.45) for i in range(50)]
+    df = spark.createDataFrame(rows, FIELDS)
+    assert {r["id"]: r["cluster_id"] for r in cluster.clusters(df).collect()} == _brute_clusters(df, 1500)
     assert cluster.clusters(df.limit(0)).collect() == []
+    nowhere = spark.createDataFrame([signal(i, "citizen", lat=None, lon=None) for i in (7, 8)], FIELDS)
+    assert {r["id"]: r["cluster_id"] for r in cluster.clusters(nowhere).collect()} == {7: 7, 8: 8}
+
+
+@pytest.mark.parametrize("metres", [1000, 1100])
+def test_dense_spots_are_told_apart_by_their_points(spark, metres):
+    """Spots of a few hundred metres, about a kilometre apart: boxes alone decide neither all of them nor none."""
+    rng = random.Random(metres)
+    rows, n = [], 0
+    for spot in range(12):
+        for _ in range(25):
+            n += 1
+            rows.append(signal(n * 7 % 311, "citizen", type="smoke", lat=-33 + (spot % 4) * 0.0116 + rng.random() * 0.0022, lon=-71.5 + (spot // 4) * 0.0131 + rng.random() * 0.0022))
+    df = spark.createDataFrame(rows, FIELDS)
+    assert {r["id"]: r["cluster_id"] for r in cluster.clusters(df, metres).collect()} == _brute_clusters(df, metres)
+
+
+def test_components_of_hubs_and_chains(spark):
+    hub = [(5, i) for i in range(100, 2100)] + [(i, 9000) for i in range(100, 1700)]
+    chain = [(20000 + i, 20001 + i) for i in range(300)]
+    loops = [(70000, 70000), (5, 5), (100, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(hub + chain + loops, "a long, b long")).collect()}
+    want = {n: 5 for edge in hub for n in edge} | {n: 20000 for edge in chain for n in edge} | {70000: 70000}
+    assert got == want
 
 
 def test_every_recent_signal_gets_its_nearest_incident(spark):
