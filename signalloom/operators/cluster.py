@@ -34,8 +34,8 @@ def _box_pairs(left: DataFrame, right: DataFrame, on, metres: float) -> DataFram
     return l.join(r, on).where(square(gap("x"), gap("y")) <= metres * metres).withColumn("sure", square(span("x"), span("y")) <= metres * metres)
 
 
-def _links(points: DataFrame, boxes: DataFrame, metres: float) -> DataFrame:
-    """(a, b): heads of cells that hold points at most `metres` apart.
+def _tied_cells(points: DataFrame, boxes: DataFrame, metres: float) -> DataFrame:
+    """(node, component) of the heads of cells tied by points at most `metres` apart.
 
     Cells of metres / sqrt(2) a side meet those up to two away, box by box: by the tight bounds of two boxes all their
     points are near, or none, or it takes the points to tell. Points are compared only for cells that no boxes tie, in
@@ -49,14 +49,15 @@ def _links(points: DataFrame, boxes: DataFrame, metres: float) -> DataFrame:
     met = materialise(met, "met")
     tied, unsure = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
     if unsure.isEmpty():
-        return tied
+        return components(tied, stored=True)
     first = unsure.join(boxes, F.col("a") == F.col("head"))
     near = _box_pairs(first, boxes, F.col("l.b") == F.col("r.head"), metres)
     near = near.select("l.a", "l.b", "l.family", "l.sx", "l.sy", F.col("r.sx").alias("sx2"), F.col("r.sy").alias("sy2"))
     places = points.select("family", "sx", "sy", "x", "y").distinct()
     others = places.select("family", F.col("sx").alias("sx2"), F.col("sy").alias("sy2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     pairs = near.join(places, ["family", "sx", "sy"]).join(others, ["family", "sx2", "sy2"])
-    return tied.unionByName(pairs.where(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= metres * metres).select("a", "b").distinct())
+    close = pairs.where(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= metres * metres).select("a", "b")
+    return components(tied.unionByName(close))
 
 
 def clusters(signals: DataFrame, metres: float = 1500.0) -> DataFrame:
@@ -76,7 +77,7 @@ def clusters(signals: DataFrame, metres: float = 1500.0) -> DataFrame:
     boxes = known.groupBy("family", "sx", "sy").agg(F.min("id").alias("head"), *[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in ((1, F.min), (2, F.max))])
     own = Window.partitionBy("family", "cx", "cy")  # at most _BOXES * _BOXES rows
     boxes = materialise(boxes.withColumns(cell).withColumn("head", F.min("head").over(own)), "boxes")
-    joined = components(_links(known, boxes, metres))
+    joined = _tied_cells(known, boxes, metres)
     headed = points.join(boxes.select("family", "sx", "sy", "head"), ["family", "sx", "sy"], "left")
     return headed.join(joined, F.col("head") == F.col("node"), "left").select("id", "family", F.coalesce("component", "head", "id").alias("cluster_id"))
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from signalloom.tables import discard, materialise
 
 
-#: A node of more edges than this, and than this share of all edges, is heavy: at most 1000 of them in any graph.
-_HEAVY, _SHARE = 1000, 1000
+#: A node of more edges than _HEAVY, and than a _SHARE-th of all edges, is heavy: at most _SHARE nodes of any graph are.
+_HEAVY, _SHARE = 20000, 1000
 
 
 def _with_least(edges: DataFrame, key: str, least: DataFrame, degrees: DataFrame, count: int) -> DataFrame:
@@ -46,22 +46,32 @@ def _small_star(edges: DataFrame, count: int) -> DataFrame:
     return moved.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges as a table, with their count and sum of hashes, taken while they are written."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)).alias("h"))
+    table = materialise(told, "edges")
+    return table, (seen.get["n"], seen.get["h"])
+
+
+def components(edges: DataFrame, most: int = 60, stored: bool = False) -> DataFrame:
     """(node, component) of all nodes of (a, b) edges: component is the least node reachable.
 
     Each round writes the edges anew and compares their count and sum of hashes with the round before; the rounds
-    grow with the logarithm of the longest path. Loops and repeated edges do no harm; no edges give no rows.
+    grow with the logarithm of the longest path. Loops and repeated edges do no harm; no edges give no rows. Edges that
+    are stored already are not written once more.
     """
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
-    edges = materialise(edges.select("a", "b").distinct(), "edges")
+    if stored:
+        seen = (edges.count(), None)
+    else:
+        edges, seen = _written(edges.select("a", "b").distinct())
     loops = edges.where("a = b").select("a").distinct()
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    seen = mark(now)
     for _ in range(most):
         if not seen[0]:
             break
-        before, now = now, materialise(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
-        then, seen = seen, mark(now)
+        before, then = now, seen
+        now, seen = _written(_small_star(_large_star(now, seen[0]), seen[0]))
         if hasattr(before, "_written"):  # a round's edges are not read once the next ones are written
             discard(before)
         if then == seen:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom import policy as P
 from signalloom.functions import geo
-from signalloom.operators import alerts, cluster, lifecycle, score, store
-from signalloom.operators.graph import components
+from signalloom.operators import alerts, cluster, graph, lifecycle, score, store
 from signalloom.plans import catalog, passes
 from signalloom.streaming import ingest
 from signalloom.tables import numbered
@@ -103,13 +102,16 @@ def test_dense_spots_are_told_apart_by_their_points(spark, metres):
     assert {r["id"]: r["cluster_id"] for r in cluster.clusters(df, metres).collect()} == _brute_clusters(df, metres)
 
 
-def test_components_of_hubs_and_chains(spark):
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_HEAVY", 1000)
     hub = [(5, i) for i in range(100, 2100)] + [(i, 9000) for i in range(100, 1700)]
     chain = [(20000 + i, 20001 + i) for i in range(300)]
     loops = [(70000, 70000), (5, 5), (100, 5)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(hub + chain + loops, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(hub + chain + loops, "a long, b long")).collect()}
     want = {n: 5 for edge in hub for n in edge} | {n: 20000 for edge in chain for n in edge} | {70000: 70000}
     assert got == want
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert graph.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == [(3, 3)]
 
 
 def test_every_recent_signal_gets_its_nearest_incident(spark):
