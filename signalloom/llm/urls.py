@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalloom.tables import discard, materialise
+
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -108,10 +110,10 @@ def train(labelled: DataFrame, bound: int = 20_000, trees: int = 12, depth: int
     from suffix statistics of the other folds; those for new URLs come from all of the same rows, so the tables that
     are broadcast have at most `bound` rows. With one class or no rows the verdict is constant: that class, or allow.
     """
-    rows = labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(bound).repartition(2, "url").persist()
+    rows = materialise(labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(bound), "labelled")
     seen = sorted(r["label"] for r in rows.select("label").distinct().collect())
     if len(seen) < 2:
-        rows.unpersist()
+        discard(rows)
         return UrlModel(None, {}, "block" if seen == [1.0] else "allow")
     rates = {}
     for key in SUFFIXES:
@@ -122,8 +124,13 @@ def train(labelled: DataFrame, bound: int = 20_000, trees: int = 12, depth: int
     learned = rows
     for key in SUFFIXES:
         learned = with_fold_rates(learned, key)
-    model = fit.fit(vectors(learned))
-    rows.unpersist()
+    # Each tree reads its rows anew: they are joined once, and kept.
+    learned = materialise(learned.coalesce(2), "learned")
+    ready = vectors(learned).select("_features", "label").persist()
+    model = fit.fit(ready)
+    ready.unpersist()
+    for table in (learned, rows):
+        discard(table)
     return UrlModel(model, rates, "allow")
 
 
