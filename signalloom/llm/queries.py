@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from signalloom.llm import automata, jaccard, language, mixing, packing, quality, search, sharding, suffixes, urls
+from signalloom.llm import automata, bpe, jaccard, language, mixing, packing, quality, resampling, search, sharding, suffixes, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_trees": urls.query,
         "op9_suffix_array_dedup": suffixes.query,
         "op10_kd_tree_search": search.query,
+        "op11_subspace_whitening": whitening.query,
+        "op12_byte_bpe": bpe.query,
+        "op13_importance_resampling": resampling.query,
         "pipeline": corpus_pipeline.run,
     }
 
