@@ -34,6 +34,26 @@ def spheroid(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"CASE WHEN {s} <= 0e0 THEN 0e0 ELSE 2e0 * {arc} * {number(a)} * (1e0 + {number(f)} * ({more} - {less})) END"
 
 
+def with_spheroid(df, out: str, lat1: str | Column, lon1: str | Column, lat2: str | Column, lon2: str | Column):
+    """df with the distance of spheroid() between two places (columns or their names) as a column: each sine is worked out once, as a column of its own.
+
+    Points opposite each other have no one shortest way; they count as half a meridian apart.
+    """
+    a, f, half_meridian = 6378137.0, 1 / 298.257223563, 20003931.4586
+    square = lambda x: F.pow(F.sin(F.radians(x / 2)), F.lit(2))
+    lat1, lon1, lat2, lon2 = (F.col(x) if isinstance(x, str) else x for x in (lat1, lon1, lat2, lon2))
+    step = df.withColumns({"_p": square(lat1 - lat2), "_q": square(lon1 - lon2), "_m": square(lat1 + lat2)})
+    p, q, m = F.col("_p"), F.col("_q"), F.col("_m")
+    step = step.withColumns({"_u": p * (1 - q) + (1 - m) * q, "_v": (1 - p) * (1 - q) + m * q})
+    u, v = F.col("_u"), F.col("_v")
+    step = step.withColumn("_arc", F.when((u > 0) & (v > 0), F.atan(F.sqrt(F.try_divide(u, v)))))
+    arc, ratio = F.col("_arc"), F.try_divide(3 * F.sqrt(u * v), F.col("_arc"))
+    more = F.try_divide(ratio - 1, 2 * v) * m * (1 - p)
+    less = F.try_divide(ratio + 1, 2 * u) * (1 - m) * p
+    found = F.when(u <= 0, F.lit(0.0)).when(v <= 0, F.lit(half_meridian)).otherwise(2 * arc * a * (1 + f * (more - less)))
+    return step.withColumn(out, found).drop("_p", "_q", "_m", "_u", "_v", "_arc")
+
+
 def in_box(lat: str, lon: str, box: tuple[float, float, float, float]) -> str:
     west, south, east, north = box
     return f"({lon} BETWEEN {west}e0 AND {east}e0 AND {lat} BETWEEN {south}e0 AND {north}e0)"

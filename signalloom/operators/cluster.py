@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalloom import policy as P
 from signalloom.functions import cases, geo
 from signalloom.operators.graph import components
 from signalloom.operators.score import centroids
@@ -82,45 +83,75 @@ def clusters(signals: DataFrame, metres: float = 1500.0) -> DataFrame:
     return headed.join(joined, F.col("head") == F.col("node"), "left").select("id", "family", F.coalesce("component", "head", "id").alias("cluster_id"))
 
 
-def nearest_open(candidates: DataFrame, incidents: DataFrame, metres: float, since) -> DataFrame:
-    """(cluster_id, incident_id, distance_m): each cluster's nearest open incident of its family within `metres`.
+def _cells(df: DataFrame, metres: float) -> DataFrame:
+    """Adds the cells of latitude and longitude, at least `metres` a side up to 60 degrees of latitude, as cy and cx."""
+    step = metres * _DEGREE
+    return df.withColumns({"cy": F.floor(F.col("lat") / step), "cx": F.floor(F.col("lon") / (2 * step))})
+
+
+def _shifted(df: DataFrame, shifts: list[tuple[int, ...]], cells: list[str]) -> DataFrame:
+    """A copy of each row for each shift of its cells; `own` marks the unshifted one."""
+    moves = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(cells, s)]) for s in shifts]))
+    moved = df.withColumn("_s", moves).withColumns({c: F.col(c) + F.col(f"_s.{c}") for c in cells} | {"own": sum((F.abs(F.col(f"_s.{c}")) for c in cells), F.lit(0)) == 0})
+    return moved.drop("_s")
+
+
+def _close(pairs: DataFrame, metres: float, lat1: str = "lat1", lon1: str = "lon1", lat2: str = "lat2", lon2: str = "lon2") -> DataFrame:
+    """Pairs at most `metres` apart, with distance_m; the great circle, good to six thousandths, leaves the far ones out before."""
+    near = pairs.where(F.expr(geo.haversine(lat1, lon1, lat2, lon2)) <= metres * 1.006)
+    return geo.with_spheroid(near, "distance_m", lat1, lon1, lat2, lon2).where(F.col("distance_m") <= metres)
+
+
+def reachable(candidates: DataFrame, incidents: DataFrame, metres: float, since) -> DataFrame:
+    """(cluster_id, incident_id, distance_m): all open incidents of each cluster's family within `metres`.
 
-    candidates: cluster_id, family, lat, lon; incidents: incident_id, family, status, last_seen_at, lat, lon. Both are
-    cut into cells of latitude and longitude; ties in distance go to the smaller incident_id.
+    candidates: cluster_id, family, lat, lon; incidents: incident_id, family, status, last_seen_at, lat, lon. The
+    incidents, which are fewer, are copied into the cells around.
     """
-    step_lat = metres * _DEGREE
-    step_lon = step_lat / 0.5  # good to 60 degrees of latitude
-    cell = lambda c, step: F.floor(F.col(c) / step)
-    opened = incidents.where(F.col("status").isin("active", "controlled") & (F.col("last_seen_at") >= F.lit(since)) & F.col("lat").isNotNull())
-    right = opened.select("incident_id", "family", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell("lat", step_lat).alias("cy"), cell("lon", step_lon).alias("cx"))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = candidates.withColumn("_s", F.explode(shifts)).withColumn("cy", cell("lat", step_lat) + F.col("_s.i")).withColumn("cx", cell("lon", step_lon) + F.col("_s.j"))
-    joined = left.join(right, ["family", "cy", "cx"]).withColumn("distance_m", F.expr(geo.spheroid("lat", "lon", "lat2", "lon2"))).where(F.col("distance_m") <= metres)
+    opened = incidents.where(F.col("status").isin(*P.OPEN_STATUSES) & (F.col("last_seen_at") >= F.lit(since)) & F.col("lat").isNotNull())
+    right = _shifted(_cells(opened.select("incident_id", "family", "lat", "lon"), metres), [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], ["cy", "cx"])
+    right = right.withColumnsRenamed({"lat": "lat2", "lon": "lon2"}).drop("own")
+    left = _cells(candidates.select("cluster_id", "family", F.col("lat"), F.col("lon")), metres)
+    return _close(left.join(right, ["family", "cy", "cx"]), metres, "lat", "lon").select("cluster_id", "incident_id", "distance_m")
+
+
+def nearest_open(candidates: DataFrame, incidents: DataFrame, metres: float, since) -> DataFrame:
+    """(cluster_id, incident_id, distance_m): each cluster's nearest open incident within `metres`; ties go to the smaller incident_id."""
+    joined = reachable(candidates, incidents, metres, since)
     return joined.groupBy("cluster_id").agg(F.min(F.struct("distance_m", "incident_id")).alias("_b")).select("cluster_id", "_b.incident_id", "_b.distance_m")
 
 
+def pairs_within(rows: DataFrame, keys: list[str], metres: float, seconds: int | None = None) -> DataFrame:
+    """(a, b, distance_m), a < b: rows (id, lat, lon, keys; t where `seconds` bounds its difference) of equal keys at most `metres` apart.
+
+    Cells of place (and time) are the keys of the join; a row goes to its own cell and to half of those around, so that
+    each pair of cells meets once.
+    """
+    rows = _cells(rows, metres)
+    cells = ["cy", "cx"]
+    if seconds is not None:
+        rows, cells = rows.withColumn("ct", F.floor(F.col("t") / seconds)), ["ct", *cells]
+    around = [()]
+    for _ in cells:
+        around = [(*s, i) for s in around for i in (-1, 0, 1)]
+    left = _shifted(rows, [s for s in around if s >= (0,) * len(cells)], cells)
+    left = left.withColumnsRenamed({"id": "id1", "lat": "lat1", "lon": "lon1", "t": "t1"})
+    right = rows.withColumnsRenamed({"id": "id2", "lat": "lat2", "lon": "lon2", "t": "t2"})
+    met = left.join(right, [*keys, *cells]).where(~F.col("own") | (F.col("id1") < F.col("id2")))
+    if seconds is not None:
+        met = met.where(F.abs(F.col("t1") - F.col("t2")) <= seconds)
+    return _close(met, metres).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "distance_m")
+
+
 def neighbours(signals: DataFrame, metres: float = 2000.0, minutes: float = 60) -> DataFrame:
-    """(a, b, distance_m), a < b: signals within `metres` and `minutes` of each other; cells of place and time are the keys."""
-    step_lat, seconds = metres * _DEGREE, int(minutes * 60)
-    step_lon = step_lat / 0.5
-    base = signals.where("lat IS NOT NULL").select("id", "ts", "lat", "lon", F.unix_timestamp("ts").alias("t"), F.floor(F.col("lat") / step_lat).alias("cy"), F.floor(F.col("lon") / step_lon).alias("cx")).withColumn("ct", F.floor(F.col("t") / seconds))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    left = base.withColumn("_s", F.explode(shifts)).select(F.col("id").alias("a"), F.col("t").alias("t1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("cy") + F.col("_s.i")).alias("cy"), (F.col("cx") + F.col("_s.j")).alias("cx"), (F.col("ct") + F.col("_s.k")).alias("ct"))
-    right = base.select(F.col("id").alias("b"), F.col("t").alias("t2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cy", "cx", "ct")
-    pairs = left.join(right, ["cy", "cx", "ct"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("t1") - F.col("t2")) <= seconds))
-    return pairs.withColumn("distance_m", F.expr(geo.spheroid("lat1", "lon1", "lat2", "lon2"))).where(F.col("distance_m") <= metres).select("a", "b", "distance_m")
+    """(a, b, distance_m), a < b: signals within `metres` and `minutes` of each other."""
+    return pairs_within(signals.where("lat IS NOT NULL").select("id", "lat", "lon", F.unix_timestamp("ts").alias("t")), [], metres, int(minutes * 60))
 
 
 def merge_pairs(incidents: DataFrame, metres: float, since) -> DataFrame:
     """(a, b), a < b: open incidents of one family seen since, at most `metres` apart."""
-    opened = incidents.where(F.col("status").isin("active", "controlled") & (F.col("last_seen_at") >= F.lit(since)) & F.col("lat").isNotNull())
-    step_lat = metres * _DEGREE
-    step_lon = step_lat / 0.5
-    base = opened.select(F.col("incident_id").alias("id"), "family", "lat", "lon", F.floor(F.col("lat") / step_lat).alias("cy"), F.floor(F.col("lon") / step_lon).alias("cx"))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = base.withColumn("_s", F.explode(shifts)).select(F.col("id").alias("a"), "family", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("cy") + F.col("_s.i")).alias("cy"), (F.col("cx") + F.col("_s.j")).alias("cx"))
-    joined = left.join(base, ["family", "cy", "cx"]).where(F.col("a") < F.col("id"))
-    return joined.where(F.expr(geo.spheroid("lat1", "lon1", "lat", "lon")) <= metres).select("a", F.col("id").alias("b"))
+    opened = incidents.where(F.col("status").isin(*P.OPEN_STATUSES) & (F.col("last_seen_at") >= F.lit(since)) & F.col("lat").isNotNull())
+    return pairs_within(opened.select(F.col("incident_id").alias("id"), "family", "lat", "lon"), ["family"], metres).select("a", "b")
 
 
 def survivors(pairs: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ def with_codes(incidents: DataFrame, year: int, last: int = 0) -> DataFrame:
     return rows.withColumn("code", F.format_string(f"INC-{year}-%05d", (F.col("_number") + last).cast("int"))).drop("_number")
 
 
+def last_code(incidents: DataFrame, year: int) -> int:
+    """The greatest number that a folio of the year has; 0 where none has one, so that each year begins anew."""
+    number = F.regexp_extract("code", rf"^INC-{year}-(\d+)$", 1).try_cast("long")
+    return incidents.agg(F.coalesce(F.max(number), F.lit(0))).first()[0]
+
+
 def expire(incidents: DataFrame, now, policy: P.Policy = P.Policy()) -> DataFrame:
     """Status after time has passed: first lone citizen reports are dismissed, then silent active incidents go stale."""
     at = F.lit(now)

@@ -22,9 +22,10 @@ def in_box(box: tuple[float, float, float, float]) -> Column:
     return F.expr(geo.in_box("lat", "lon", box))
 
 
-def within(lat: float, lon: float, metres: float) -> Column:
-    """Radius filter: a box that reaches the scan, then the distance."""
-    return in_box(geo.around(lat, lon, metres)) & (F.expr(geo.spheroid(f"{lat}e0", f"{lon}e0", "lat", "lon")) <= metres)
+def within(df: DataFrame, lat: float, lon: float, metres: float) -> DataFrame:
+    """Rows in a radius, with distance_m: a box that reaches the scan, then the distance."""
+    boxed = df.where(in_box(geo.around(lat, lon, metres)))
+    return geo.with_spheroid(boxed, "distance_m", F.lit(lat), F.lit(lon), "lat", "lon").where(F.col("distance_m") <= metres)
 
 
 def filter_events(df: DataFrame, since=None, until=None, sources=(), types=(), least=None, box=None, near=None) -> DataFrame:
@@ -42,17 +43,15 @@ def filter_events(df: DataFrame, since=None, until=None, sources=(), types=(), l
     if box:
         df = df.where(in_box(box))
     if near:
-        df = df.where(within(*near))
+        df = within(df, *near).drop("distance_m")
     return df
 
 
 def neighbours_of(df: DataFrame, lat: float, lon: float, at: Column, metres: float = 2000.0, minutes: float = 60, own: int | None = None) -> DataFrame:
     """Signals around one place and time, with distance_m, without the signal `own`."""
     span = F.make_dt_interval(mins=F.lit(int(minutes)))
-    found = df.where(F.col("ts").between(at - span, at + span) & within(lat, lon, metres))
-    if own is not None:
-        found = found.where(F.col("id") != own)
-    return found.withColumn("distance_m", F.expr(geo.spheroid(f"{lat}e0", f"{lon}e0", "lat", "lon")))
+    found = within(df.where(F.col("ts").between(at - span, at + span)), lat, lon, metres)
+    return found if own is None else found.where(F.col("id") != own)
 
 
 def visible(df: DataFrame, layers: tuple[str, ...], providers: tuple[str, ...], known: tuple[str, ...] = ("chilquinta", "cge")) -> DataFrame:

@@ -1,20 +1,14 @@
-"""Validation and idempotent writes of signals: copy-on-write snapshots instead of updates in place."""
+"""Validation and idempotent merges of signals."""
 
 from __future__ import annotations
 
-import time
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom import policy as P
 from signalloom.functions import cases
 from signalloom.operators.listing import in_box
-from signalloom.tables import numbered
+from signalloom.tables import materialise, numbered
 
 #: What an update leaves as it was.
 KEPT = ("id", "ts", "ingested_at", "incident_id", "processed_at")
@@ -55,26 +49,31 @@ def last_of_batch(batch: DataFrame, order: str) -> DataFrame:
     return last.unionByName(batch.where(F.col("external_id").isNull()).withColumn("position", F.col(order)))
 
 
-def upsert(stored: DataFrame, batch: DataFrame, order: str = "position") -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, order: str = "position", top: int | None = None) -> DataFrame:
     """The stored rows with the batch merged in by (source, external_id), and `outcome`: kept, updated or inserted.
 
-    A known row takes the batch's values, nulls too, but for KEPT; new rows get ids after the largest, in order.
-    Rows without external_id are always new. The batch has one row a key (last_of_batch).
+    A known row takes the batch's values, nulls too, but for KEPT; new rows get ids after the largest (after `top` where
+    it is given), in order. Rows without external_id are always new. The batch has one row a key (last_of_batch). Both
+    sides meet once; rows without external_id, which meet nothing, are spread over all tasks.
     """
-    columns = stored.columns
-    keys = ["source", "external_id"]
-    keyed = batch.where(F.col("external_id").isNotNull())
-    s, b = stored.alias("s"), keyed.select(*[c for c in columns if c in batch.columns], F.lit(True).alias("_new")).alias("b")
-    joined = s.join(b, (F.col("s.source") == F.col("b.source")) & (F.col("s.external_id") == F.col("b.external_id")), "left")
-    new = F.col("b._new").isNotNull()
-    value = lambda c: F.when(new, F.col(f"b.{c}") if c in batch.columns else F.lit(None)).otherwise(F.col(f"s.{c}")) if c not in KEPT else F.col(f"s.{c}")
-    known = joined.select(*[value(c).alias(c) for c in columns], F.when(new, "updated").otherwise("kept").alias("outcome"))
-    added = keyed.join(stored.select(*keys), keys, "left_anti").unionByName(batch.where(F.col("external_id").isNull()))
-    types = {f.name: f.dataType for f in stored.schema}
-    added = added.select(*[(F.col(c) if c in batch.columns else F.lit(None).cast(types[c])).alias(c) for c in columns if c != "id"], F.col(order).alias("_order"))
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    added = numbered(added, ["_order"], "_r").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_r"))
-    return known.unionByName(added.select(*columns, F.lit("inserted").alias("outcome")))
+    columns, types = stored.columns, {f.name: f.dataType for f in stored.schema}
+    keyless = F.col("external_id").isNull()
+    spread = lambda c: F.when(keyless, F.xxhash64(c)).otherwise(F.lit(0)).alias("_salt")
+    s = stored.select(F.struct(*columns).alias("_s"), "source", "external_id", spread("id"))
+    given = [F.col(c) if c in batch.columns else F.lit(None).cast(types[c]).alias(c) for c in columns]
+    b = batch.select(F.struct(*given).alias("_b"), F.col(order).alias("_order"), "source", "external_id", spread(order))
+    met = s.join(b, ["source", "external_id", "_salt"], "full")
+    old, new = F.col("_s").isNotNull(), F.col("_b").isNotNull()
+    outcome = F.when(~old, "inserted").when(new, "updated").otherwise("kept")
+    value = lambda c: F.when(new & ~(old & F.lit(c in KEPT)), F.col(f"_b.{c}")).otherwise(F.col(f"_s.{c}")).alias(c)
+    met = materialise(met.select(*map(value, columns), outcome.alias("outcome"), "_order"), "merged")
+    known, added = met.where("outcome <> 'inserted'"), met.where("outcome = 'inserted'")
+    least = F.lit(top) if top is not None else F.col("_top")
+    added = numbered(added, ["_order"], "_r")
+    if top is None:
+        added = added.crossJoin(F.broadcast(known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))))
+    added = added.withColumn("id", (least + F.col("_r")).cast(types["id"]))
+    return known.select(*columns, "outcome").unionByName(added.select(*columns, "outcome"))
 
 
 def upsert_by(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,84 +108,6 @@ def assigned(events: DataFrame, ids: DataFrame, incident: int, now) -> DataFrame
     return out.withColumns({"incident_id": F.when(F.col("_mine"), F.lit(incident)).otherwise(F.col("incident_id")), "processed_at": F.when(F.col("_mine"), F.lit(now)).otherwise(F.col("processed_at"))}).drop("_mine")
 
 
-class Snapshots:
-    """Versions of one or several tables: each commit writes a whole version, then names it in a pointer file.
-
-    A reader sees the version that the pointer names; the pointer is renamed into place, so there is no moment
-    without one, and a commit that fails leaves no trace there. A lease keeps a second writer out.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _file(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _write(self, name: str, text: str, overwrite: bool) -> None:
-        path, fs = self._file(name)
-        stream = fs.create(path, overwrite)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-
-    def _text(self, name: str) -> str | None:
-        path, fs = self._file(name)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
-
-    def version(self) -> int:
-        return int(self._text("_current") or 0)
-
-    def read(self, table: str = "") -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v={now}/{table}") if (now := self.version()) else None
-
-    def commit(self, df: DataFrame) -> int:
-        return self.commit_all({"": df})
-
-    def commit_all(self, tables: dict[str, DataFrame]) -> int:
-        """All tables as one version: readers see all of them or none."""
-        then = self.version() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={then}/{name}")
-        new = f"_current-{uuid.uuid4().hex}"
-        self._write(new, str(then), True)
-        self._rename(new, "_current")
-        return then
-
-    def _rename(self, old: str, new: str) -> None:
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        context = fs.FileContext.getFileContext(self._file(old)[0].toUri(), self.spark._jsc.hadoopConfiguration())
-        kinds = self.spark._sc._gateway.new_array(fs.Options.Rename, 1)
-        kinds[0] = fs.Options.Rename.OVERWRITE
-        context.rename(self._file(old)[0], self._file(new)[0], kinds)
-
-    @contextmanager
-    def lease(self, seconds: float = 600.0) -> Iterator[bool]:
-        """True for the one writer that holds the lease, false while another holds it; a lease that ran out is taken over."""
-        held = self._text("_lease")
-        if held is not None and float(held.split()[0]) > time.time():
-            yield False
-            return
-        mine = f"{time.time() + seconds} {uuid.uuid4().hex}"
-        try:
-            if held is not None:
-                self._file("_lease")[1].delete(self._file("_lease")[0], False)
-            self._write("_lease", mine, False)
-        except Py4JJavaError:  # another writer was first
-            yield False
-            return
-        try:
-            yield True
-        finally:
-            if self._text("_lease") == mine:
-                self._file("_lease")[1].delete(self._file("_lease")[0], False)
-
-
 def run_row(spark: SparkSession, collector: str, fetched: int, inserted: int, rejected: int, warnings: int = 0, error: str | None = None) -> DataFrame:
     """One row of the run log: failed on an error, partial on rejects or warnings, else success."""
     status = "failed" if error else "partial" if rejected or warnings else "success"

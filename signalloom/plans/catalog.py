@@ -62,8 +62,7 @@ def box(spark, d):
 
 @query("p05_radius", f"SELECT id, round({geo.spheroid('-33.02e0', '-71.55e0', 'lat', 'lon')}, 2) AS distance_m FROM signals WHERE {geo.spheroid('-33.02e0', '-71.55e0', 'lat', 'lon')} <= 30000e0")
 def radius(spark, d):
-    rows = signals(spark, d).where(listing.within(*PLACE, 30000.0))
-    return rows.select("id", F.round(F.expr(geo.spheroid("-33.02e0", "-71.55e0", "lat", "lon")), 2).alias("distance_m"))
+    return listing.within(signals(spark, d), *PLACE, 30000.0).select("id", F.round("distance_m", 2).alias("distance_m"))
 
 
 @query("p07_candidates", f"""SELECT id, confidence, ts FROM signals WHERE lat IS NOT NULL AND ts >= TIMESTAMP '{SINCE}' AND type NOT IN ({cases.listed(P.NOT_CORRELATABLE)})
@@ -351,9 +350,8 @@ _NEAREST = _NEAR + " SELECT cluster_id, arg_min(incident_id, {'d': distance_m, '
 
 
 @query("j02_nearest_open", _NEAREST)
-@query("j02_nearest_open_all", _NEAREST)
 def nearest_open(spark, d):
-    """Every recent located signal's nearest incident; both names are the same query."""
+    """Every recent located signal's nearest incident."""
     found = recent(spark, d).selectExpr("id AS cluster_id", f"{cases.family('type')} AS family", "lat", "lon")
     out = cluster.nearest_open(found, incidents(spark, d), 15000.0, stamp(SINCE))
     return out.select("cluster_id", "incident_id", F.round("distance_m", 2).alias("distance_m"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from signalloom import policy as P
 from signalloom.functions import geo
-from signalloom.operators import alerts, cluster, lifecycle, score, store
-from signalloom.tables import materialise, numbered
+from signalloom.operators import alerts, attach, cluster, lifecycle, score
+from signalloom.operators.versions import Versions
+from signalloom.tables import counted, materialise
 
 INCIDENTS = """incident_id long, first_seen_at timestamp, last_seen_at timestamp, sources array<string>, commune string, province string,
  is_official_confirmed boolean, source_count long, event_count long, breakdown array<struct<source:string,contribution:double,signals:long>>, confidence double,
@@ -22,9 +23,12 @@ LINKS = "incident_id long, event_id long, link_method string, link_confidence do
 
 @dataclass
 class Pass:
+    """Tables after a pass; changed: the signals that it gave an incident, whole rows."""
+
     signals: DataFrame
     incidents: DataFrame
     links: DataFrame
+    changed: DataFrame
     metrics: dict[str, int]
     warnings: list[str] = field(default_factory=list)
     seconds: float = 0.0
@@ -44,85 +48,96 @@ def _refreshed(incidents: DataFrame, links: DataFrame, signals: DataFrame) -> Da
     return new.select(*names).unionByName(incidents.join(new.select("incident_id"), "incident_id", "left_anti").select(*names))
 
 
+def _opened(targets: DataFrame, members: DataFrame, incidents: DataFrame, year: int, top: int) -> DataFrame:
+    """Rows of new incidents: the times of their signals, the type that these support best by confidence summed, and the next folios of the year."""
+    fresh = targets.where("created").select("cluster_id", "incident_id", F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))
+    kinds = members.groupBy("cluster_id", "type").agg(F.sum("confidence").alias("_c")).groupBy("cluster_id").agg(F.max_by("type", F.struct("_c", "type")).alias("type"))
+    seeds = members.groupBy("cluster_id", "family").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at")).join(kinds, "cluster_id")
+    code = F.format_string(f"INC-{year}-%05d", F.col("incident_id") - F.lit(top) + F.lit(lifecycle.last_code(incidents, year)))
+    rows = fresh.join(seeds, "cluster_id").withColumns({"status": F.lit("active"), "code": code})
+    typed = {f.name: f.dataType for f in incidents.schema}
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None).cast(typed[c])).alias(c) for c in incidents.columns])
+
+
 def correlate(signals: DataFrame, incidents: DataFrame, links: DataFrame, now: str, policy: P.Policy = P.Policy()) -> Pass:
     """signals need id, ts, source, type, lat, lon, confidence, text, commune, province, state, incident_id, updated_at.
 
-    All clusters of a pass are attached at once, to incidents as they were before it; clusters of one family that
-    would have joined an incident opened in the same pass are joined by the merge step instead. The result does not
-    depend on the order of rows.
+    Clusters are attached in the order of their most confident signals, each meeting the incidents as those before it
+    have left them (attach.in_order). The result does not depend on the order of rows.
     """
-    spark = signals.sparkSession
     began = time.monotonic()
     at = F.lit(now).cast("timestamp")
     back = lambda hours: at - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(round(hours % 1 * 60)))
+    one = F.count(F.lit(1))
     free = signals.where(F.col("incident_id").isNull() & F.col("lat").isNotNull() & (F.col("ts") >= back(policy.window_h)) & ~F.col("type").isin(*P.NOT_CORRELATABLE))
     if policy.most_events is not None:  # the others stay free for later passes
         free = free.orderBy(F.col("confidence").desc(), "ts", "id").limit(policy.most_events)
-    free = materialise(free.drop("incident_id"), "candidates")
+    free, seen_free = counted(free.drop("incident_id"), "candidates", events_considered=one)
     members = materialise(cluster.clusters(free, policy.radius_m).join(free, "id"), "members")
     places = cluster.cluster_centroids(members).join(members.select("cluster_id", "family").distinct(), "cluster_id")
-    near = cluster.nearest_open(places, incidents, policy.radius_m, back(policy.match_window_h))
-    judged = cluster.open_or_defer(members, policy.min_signals).join(places, "cluster_id").join(near, "cluster_id", "left")
-    judged = materialise(judged, "judged")
+    judged = cluster.open_or_defer(members, policy.min_signals).join(places, "cluster_id").join(attach.cluster_order(members), "cluster_id")
     top = incidents.agg(F.coalesce(F.max("incident_id"), F.lit(0))).first()[0]
-    fresh = numbered(judged.where("incident_id IS NULL AND opens").drop("incident_id"), ["cluster_id"], "_number")
-    fresh = fresh.withColumn("incident_id", F.col("_number") + F.lit(top).cast("long")).drop("_number")
-    known = judged.where("incident_id IS NOT NULL").join(incidents.select("incident_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "incident_id")
-    targets = known.select("cluster_id", "incident_id", "lat2", "lon2").unionByName(fresh.select("cluster_id", "incident_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2")))
-    spatial = members.join(targets, "cluster_id").select("incident_id", F.col("id").alias("event_id"), F.lit("spatial").alias("link_method"), F.lit(1.0).alias("link_confidence"), F.round(F.expr(geo.spheroid("lat2", "lon2", "lat", "lon")), 2).alias("distance_m"), F.lit(None).cast("string").alias("matched_commune"))
-    links = materialise(links.unionByName(spatial), "links")
-    # A new incident begins with the times of its signals and the type that they support best, by confidence summed.
-    kinds = members.groupBy("cluster_id", "type").agg(F.sum("confidence").alias("_c")).groupBy("cluster_id").agg(F.max_by("type", F.struct("_c", "type")).alias("type"))
-    seeds = members.groupBy("cluster_id", "family").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at")).join(kinds, "cluster_id")
-    fresh = fresh.drop("type", "family").join(seeds, "cluster_id")
-    stub = {"incident_id": F.col("incident_id"), "status": F.lit("active"), **{c: F.col(c) for c in ("first_seen_at", "last_seen_at", "type", "family", "lat", "lon")}}
-    opened = lifecycle.with_codes(fresh.select(*[stub[c].alias(c) for c in stub]), int(now[:4]), top)
-    typed = {f.name: f.dataType for f in incidents.schema}
-    opened = opened.select(*[(F.col(c) if c in opened.columns else F.lit(None).cast(typed[c])).alias(c) for c in incidents.columns])
+    attached = attach.in_order(judged, members, incidents, links, signals, policy.radius_m, back(policy.match_window_h), top)
+    targets = attached.targets
+    paired = geo.with_spheroid(members.join(targets, "cluster_id"), "_away", "lat2", "lon2", "lat", "lon")
+    spatial = paired.select("incident_id", F.col("id").alias("event_id"), F.lit("spatial").alias("link_method"), F.lit(1.0).alias("link_confidence"), F.round("_away", 2).alias("distance_m"), F.lit(None).cast("string").alias("matched_commune"))
+    spatial, seen_links = counted(spatial, "spatial", spatial_links=one)
+    links = links.unionByName(spatial)
+    opened = _opened(targets, members, incidents, int(now[:4]), top)
+    made = targets.agg(F.count_if("created").alias("incidents_created"), one.alias("incidents_updated")).first().asDict()
     incidents = materialise(_refreshed(incidents.unionByName(opened), links, signals), "incidents")
 
     kept = materialise(cluster.survivors(cluster.merge_pairs(incidents, policy.radius_m, back(policy.match_window_h))), "survivors")
     gone = kept.where("incident_id <> kept_id").select("incident_id", "kept_id")
-    merged = incidents.join(gone, "incident_id", "left").withColumn("status", F.when(F.col("kept_id").isNotNull(), "merged").otherwise(F.col("status"))).withColumn("merged_into_id", F.coalesce("kept_id", "merged_into_id")).select(*incidents.columns)
+    merged = incidents.join(gone, "incident_id", "left").withColumn("status", F.when(F.col("kept_id").isNotNull(), "merged").otherwise(F.col("status"))).withColumn("merged_into_id", F.coalesce("kept_id", "merged_into_id"))
+    eye = F.col("status").isin(*P.OPEN_STATUSES) & (F.col("last_seen_at") >= back(policy.active_window_h))
+    merged, seen_merged = counted(merged, "merged", incidents_merged=F.count("kept_id"), open=F.count_if(eye), incidents_without_commune=F.count_if(eye & F.col("commune").isNull()))
+    merged = merged.select(*incidents.columns)
     links = materialise(cluster.relink(links, kept).select(*links.columns), "links")
 
-    due = alerts.vigent_alerts(signals, back(policy.alert_valid_h))
-    seen = merged.where(F.col("status").isin(*P.OPEN_STATUSES) & (F.col("last_seen_at") >= back(policy.active_window_h)))
-    text_links = alerts.match_alerts(due, seen, policy.attach_regional)
-    if seen.isEmpty():  # without open incidents, earlier text links stay
-        relinked = links
-    else:
-        relinked = materialise(alerts.rebuild_text_links(links, text_links).select(*links.columns), "links")
-    final = materialise(lifecycle.expire(_refreshed(merged, relinked, signals), at, policy), "incidents")
+    due, seen_due = counted(alerts.vigent_alerts(signals, back(policy.alert_valid_h)), "alerts", alerts_considered=one)
+    text_links = alerts.match_alerts(due, merged.where(eye), policy.attach_regional)
+    # Without open incidents, earlier text links stay.
+    relinked = alerts.rebuild_text_links(links, text_links).select(*links.columns) if seen_merged["open"] else links
+    relinked, seen_text = counted(relinked, "links", alert_links=F.count_if(F.col("link_method") == "commune_text"))
+    fresh = _refreshed(merged, relinked, signals).withColumn("_before", F.col("status"))
+    turned = lambda s: F.count_if((F.col("status") == s) & (F.col("_before") != s))
+    final, seen_final = counted(lifecycle.expire(fresh, at, policy), "incidents", incidents_stale=turned("stale"), incidents_dismissed=turned("dismissed"))
+    final = final.drop("_before")
 
     pointer = relinked.where("link_method = 'spatial'").groupBy("event_id").agg(F.min("incident_id").alias("_incident"))
     stamped = F.col("processed_at") if "processed_at" in signals.columns else F.lit(None).cast("timestamp")
-    assigned = signals.join(pointer, F.col("id") == F.col("event_id"), "left").withColumn("processed_at", F.when(F.col("_incident").isNotNull() & F.col("incident_id").isNull(), at).otherwise(stamped))
-    assigned = assigned.withColumn("incident_id", F.coalesce("_incident", "incident_id")).drop("_incident", "event_id")
-    counts = final.groupBy("status").count().collect()
-    metrics = {f"incidents_{r['status']}": r["count"] for r in counts}
-    opens = judged.agg(F.count_if(F.expr("incident_id IS NOT NULL")).alias("a"), F.count_if(F.expr("incident_id IS NULL AND opens")).alias("c"), F.count_if(F.expr("incident_id IS NULL AND NOT opens")).alias("d")).first()
-    links_by = {r["link_method"]: r["count"] for r in relinked.groupBy("link_method").count().collect()}
-    metrics |= {"clusters_attached": opens["a"], "incidents_created": opens["c"], "clusters_deferred": opens["d"], "merged": gone.count(), "spatial_links": links_by.get("spatial", 0), "text_links": links_by.get("commune_text", 0)}
-    told = []
-    if not metrics["clusters_attached"] + metrics["incidents_created"] + metrics["clusters_deferred"]:
-        told.append("no free signals with a place")
-    if not metrics["text_links"] and not due.isEmpty():
+    pointed = signals.join(pointer, F.col("id") == F.col("event_id"), "left").withColumn("processed_at", F.when(F.col("_incident").isNotNull() & F.col("incident_id").isNull(), at).otherwise(stamped))
+    pointed = pointed.withColumn("_moved", F.col("_incident").isNotNull() & ~F.col("incident_id").eqNullSafe(F.col("_incident"))).withColumn("incident_id", F.coalesce("_incident", "incident_id")).drop("_incident", "event_id")
+    metrics = {
+        **seen_free, "clusters": attached.clusters, **made, "clusters_deferred": attached.clusters - made["incidents_updated"], **seen_links, **seen_merged, **seen_due, **seen_text, **seen_final,
+        "rounds": attached.rounds,
+    }
+    del metrics["open"]
+    told = [] if metrics["clusters"] else ["no free signals with a place"]
+    if metrics["alerts_considered"] and not metrics["alert_links"]:
         told.append("alerts without an incident")
-    return Pass(assigned, final, relinked, metrics, told, round(time.monotonic() - began, 3))
+    return Pass(pointed.drop("_moved"), final, relinked, pointed.where("_moved").drop("_moved"), metrics, told, round(time.monotonic() - began, 3))
 
 
-def stored_pass(store_: store.Snapshots, now: str, policy: P.Policy = P.Policy()) -> Pass | None:
-    """A pass over the tables signals, incidents and links of a store, committed as one version; None while another writer holds the lease."""
-    with store_.lease() as mine:
-        if not mine:
+def stored_pass(tables: Versions, now: str, policy: P.Policy = P.Policy(), lease_s: float = 600.0) -> Pass | None:
+    """A pass over the tables signals, incidents and links of a store, committed as one version; None while another writer holds the lease.
+
+    Of the signals only the buckets of those that got an incident are rewritten. If another writer commits meanwhile, or
+    takes the lease over, the pass is refused as a whole with a Conflict.
+    """
+    with tables.lease(lease_s) as mine:
+        if mine is None:
             warnings.warn("another pass is running: this one is skipped", stacklevel=2)
             return None
-        signals = store_.read("signals")
+        base = tables.version()
+        signals = tables.read("signals", base)
         if signals is None:
             raise ValueError("no signals are stored")
-        done = correlate(signals, store_.read("incidents"), store_.read("links"), now, policy)
-        store_.commit_all({"signals": done.signals, "incidents": done.incidents, "links": done.links})
+        if "processed_at" not in signals.columns:
+            raise ValueError("stored signals need a column processed_at")
+        done = correlate(signals, tables.read("incidents", base), tables.read("links", base), now, policy)
+        tables.commit({"incidents": done.incidents, "links": done.links}, base, mine, {"signals": done.changed.select(*signals.columns)})
         return done
 
 

@@ -32,7 +32,8 @@ _FAR = geo.spheroid("lat", "lon", "-33.0245e0", "-71.5518e0")
 
 @query("f20_spheroid_distance", f"SELECT id, round({_FAR}, 2) AS metres FROM signals WHERE lat IS NOT NULL")
 def spheroid_distance(spark, d):
-    return signals(spark, d).where("lat IS NOT NULL").select("id", F.round(F.expr(_FAR), 2).alias("metres"))
+    placed = signals(spark, d).where("lat IS NOT NULL")
+    return geo.with_spheroid(placed, "_away", "lat", "lon", F.lit(-33.0245), F.lit(-71.5518)).select("id", F.round("_away", 2).alias("metres"))
 
 
 @query("f34_winds", "SELECT id, CAST(id % 90 AS DOUBLE) AS wind_speed, CAST((id * 31) % 400 AS DOUBLE) AS wind_direction FROM signals WHERE id % 7 <> 0 AND id % 11 <> 0 AND (id * 31) % 400 <= 360")

@@ -11,32 +11,33 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalloom.operators import store
+from signalloom.operators.versions import SIGNALS, Versions
 from signalloom.tables import tasks
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, now: str, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Merges each batch of new JSON signals under `source` into the snapshots under `target`, then calls `after` with the stored rows.
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, now: str, after: Callable[[DataFrame, int], None] | None = None, every: str | None = None, name: str = "ingest") -> StreamingQuery:
+    """Merges each batch of new JSON signals under `source` into the table `signals` of the store under `target`, then calls `after` with the stored rows.
 
-    A batch is validated, its last row of each key is kept, and the snapshot is written whole before the pointer
-    moves: a batch that is run again merges the same rows and changes nothing. Batches come one at a time, so there
-    is one writer.
+    A batch is validated and its last row of each key is kept; only the buckets of its keys are read and written. The
+    version that a batch makes has the batch's number, so that one run again after a crash is not merged twice. All that
+    is there is taken and the query ends; with `every` (like '1 minute') it goes on until it is stopped. Its second
+    writer, if there is one, makes a batch fail with a Conflict, and the batch is run again from its checkpoint.
     """
-    table = store.Snapshots(spark, target)
+    table = Versions(spark, target, {"signals": SIGNALS})
+    if not table.version():
+        table.commit({"signals": spark.createDataFrame([], f"id long, {schema}")})
 
     def merge(batch: DataFrame, epoch: int) -> None:
         good, _ = store.split_valid(store.validated(batch, F.lit(now).cast("timestamp")))
         good = good.withColumn("_seq", F.xxhash64("ts", "source", "external_id", "text"))
         last = store.last_of_batch(good.withColumn("_seq", F.struct("ts", "_seq")), "_seq").drop("_seq")
-        old = table.read()
-        if old is None:
-            old = spark.createDataFrame([], f"id long, {schema}")
-        merged = store.upsert(old, last).drop("outcome")
-        table.commit(merged)
+        table.upsert("signals", last, applied=(name, epoch))
         if after:
-            after(table.read(), epoch)
+            after(table.read("signals"), epoch)
 
+    when = {"processingTime": every} if every else {"availableNow": True}
     stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 def windowed_counts(stream: DataFrame, late: str = "4 hours", size: str = "1 hour") -> DataFrame:

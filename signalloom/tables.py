@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """A table of materialise(), and aggregates of its rows taken while it was written; those without a value are 0."""
+    seen = Observation()
+    table = materialise(df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counts.items()]), name)
+    return table, observed(seen, *counts)
+
+
+def observed(seen: Observation, *names: str) -> dict[str, int]:
+    """What was observed; 0 for all names where Spark knew before that there were no rows, and so took no count."""
+    try:
+        return seen.get
+    except Py4JJavaError as e:
+        if "assertion failed" not in str(e.java_exception):
+            raise
+        return dict.fromkeys(names, 0)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of materialise() that nothing will read again."""
     jvm = df.sparkSession._jvm
