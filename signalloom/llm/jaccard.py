@@ -297,7 +297,7 @@ def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def needed_texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(f1, text) of the sets in reps (f1, doc_id, h), one document each.
 
-    Only documents that a bounded table of bits lets pass are shuffled; the bits are those of reps' keys, and let pass
+    One text a set, however often its row comes. Only documents that a bounded table of bits lets pass are shuffled; the bits are those of reps' keys, and let pass
     more documents than needed at most.
     """
     spark = docs.sparkSession
@@ -318,12 +318,21 @@ def needed_texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(bits.ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for rows in batches:
-            yield rows.filter(pa.array(is_marked(shared.value, rows.column("slot").to_numpy())))
+            keep = is_marked(shared.value, rows.column("slot").to_numpy())
+            ids, hashes = rows.column("doc_id").to_numpy(), rows.column("h").to_numpy()
+            for i in np.flatnonzero(keep).tolist():
+                key = int(ids[i]), int(hashes[i])
+                keep[i] = key not in seen
+                seen.add(key)
+            yield rows.filter(pa.array(keep))
 
     schema = "doc_id long, h long, text string, slot long"
     passed = docs.select("doc_id", "h", "text", slot.alias("slot")).mapInArrow(run, schema)
-    return materialise(passed.join(reps.hint("shuffle_hash"), ["doc_id", "h"]).select("f1", "text"), "texts")
+    found = materialise(passed.join(reps.hint("shuffle_hash"), ["doc_id", "h"]).select("f1", "text"), "texts")
+    # A row that comes again is passed on once a task at most; only then is there more than a text a set.
+    return found if found.count() == reps.count() else materialise(found.dropDuplicates(["f1"]), "texts")
 
 
 LINKS = "a long, b long"
@@ -466,18 +475,20 @@ def jaccard_join(docs: DataFrame, frequent: int = FREQUENT, few: int = FEW, bloc
     """(doc_id, n_shingles, component_id) of (doc_id, text): set size and the least doc_id reachable by links.
 
     Two documents link if 100 * intersection >= 75 * union of their sets of 5-word shingles, words lower-cased. Equal
-    sets are one class: one of each class is compared, and its other documents are tied to the class's least doc_id.
-    A null, empty or blank text has no shingles and stands alone. Rows of equal doc_id are one document of several
-    texts: they share a component. A null doc_id comes after all others. An empty table gives an empty result.
+    sets are one class, and classes are what is compared and linked. A null, empty or blank text has no shingles and
+    stands alone. Rows of equal doc_id are one document of several texts: they share a component. Rows without a doc_id
+    are each a document of its own, grouped by its text alone; a component of such rows only has no component_id. An
+    empty table gives an empty result.
     """
-    every, known, reps, links = linked_sets(keyed(docs), frequent, few, block)
-    name = lambda x: reps.select(F.col("f1").alias(x), F.col("doc_id").alias(f"doc_{x}"))
-    edges = links.join(name("a"), "a").join(name("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    same = every.where("n > 0").join(known.select("f1", "f2", "n", F.col("doc_id").alias("rep")), ["f1", "f2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    joined = components(edges.union(same))
-    out = every.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("node"), "left")
-    real = lambda c: F.when(c != NULL_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    every, known, _, links = linked_sets(keyed(docs), frequent, few, block)
+    several = every.where((F.col("n") > 0) & (F.col("doc_id") != NULL_ID)).groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high")
+    tied = every.where("n > 0").join(several, "doc_id").where("f1 <> low").select(F.col("f1").alias("a"), F.col("low").alias("b"))
+    grouped = known.select("f1", "f2", "n", "doc_id").join(components(links.union(tied)), F.col("f1") == F.col("node"), "left").withColumn("g", F.coalesce("component", "f1"))
+    least = grouped.groupBy("g").agg(F.min("doc_id").alias("least"))
+    labels = grouped.join(least, "g").select("f1", "f2", "n", "least")
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    shaped = lambda rows, c: rows.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real(c).alias("component_id"))
+    return shaped(every.where("n > 0").join(labels, ["f1", "f2", "n"]), "least").union(shaped(every.where("n = 0"), "doc_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from signalloom.llm.anchors import keyed
-from signalloom.llm.jaccard import Forest, frequent_marks, is_marked, jaccard_join, names_of, needed, signatures, spanning_links
+from signalloom.llm.jaccard import Forest, frequent_marks, is_marked, jaccard_join, linked_sets, names_of, needed, needed_texts, signatures, spanning_links
 from signalloom.llm.shingles import Sets
 from signalloom.operators.graph import components
 
@@ -28,7 +28,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             inter = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and (100 * inter >= 75 * len(sets[i] | sets[j]) or rows[i][0] == rows[j][0]):
+            if sets[i] and sets[j] and (100 * inter >= 75 * len(sets[i] | sets[j]) or rows[i][0] is not None and rows[i][0] == rows[j][0]):
                 f.join(i, j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -90,6 +90,25 @@ def test_sets_of_one_print_go_by_the_other():
     assert list(names_of(f1, f2, np.array([5]))) == [8, 9, 6] and names_of(f1, f2, np.zeros(0, np.int64)) is f1
 
 
+def test_rows_without_an_id_are_grouped_by_their_texts(spark):
+    rng = random.Random(6)
+    some = lambda k: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(k))
+    a, b, c = some(60), some(60), some(60)
+    rows = [(3, a), (None, a + " end"), (7, b), (None, b + " end"), (None, c), (None, c + " end")]
+    assert run(spark, rows) == brute(rows)
+    assert {r[2] for r in run(spark, rows) if r[0] == 7} == {7}
+
+
+def test_one_text_a_set_is_carried(spark):
+    """Many copies of one row and one near copy of it: two sets, two texts."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text)] * 1500 + [(None, text + " end")] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    every, known, reps, links = linked_sets(keyed(df), 2, 2, 500)
+    assert known.count() == 2 == reps.count() == needed_texts(keyed(df), reps).count() and len(links.collect()) >= 1
+    assert {r[2] for r in run(spark, rows)} == {1}
+
+
 def test_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1)]
