@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.operators import cluster, score
-from signalloom.tables import discard, materialise, numbered
+from signalloom.tables import counted, discard, materialise, numbered
 
 #: Distances are good to a few parts in a hundred thousand; waiting for one too many does no harm.
 _SLACK = 1.001
@@ -48,54 +48,61 @@ def in_order(judged: DataFrame, members: DataFrame, incidents: DataFrame, links:
     Incidents are taken to stand at the centre of their linked signals, as refreshing leaves them. New ones get numbers
     after `top` in the order of their clusters.
     """
-    spark = judged.sparkSession
-    rows = materialise(numbered(judged, ["_c", "_t", "_i"], "number"), "clusters")
-    near = cluster.pairs_within(rows.select(F.col("number").alias("id"), "family", "lat", "lon"), ["family"], 2 * metres * _SLACK)
-    waits = materialise(near.select("a", "b"), "waits")
     state = incidents.select("incident_id", "family", "status", "last_seen_at", "lat", "lon")
-    own_columns = ["incident_id", "family", "id", "ts", "source", "lat", "lon", "confidence", "state"]
-    # Signals of the incidents that clusters with neighbours can reach: only these can move under another cluster's eyes.
-    tangled = rows.join(waits.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
-    reached = cluster.reachable(tangled.select("cluster_id", "family", "lat", "lon"), state, metres * _SLACK, since).select("incident_id").distinct()
-    known = links.where("link_method = 'spatial'").select("incident_id", F.col("event_id").alias("id"))
-    held = known.join(reached, "incident_id", "left_semi").join(state.select("incident_id", "family"), "incident_id")
-    history = materialise(held.join(signals.select("id", "ts", "source", "lat", "lon", "confidence", "state"), "id").select(*own_columns), "history")
+    rows, told = counted(numbered(judged, ["_c", "_t", "_i"], "number"), "clusters", n=F.count(F.lit(1)))
+    near = cluster.pairs_within(rows.select(F.col("number").alias("id"), "family", "lat", "lon"), ["family"], 2 * metres * _SLACK)
+    waits, pairs = counted(near.select("a", "b"), "waits", n=F.count(F.lit(1)))
+    tied, left = pairs["n"] > 0, told["n"]
+    history = _history(rows, waits, state, links, signals, metres, since) if tied else None
     done: list[DataFrame] = []
-    waiting, count, rounds = rows, rows.count(), 0
-    left = count
+    waiting, rounds = rows, 0
     while left:
         if rounds == most:
             raise RuntimeError(f"clusters wait for one another in chains of more than {most}")
         rounds += 1
-        ready = waiting.join(waits.select(F.col("b").alias("number")).distinct(), "number", "left_anti")
-        nearest = cluster.nearest_open(ready.select("cluster_id", "family", "lat", "lon"), state, metres, since)
-        met = ready.join(nearest.select("cluster_id", "incident_id"), "cluster_id", "left").join(state.select("incident_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "incident_id", "left")
+        ready = waiting.join(waits.select(F.col("b").alias("number")).distinct(), "number", "left_anti") if tied else waiting
+        nearest = cluster.nearest_open(ready.select("cluster_id", "family", "lat", "lon"), state, metres, since).select("cluster_id", "incident_id")
+        nearest = nearest.join(state.select("incident_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "incident_id")
+        met = ready.join(nearest, "cluster_id", "left")
         created = F.col("incident_id").isNull() & F.col("opens")
-        decided = met.select("cluster_id", "number", "family", F.when(created, F.col("number") + top).otherwise(F.col("incident_id")).alias("incident_id"), F.coalesce("_lat", "lat").alias("lat2"), F.coalesce("_lon", "lon").alias("lon2"), created.alias("created"))
-        decided = materialise(decided, "decided")
+        decided = met.select("cluster_id", "number", F.when(created, F.col("number") + top).otherwise(F.col("incident_id")).alias("incident_id"), F.coalesce("_lat", "lat").alias("lat2"), F.coalesce("_lon", "lon").alias("lon2"), created.alias("created"))
+        decided, told = counted(decided, "decided", n=F.count(F.lit(1)))
         done.append(decided)
-        finished = decided.select("number")
-        left -= decided.count()
+        left -= told["n"]
         if not left:
             break
         # What these clusters moved or opened matters where others still wait for them.
-        eager = waits.join(finished.withColumnRenamed("number", "a"), "a", "left_semi").select(F.col("a").alias("number")).distinct()
+        finished = decided.select(F.col("number").alias("a"))
+        eager = waits.join(finished, "a", "left_semi").select(F.col("a").alias("number")).distinct()
         joined = decided.where("incident_id IS NOT NULL").join(eager, "number", "left_semi").select("cluster_id", "incident_id")
-        more = members.join(joined, "cluster_id").select(*own_columns)
-        history, then = materialise(history.unionByName(more), "history"), history
+        history, then = materialise(history.unionByName(members.join(joined, "cluster_id").select(*_OWN)), "history"), history
         touched = joined.select("incident_id").distinct()
         moved = _moved(history.join(touched, "incident_id", "left_semi"))
         state, before = materialise(state.join(touched, "incident_id", "left_anti").unionByName(moved.select(*state.columns)), "state"), state
-        waits, old_waits = materialise(waits.join(finished.withColumnRenamed("number", "a"), "a", "left_anti").select("a", "b"), "waits"), waits
+        waits, freed = materialise(waits.join(finished, "a", "left_anti").select("a", "b"), "waits"), waits
         waiting = rows.join(_all(done).select("number"), "number", "left_anti")
-        for table in (then, before, old_waits):
+        for table in (then, before, freed):
             if hasattr(table, "_written"):
                 discard(table)
-    everything = _all(done) if done else spark.createDataFrame([], "cluster_id long, number long, family string, incident_id long, lat2 double, lon2 double, created boolean")
-    opened = numbered(everything.where("created").select("cluster_id", "number"), ["number"], "_n")
-    targets = everything.where("incident_id IS NOT NULL").join(everything.where("created").select(F.col("number").alias("_m"), (F.col("number") + top).alias("incident_id")).join(opened.select(F.col("number").alias("_m"), "_n"), "_m"), "incident_id", "left")
-    final = targets.select("cluster_id", F.coalesce(F.col("_n") + top, F.col("incident_id")).cast("long").alias("incident_id"), "lat2", "lon2", "created")
-    return Attached(materialise(final, "targets"), rounds, count)
+    if not done:
+        return Attached(judged.sparkSession.createDataFrame([], "cluster_id long, incident_id long, lat2 double, lon2 double, created boolean"), 0, 0)
+    everything = _all(done)
+    opened = numbered(everything.where("created").select("number"), ["number"], "_n").select((F.col("number") + top).alias("incident_id"), (F.col("_n") + top).alias("_new"))
+    final = everything.where("incident_id IS NOT NULL").join(opened, "incident_id", "left")
+    final = final.select("cluster_id", F.coalesce("_new", "incident_id").cast("long").alias("incident_id"), "lat2", "lon2", "created")
+    return Attached(materialise(final, "targets"), rounds, rows.count())
+
+
+_OWN = ["incident_id", "family", "id", "ts", "source", "lat", "lon", "confidence", "state"]
+
+
+def _history(rows: DataFrame, waits: DataFrame, state: DataFrame, links: DataFrame, signals: DataFrame, metres: float, since) -> DataFrame:
+    """Signals of the incidents that clusters with neighbours can reach: only these can move under another cluster's eyes."""
+    tangled = rows.join(waits.select(F.explode(F.array("a", "b")).alias("number")).distinct(), "number", "left_semi")
+    reached = cluster.reachable(tangled.select("cluster_id", "family", "lat", "lon"), state, metres * _SLACK, since).select("incident_id").distinct()
+    known = links.where("link_method = 'spatial'").select("incident_id", F.col("event_id").alias("id"))
+    held = known.join(reached, "incident_id", "left_semi").join(state.select("incident_id", "family"), "incident_id")
+    return materialise(held.join(signals.select("id", "ts", "source", "lat", "lon", "confidence", "state"), "id").select(*_OWN), "history")
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
