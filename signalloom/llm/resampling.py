@@ -122,7 +122,7 @@ def weights(lists: DataFrame, target: DataFrame, buckets: int, block: int = BLOC
     width = -(-buckets // SHELVES)
     s, t = bucket_counts(lists, "s"), bucket_counts(target, "t").drop("t_lists")
     both = s.join(t, "bucket", "full").select("bucket", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("s", "t", "s_lists")])
-    both = materialise(both.coalesce(1), "gains")  # `buckets` rows at most
+    both = materialise(both, "gains")  # `buckets` rows at most
     all_s, all_t, total = both.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("s", "t", "s_lists")]).first()
     blocks = max(1, -(-total // (SHELVES * block)))
     mine = lists.where("shelf >= 0").select("shelf", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"), "uid", "buckets", "counts")
