@@ -55,7 +55,12 @@ LINKED_SQL = f"linked AS (SELECT {_INCIDENT} AS incident_id, * FROM signals WHER
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All signals: id, ts, source, type, place, confidence, text, identifiers, territory and details."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*_split(_COLUMNS))
+    return derived(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def derived(events: DataFrame) -> DataFrame:
+    """The signals of a table or stream of events."""
+    return events.selectExpr(*_split(_COLUMNS))
 
 
 def linked(df: DataFrame) -> DataFrame:

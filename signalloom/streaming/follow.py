@@ -96,8 +96,9 @@ def expiries(incidents: DataFrame, policy: P.Policy = P.Policy(), late: str = "0
     """
     only_citizens = F.size(F.array_except("sources", F.array(F.lit("citizen")))) == 0
     lone = (F.col("confidence") <= policy.citizen_most + P.EPSILON) & ~F.col("is_official_confirmed") & only_citizens
+    seconds = lambda c: F.coalesce(F.unix_timestamp(c), F.lit(1 << 40))  # noqa: E731  # an unknown time is never long ago
     rows = incidents.withWatermark("seen_at", late).select(
-        "incident_id", "status", "seen_at", F.unix_timestamp("first_seen_at").alias("first_s"), F.unix_timestamp("last_seen_at").alias("last_s"),
+        "incident_id", "status", "seen_at", seconds("first_seen_at").alias("first_s"), seconds("last_seen_at").alias("last_s"),
         F.coalesce(lone, F.lit(False)).alias("lone"), F.unix_micros("seen_at").alias("seen_us"),
     )
     return rows.groupBy("incident_id").transformWithStateInPandas(Expiry(policy), TURNED, "append", "eventTime")
