@@ -200,6 +200,6 @@ def ordered_links(links: DataFrame) -> DataFrame:
     return links.withColumn("place", F.row_number().over(Window.partitionBy("incident_id").orderBy("linked_at", "event_id")).cast("long"))
 
 
-def write_collection(df: DataFrame, properties: list[str], path: str) -> None:
-    """Features as newline-separated GeoJSON, one file a task."""
-    to_features(df, properties).select("feature").write.text(path)
+def with_levels(incidents: DataFrame) -> DataFrame:
+    """Adds confidence_level."""
+    return incidents.withColumn("confidence_level", F.expr(cases.level("confidence")))
