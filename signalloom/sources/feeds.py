@@ -245,14 +245,15 @@ def _page_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def notices(df: DataFrame, now: str, gazetteer: DataFrame | None = None) -> DataFrame:
     """Accidents told in the blocks of a page, 25 to 1200 letters long; of blocks that hold one another, the innermost.
 
-    gazetteer (street, lat, lon) gives a place to notices whose first street it knows, in the stead of a geocoder.
+    gazetteer (street, lat, lon) gives a place to notices whose first street, told from the city, it knows, in the stead
+    of a geocoder.
     """
     blocks = F.array_distinct(F.transform("blocks", lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
     told = lambda x: F.length(x).between(25, 1200) & F.exists(F.array(*[F.lit(w) for w in ACCIDENT_WORDS]), lambda w: F.contains(F.translate(F.lower(x), "áéíóú", "aeiou"), w))
     rows = df.select("payload").mapInArrow(_page_blocks, "blocks array<string>").select(F.filter(blocks, told).alias("b"))
     rows = rows.select(F.explode(F.filter("b", lambda x: ~F.exists("b", lambda y: (x != y) & F.contains(x, y)))).alias("said")).distinct()
     rows = rows.withColumn("_plain", F.expr(cases.plain_text("said")))
-    rows = rows.withColumn("street", F.lower(F.get(text.street_parts(F.col("said")), F.lit(0))))
+    rows = rows.withColumn("street", F.lower(text.address(F.col("said"))["street_1"]))
     if gazetteer is not None:
         rows = rows.join(gazetteer.select(F.lower("street").alias("street"), "lat", "lon"), "street", "left")
     else:

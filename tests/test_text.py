@@ -52,6 +52,29 @@ def test_street_parts(spark):
     assert values(spark, text.street_parts, STREETS) == list(STREETS.values())
 
 
+ADDRESSES = {
+    "Accidente vehicular en Av. España con Uno Norte, Viña del Mar. Tránsito lento hacia el poniente.": ("Av. España", "Uno Norte", "Viña del Mar"),
+    "Colisión en Avenida Argentina esquina Pedro Montt, Valparaíso.": ("Avenida Argentina", "Pedro Montt", "Valparaíso"),
+    "Choque múltiple en Ruta 68. Se recomienda precaución.": ("Ruta 68", None, None),
+    "Accidente en Av. España, Valparaíso.": ("Av. España", None, "Valparaíso"),
+    "Colisión en Gral. Velásquez, Quilpué.": ("Gral. Velásquez", None, "Quilpué"),
+    "Volcamiento en Pje. Los Aromos, Limache.": ("Pje. Los Aromos", None, "Limache"),
+    "Accidente en Ruta 68. Tránsito lento hacia Casablanca.": ("Ruta 68", None, None),
+    "Choque en Av. España con Uno Norte Viña del Mar": ("Av. España", "Uno Norte", "Viña del Mar"),
+    "Choque en Av. España, sentido poniente": ("Av. España, sentido poniente", None, None),
+    "Choque en Camino San Antonio con Los Andes": ("Camino", "Los Andes", "San Antonio"),
+    "Choque en Calle Nuevaconcon": ("Calle Nuevaconcon", None, None),
+    "Accidente en Valparaíso": ("Valparaíso", None, None),
+    "Accidente vehicular con dos lesionados.": (None, None, None),
+    "   ": (None, None, None),
+}
+
+
+def test_addresses(spark):
+    got = values(spark, text.address, ADDRESSES)
+    assert [tuple(r) for r in got] == list(ADDRESSES.values())
+
+
 @pytest.mark.parametrize("prefix,wanted", [((10, 4), [True, False]), ((10,), [True, True])])
 def test_has_code(spark, prefix, wanted):
     assert values(spark, lambda s: text.has_code(text.radio_codes(s), prefix), ["10-4-1", "10-40"]) == wanted
