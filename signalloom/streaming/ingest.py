@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from signalloom import policy as P
 from signalloom.operators import store
 from signalloom.operators.versions import SIGNALS, Versions
+from signalloom.plans import passes
 from signalloom.tables import tasks
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, now: str, after: Callable[[DataFrame, int], None] | None = None, every: str | None = None, name: str = "ingest") -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, now: str | Callable[[], str], after: Callable[[DataFrame, int], None] | None = None, every: str | None = None, name: str = "ingest") -> StreamingQuery:
     """Merges each batch of new JSON signals under `source` into the table `signals` of the store under `target`, then calls `after` with the stored rows.
 
     A batch is validated and its last row of each key is kept; only the buckets of its keys are read and written. The
@@ -28,9 +30,12 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
         table.commit({"signals": spark.createDataFrame([], f"id long, {schema}")})
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        good, _ = store.split_valid(store.validated(batch, F.lit(now).cast("timestamp")))
+        at = now() if callable(now) else now
+        good, _ = store.split_valid(store.validated(batch, F.lit(at).cast("timestamp")))
         good = good.withColumn("_seq", F.xxhash64("ts", "source", "external_id", "text"))
         last = store.last_of_batch(good.withColumn("_seq", F.struct("ts", "_seq")), "_seq").drop("_seq")
+        if "updated_at" not in last.columns:  # kept where the table has such a column: an alert is vigent while it is told again
+            last = last.withColumn("updated_at", F.lit(at).cast("timestamp"))
         table.upsert("signals", last, applied=(name, epoch))
         if after:
             after(table.read("signals"), epoch)
@@ -40,6 +45,23 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
+#: Columns that correlation adds to the signals of a stream.
+_OWN = "incident_id long, processed_at timestamp, updated_at timestamp"
+
+
+def correlated(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, now: Callable[[], str], policy: P.Policy = P.Policy(), every: str | None = None) -> StreamingQuery:
+    """Ingest with a correlation pass after each batch, over the tables signals, incidents and links of one store.
+
+    schema: the signals' own columns; they need type, province and state too. The merge and the pass are a version each:
+    a crash between them leaves signals that the next pass takes up.
+    """
+    table = Versions(spark, target, {"signals": SIGNALS})
+    if not table.version():
+        incidents, links = passes.empty(spark)
+        table.commit({"signals": spark.createDataFrame([], f"id long, {schema}, {_OWN}"), "incidents": incidents, "links": links})
+    return ingest(spark, source, schema, target, checkpoint, now, lambda rows, epoch: passes.stored_pass(table, now(), policy), every, "correlated")
+
+
 def windowed_counts(stream: DataFrame, late: str = "4 hours", size: str = "1 hour") -> DataFrame:
     """Signals by source and hour, with a watermark for late ones."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "source").agg(F.count(F.lit(1)).alias("signals"), F.avg("confidence").alias("confidence"))

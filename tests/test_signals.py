@@ -223,6 +223,24 @@ def test_streamed_ingest(spark, tmp_path):
         assert [(r["id"], r["commune"]) for r in rows] == [(1, commune)] and rows[0]["confidence"] == pytest.approx(0.4)
 
 
+def test_streamed_correlation(spark, tmp_path):
+    import json
+
+    schema = "ts timestamp, source string, type string, lat double, lon double, text string, external_id string, confidence float, commune string, province string, state string"
+    source = tmp_path / "in"
+    source.mkdir()
+    paths = [str(tmp_path / x) for x in ("table", "checkpoint")]
+    base = {"source": "conaf", "type": "wildfire", "lat": -33.0, "lon": -71.5, "commune": "A"}
+    clock = iter(["2024-01-30 01:00:00", "2024-01-30 01:00:00", "2024-01-30 02:00:00", "2024-01-30 02:00:00"])
+    for k, rows in enumerate(([{**base, "ts": "2024-01-30T00:00:00Z", "external_id": "conaf:1"}], [{**base, "ts": "2024-01-30T01:30:00Z", "external_id": "conaf:2", "lat": -33.004}, {**base, "ts": "2024-01-30T01:40:00Z", "external_id": "conaf:3", "lat": -34.0}])):
+        (source / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        ingest.correlated(spark, str(source), schema, *paths, lambda: next(clock)).awaitTermination()
+    table = Versions(spark, paths[0])
+    assert table.version() == 5  # the empty tables, and for each batch its merge and its pass
+    assert {r["external_id"]: r["incident_id"] for r in table.read("signals").collect()} == {"conaf:1": 1, "conaf:2": 1, "conaf:3": 2}
+    assert {r["incident_id"]: r["event_count"] for r in table.read("incidents").collect()} == {1: 2, 2: 1}
+
+
 def test_names_that_hold_one_another(spark):
     left = ["valparaiso", "san", "limache", "til til", "la calera", "vina del mar", "abcab", ""]
     right = ["valparaiso", "provincia de valparaiso", "san pedro", "lim", "a", "ti", "calera", "mar", "til til", "abcabcab", "limache viejo", ""]
