@@ -35,12 +35,60 @@ def _box_pairs(left: DataFrame, right: DataFrame, on, metres: float) -> DataFram
     return l.join(r, on).where(square(gap("x"), gap("y")) <= metres * metres).withColumn("sure", square(span("x"), span("y")) <= metres * metres)
 
 
-def _tied_cells(points: DataFrame, boxes: DataFrame, metres: float) -> DataFrame:
+def _compared(near: DataFrame, places: DataFrame, metres: float) -> DataFrame:
+    """(a, b) of pairs of boxes with two places at most `metres` apart."""
+    others = places.select("family", F.col("sx").alias("sx2"), F.col("sy").alias("sy2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = near.join(places, ["family", "sx", "sy"]).join(others, ["family", "sx2", "sy2"])
+    return pairs.where(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= metres * metres).select("a", "b")
+
+
+#: Pairs of boxes with more pairs of places than _FEW are split; what _DEEPEST splits leave is compared as it is.
+_FEW, _DEEPEST = 1 << 16, 40
+
+
+def split_boxes(near: DataFrame, points: DataFrame, side: float, metres: float) -> tuple[list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
+    """Pairs of boxes that their bounds leave open, split in four by four until bounds tell or few places are left.
+
+    near: a, b, family, sx, sy, n, sx2, sy2, n2 with numbers of places, which may be too high at first. Gives tables of
+    (a, b) that are tied, and pairs to compare, each with the places of its boxes. Two spots at the radius' distance
+    leave only boxes open that face each other, so the pairs of places do not grow with the product of the spots.
+    """
+    tied, left, level = [], [], 0
+    many = F.col("n") * F.col("n2") > _FEW
+    places = points.select("family", "sx", "sy", "x", "y")
+    left.append((near.where(~many), places.distinct()))
+    near = near.where(many)
+    keys = [F.col(c) for c in ("family", "sx", "sy")]
+    while not near.isEmpty():
+        level += 1
+        used = near.select(*keys).union(near.select("family", "sx2", "sy2")).distinct()
+        index = lambda c: F.floor(F.col(c) / (side / 2**level))
+        places = places.join(used, ["family", "sx", "sy"], "left_semi").select("family", index("x").alias("sx"), index("y").alias("sy"), "x", "y")
+        places = materialise(places.distinct() if level == 1 else places, "places")
+        bounds = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in ((1, F.min), (2, F.max))]
+        inner = places.groupBy("family", "sx", "sy").agg(F.count(F.lit(1)).alias("n"), *bounds)
+        inner = inner.withColumns({"px": F.floor(F.col("sx") / 2), "py": F.floor(F.col("sy") / 2)})
+        outer = near.select("a", "b", "family", F.col("sx").alias("px"), F.col("sy").alias("py"), "sx2", "sy2")
+        same = (F.col("l.family") == F.col("r.family")) & (F.col("l.sx2") == F.col("r.px")) & (F.col("l.sy2") == F.col("r.py"))
+        met = _box_pairs(outer.join(inner, ["family", "px", "py"]), inner, same, metres)
+        met = met.select("l.a", "l.b", "l.family", "l.sx", "l.sy", "l.n", F.col("r.sx").alias("sx2"), F.col("r.sy").alias("sy2"), F.col("r.n").alias("n2"), "sure")
+        met = materialise(met, "split")
+        tied.append(met.where("sure").select("a", "b").distinct())
+        near = met.where("NOT sure").drop("sure").join(tied[-1], ["a", "b"], "left_anti")
+        if level == _DEEPEST:
+            left.append((near, places))
+            break
+        left.append((near.where(~many), places))
+        near = near.where(many)
+    return tied, left
+
+
+def _tied_cells(points: DataFrame, boxes: DataFrame, side: float, metres: float) -> DataFrame:
     """(node, component) of the heads of cells tied by points at most `metres` apart.
 
     Cells of metres / sqrt(2) a side meet those up to two away, box by box: by the tight bounds of two boxes all their
     points are near, or none, or it takes the points to tell. Points are compared only for cells that no boxes tie, in
-    boxes that could. A box meets a number of boxes that does not grow with the data.
+    boxes that could, split until few are left in them. A box meets a number of boxes that does not grow with the data.
     """
     half = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
     shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half]))
@@ -53,32 +101,39 @@ def _tied_cells(points: DataFrame, boxes: DataFrame, metres: float) -> DataFrame
         return components(tied, stored=True)
     first = unsure.join(boxes, F.col("a") == F.col("head"))
     near = _box_pairs(first, boxes, F.col("l.b") == F.col("r.head"), metres)
-    near = near.select("l.a", "l.b", "l.family", "l.sx", "l.sy", F.col("r.sx").alias("sx2"), F.col("r.sy").alias("sy2"))
-    places = points.select("family", "sx", "sy", "x", "y").distinct()
-    others = places.select("family", F.col("sx").alias("sx2"), F.col("sy").alias("sy2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = near.join(places, ["family", "sx", "sy"]).join(others, ["family", "sx2", "sy2"])
-    close = pairs.where(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)) <= metres * metres).select("a", "b")
-    return components(tied.unionByName(close))
+    near = near.select("l.a", "l.b", "l.family", "l.sx", "l.sy", "l.n", F.col("r.sx").alias("sx2"), F.col("r.sy").alias("sy2"), F.col("r.n").alias("n2"))
+    sure, left = split_boxes(materialise(near, "near"), points, side, metres)
+    for more in [*sure, *[_compared(pairs, places, metres) for pairs, places in left]]:
+        tied = tied.unionByName(more)
+    return components(tied)
 
 
 def clusters(signals: DataFrame, metres: float = 1500.0) -> DataFrame:
     """(id, family, cluster_id): density clusters with one point enough, in each family: components of points at most `metres` apart.
 
-    cluster_id is the least id of the cluster; a point without a place is its own. The points of one cell of
-    metres / sqrt(2) a side are near each other whatever their number, so the graph has a node a cell, its least id,
-    and a hot spot makes no pairs.
+    cluster_id is the least id of the cluster; a point without a place is its own.
     """
-    side = metres / math.sqrt(2) * (1 - 1e-9) / _BOXES
     points = projected(signals.withColumn("family", F.expr(cases.family("type")))).select("id", "family", "x", "y")
+    return point_clusters(points, metres)
+
+
+def point_clusters(points: DataFrame, metres: float) -> DataFrame:
+    """clusters() of points (id, family, x, y) on a plane in metres.
+
+    The points of one cell of metres / sqrt(2) a side are near each other whatever their number, so the graph has a
+    node a cell, its least id, and a hot spot makes no pairs.
+    """
+    side = metres / math.sqrt(2) * (1 - 1e-9) / _BOXES
     placed = (F.abs("x") < 1e15) & (F.abs("y") < 1e15)
     index = lambda c: F.when(placed, F.floor(F.col(c) / side))
     points = materialise(points.withColumns({"sx": index("x"), "sy": index("y")}), "points")
     known = points.where("family IS NOT NULL AND sx IS NOT NULL AND sy IS NOT NULL")
     cell = {"cx": F.floor(F.col("sx") / _BOXES), "cy": F.floor(F.col("sy") / _BOXES)}
-    boxes = known.groupBy("family", "sx", "sy").agg(F.min("id").alias("head"), *[f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in ((1, F.min), (2, F.max))])
+    bounds = [f(c).alias(f"{c}{i}") for c in ("x", "y") for i, f in ((1, F.min), (2, F.max))]
+    boxes = known.groupBy("family", "sx", "sy").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"), *bounds)
     own = Window.partitionBy("family", "cx", "cy")  # at most _BOXES * _BOXES rows
     boxes = materialise(boxes.withColumns(cell).withColumn("head", F.min("head").over(own)), "boxes")
-    joined = _tied_cells(known, boxes, metres)
+    joined = _tied_cells(known, boxes, side, metres)
     headed = points.join(boxes.select("family", "sx", "sy", "head"), ["family", "sx", "sy"], "left")
     return headed.join(joined, F.col("head") == F.col("node"), "left").select("id", "family", F.coalesce("component", "head", "id").alias("cluster_id"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -46,23 +48,24 @@ def _small_star(edges: DataFrame, count: int) -> DataFrame:
     return moved.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The edges as a table, with their count and sum of hashes, taken while they are written."""
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, Decimal, Decimal]]:
+    """The edges as a table, with their count and two sums of whole 64-bit hashes, taken while they are written."""
     seen = Observation()
-    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0)).alias("h"))
+    whole = lambda *of: F.coalesce(F.sum(F.xxhash64(*of).cast("decimal(38,0)")), F.lit(0))
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), whole("a", "b").alias("h"), whole(F.lit(1), "b", "a").alias("h2"))
     table = materialise(told, "edges")
-    return table, (seen.get["n"], seen.get["h"])
+    return table, (seen.get["n"], seen.get["h"], seen.get["h2"])
 
 
 def components(edges: DataFrame, most: int = 60, stored: bool = False) -> DataFrame:
     """(node, component) of all nodes of (a, b) edges: component is the least node reachable.
 
-    Each round writes the edges anew and compares their count and sum of hashes with the round before; the rounds
+    Each round writes the edges anew and compares their count and sums of hashes with the round before; the rounds
     grow with the logarithm of the longest path. Loops and repeated edges do no harm; no edges give no rows. Edges that
     are stored already are not written once more.
     """
     if stored:
-        seen = (edges.count(), None)
+        seen = (edges.count(),)
     else:
         edges, seen = _written(edges.select("a", "b").distinct())
     loops = edges.where("a = b").select("a").distinct()

@@ -90,9 +90,11 @@ def test_clusters_match_brute_force(spark):
     assert {r["id"]: r["cluster_id"] for r in cluster.clusters(nowhere).collect()} == {7: 7, 8: 8}
 
 
-@pytest.mark.parametrize("metres", [1000, 1100])
-def test_dense_spots_are_told_apart_by_their_points(spark, metres):
+@pytest.mark.parametrize(("metres", "few", "deepest"), [(1000, 1 << 16, 40), (1100, 1 << 16, 40), (1000, 3, 40), (1100, 0, 40), (1000, 0, 2)])
+def test_dense_spots_are_told_apart_by_their_points(spark, monkeypatch, metres, few, deepest):
     """Spots of a few hundred metres, about a kilometre apart: boxes alone decide neither all of them nor none."""
+    monkeypatch.setattr(cluster, "_FEW", few)
+    monkeypatch.setattr(cluster, "_DEEPEST", deepest)
     rng = random.Random(metres)
     rows, n = [], 0
     for spot in range(12):
@@ -103,6 +105,31 @@ def test_dense_spots_are_told_apart_by_their_points(spark, metres):
     assert {r["id"]: r["cluster_id"] for r in cluster.clusters(df, metres).collect()} == _brute_clusters(df, metres)
 
 
+@pytest.mark.parametrize(("gap", "together"), [(1500.01, False), (1499.99, True)])
+def test_two_crowded_spots_at_the_radius(spark, monkeypatch, gap, together):
+    """10^5 places each in two discs whose rims are the radius apart along the diagonal: bounds tell but for those that face each other."""
+    compared = []
+
+    def counted(near, points, side, metres):
+        tied, left = split(near, points, side, metres)
+        compared.extend(pairs.agg(F.sum(F.col("n") * F.col("n2"))).first()[0] or 0 for pairs, _ in left)
+        return tied, left
+
+    split = cluster.split_boxes
+    monkeypatch.setattr(cluster, "split_boxes", counted)
+    n, r = 100_000, 40.0
+    far = (gap + 2 * r) / math.sqrt(2)
+    spot = F.col("id") % 2
+    around, out = 2 * math.pi * F.rand(1), r * F.sqrt(F.rand(2))
+    rim = F.col("id") < 2  # the two points that face each other
+    x = F.when(rim, r / math.sqrt(2) * (1 - 2 * spot)).otherwise(out * F.cos(around)) + spot * far + 60
+    y = F.when(rim, r / math.sqrt(2) * (1 - 2 * spot)).otherwise(out * F.sin(around)) + spot * far + 60
+    copies = spark.range(2 * n).union(spark.range(2, 1000)).select("id", F.lit("f").alias("family"), x.alias("x"), y.alias("y"))
+    found = {tuple(p) for p in cluster.point_clusters(copies, 1500.0).select(F.col("id") % 2, "cluster_id").distinct().collect()}
+    assert found == ({(0, 0), (1, 0)} if together else {(0, 0), (1, 1)})
+    assert sum(compared) <= n * 100  # of n * n pairs of places
+
+
 def test_components_of_hubs_and_chains(spark, monkeypatch):
     monkeypatch.setattr(graph, "_HEAVY", 1000)
     hub = [(5, i) for i in range(100, 2100)] + [(i, 9000) for i in range(100, 1700)]
