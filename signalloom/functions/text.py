@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +60,16 @@ def any_timestamp(raw: Column) -> Column:
     return F.coalesce(epoch, F.try_to_timestamp(raw), *text)
 
 
+def local_timestamp(raw: Column, zone: str = "America/Santiago") -> Column:
+    """any_timestamp() of text that means the clocks of a zone unless it is a number or names its own zone.
+
+    Of an hour that comes twice the first counts; an hour that the clocks leave out goes by the clock before the change.
+    """
+    read = any_timestamp(raw)
+    own = raw.try_cast("double").isNotNull() | raw.rlike(r"(?i)(Z|[0-9]{2}:[0-9]{2}.*[+-][0-9]{2}:?[0-9]{2})\s*$")
+    return F.when(own, read).otherwise(F.to_utc_timestamp(read, zone))
+
+
 def client_ip(forwarded: Column, real: Column, peer: Column) -> Column:
     """The caller's address: the first of the forwarded list, else the real one, else the peer's, else a fixed word."""
     given = [F.nullif(F.trim(x), F.lit("")) for x in (F.split(forwarded, ",")[0], real, peer)]
@@ -70,12 +83,37 @@ def masked_ip(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), short).when(F.size(four) == 4, F.concat(F.array_join(F.slice(four, 1, 2), "."), F.lit(".×.×"))).otherwise(ip)
 
 
+def _entity_names() -> str:
+    """JSON of what named entities stand for, by the standard library's table, and numbers 128 to 159 as the web reads them."""
+    named = {name: ch for name, ch in html5.items() if name.endswith(";")}
+    numbers = {f"#{i}": bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+    return json.dumps({k.rstrip(";"): v for k, v in named.items()} | numbers)
+
+
+def unescape(html: Column) -> Column:
+    """Text with its entities resolved once, named and numbered; an unknown name stays, a number that is no letter is U+FFFD."""
+    pattern = F.lit(r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);")
+    table = F.from_json(F.lit(_entity_names()), "map<string,string>")
+
+    def meaning(name):
+        hexed = F.lower(F.substring(name, 2, 1)) == "x"
+        code = F.when(hexed, F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 9)).cast("long")
+        letter = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        said = F.decode(F.unhex(F.lpad(F.hex(F.when(letter, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        numbered = F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), code.cast("string"))), said)
+        return F.when(F.startswith(name, F.lit("#")), numbered).otherwise(F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name, F.lit(";"))))
+
+    # A part that is no match, then what the match after it means: nothing is resolved twice.
+    between = F.split(html, pattern, -1)
+    meant = F.transform(F.regexp_extract_all(html, pattern, F.lit(1)), meaning)
+    joined = F.array_join(F.zip_with(between, meant, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    return F.when(F.contains(html, F.lit("&")), joined).otherwise(html)
+
+
 def strip_html(html: Column) -> Column:
-    """Text between tags with common entities resolved and white space collapsed."""
+    """Text between tags with entities resolved and white space, also that without a break, collapsed."""
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(ch))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(text), r"(?U)\s+", " "))
 
 
 def external_id(prefix: str, *parts: Column, length: int = 32) -> Column:

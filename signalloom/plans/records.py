@@ -146,7 +146,7 @@ def alert_readings(spark, d):
 
 
 @query("f25_plain_pages", """SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'),
- '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) AS plain FROM pages""")
+ '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\\s\\x{a0}]+', ' ', 'g'))) AS plain FROM pages""")
 def plain_pages(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(text.strip_html(F.col("html"))).alias("plain"))
 
@@ -213,16 +213,48 @@ def quakes(spark, d):
     return feeds.quakes(_payloads(spark, d, feature)).select("external_id", "text")
 
 
-@query("n05_s12_quake_table", "SELECT 'csn:r' || CAST(event_id AS VARCHAR) AS external_id, TIMESTAMP '2024-01-31 02:10:41' AS ts FROM events WHERE event_id % 2 = 0 GROUP BY event_id")
+@query("s11_feed_counts", "SELECT count(*) * 5 AS features, CAST(sum(3 + event_id % 2) AS BIGINT) AS unreadable FROM events")
+def feed_counts(spark, d):
+    point = """'{"id":"q', event_id, '","geometry":{"type":"Point","coordinates":[-71.5,-33,10]},"properties":{}}'"""
+    odd = """CASE WHEN event_id % 2 = 1 THEN '{"id":"r","geometry":null,"properties":{}}' ELSE '{"id":"r","geometry":{"type":"Point","coordinates":[0,1]}}' END"""
+    answer = f"""concat('{{"features":[', {point}, ',null,{{"id":" ","geometry":{{"type":"Point","coordinates":[1,2]}}}},', {odd}, ',{{"id":"s","geometry":{{"type":"Point","coordinates":["x",2]}}}}]}}')"""
+    return feeds.features(_payloads(spark, d, answer), nulls=True).agg(F.count(F.lit(1)).alias("features"), feeds.unreadable().alias("unreadable"))
+
+
+@query("s12_catalogue_pages", """SELECT id, k, strftime(timezone('America/Santiago', timezone('UTC', ts)) - to_days(CAST(k AS INTEGER)), 'sismicidad/catalogo/%Y/%m/%Y%m%d.html') AS page
+ FROM signals, (VALUES (0), (1), (2)) AS t(k) WHERE ts IS NOT NULL""")
+def catalogue_pages(spark, d):
+    return signals(spark, d).where("ts IS NOT NULL").select("id", F.posexplode(feeds.catalogue_pages(F.col("ts"), 3)).alias("k", "page"))
+
+
+@query("f07_local_times", """SELECT id, CASE WHEN id % 4 < 2 THEN timezone('UTC', timezone('America/Santiago', date_trunc('second', ts))) ELSE date_trunc('second', ts) END AS read_at FROM signals WHERE id IS NOT NULL""")
+def local_times(spark, d):
+    ways = "CASE id % 4 WHEN 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") WHEN 1 THEN date_format(ts, 'dd-MM-yyyy HH:mm:ss') WHEN 2 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") ELSE CAST(unix_timestamp(ts) AS STRING) END"
+    return signals(spark, d).where("id IS NOT NULL").select("id", text.local_timestamp(F.expr(ways)).alias("read_at"))
+
+
+@query("n05_s12_quake_table", """SELECT 'csn:' || CAST(event_id * 3 + 1 AS VARCHAR) AS external_id, TIMESTAMP '2024-07-31 02:10:41' AS ts, CASE WHEN event_id % 1000 <= 800 THEN CAST(event_id % 1000 AS DOUBLE) END AS depth_km,
+ CASE WHEN event_id % 13 <= 10 THEN event_id % 13 + 0.5e0 END AS magnitude, CASE WHEN event_id % 13 <= 10 THEN 'Mlv' END AS mag_type, '30 km al O de Lugar ' || CAST(event_id % 7 AS VARCHAR) AS place,
+ CASE WHEN event_id % 2 = 0 THEN 'utc_column' ELSE 'local_column' END AS time_source FROM events GROUP BY event_id""")
 def quake_table(spark, d):
-    row = """concat('<table><tr><th>x</th></tr><tr><td><a href="/x/r', event_id, '.html">2024-01-30 23:10:41<br>30 km</a></td><td>2024-01-31 02:10:41</td><td>-', CASE WHEN event_id % 2 = 0 THEN '33.0' ELSE '20.0' END, ' -71.6</td><td>33 km</td><td>4.1 Ml</td></tr></table>')"""
-    return feeds.quake_table(_payloads(spark, d, row)).select("external_id", "ts")
+    utc = "CASE WHEN event_id % 2 = 0 THEN '2024-07-31 02:10:41' ELSE '' END"
+
+    def row(link: str, spot: str, size: str) -> str:
+        return f"""'<tr><td><a href="/x/', {link}, '.html">2024-07-30 22:10:41</a><br>30 km al O de Lugar ', event_id % 7, '</td><td>', {utc}, '</td><td>{spot}</td><td>', event_id % 1000, ' km</td><td>', {size}, ' Mlv</td></tr>'"""
+
+    rows = [row("event_id * 3 + 1", "-33.0 -71.6", "event_id % 13, '.5'"), row("event_id * 3 + 1", "-33.1 -71.7", "'1.0'"), row("event_id * 3 + 2", "-20.0 -69.0", "'5.0'"), row("'abc'", "-33.0 -71.6", "'4.0'")]
+    page = f"concat('<table><tr><th>x</th></tr>', {', '.join(rows)}, '</table>')"
+    raw = lambda name, kind="string": F.get_json_object("raw", f"$.{name}").cast(kind).alias(name)
+    return feeds.quake_table(_payloads(spark, d, page)).select("external_id", "ts", raw("depth_km", "double"), raw("magnitude", "double"), raw("mag_type"), raw("place"), raw("time_source"))
 
 
-@query("n06_s16_outages", "SELECT 'cge:' || CAST(event_id AS VARCHAR) AS external_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-30 10:00:00' ELSE TIMESTAMP '2024-01-31 00:00:00' END AS ts FROM events WHERE event_id % 9 <> 0")
+@query("n06_s16_outages", """SELECT 'cge:' || CAST(event_id AS VARCHAR) AS external_id, CASE WHEN event_id % 2 = 0 THEN timezone('UTC', timezone('America/Santiago', TIMESTAMP '2024-01-30 10:00:00')) ELSE TIMESTAMP '2024-01-31 00:00:00' END AS ts, CAST(12 AS BIGINT) AS clients FROM events WHERE event_id % 9 <> 0
+ UNION ALL SELECT 'cge:f' || CAST(event_id AS VARCHAR), TIMESTAMP '2024-01-30 10:00:00', CASE WHEN event_id % 4 > 0 THEN event_id % 4 END FROM events""")
 def outages(spark, d):
-    answer = """concat(CASE event_id % 3 WHEN 0 THEN '[' WHEN 1 THEN '{"cortes":[' ELSE '{"whatever":[' END, '{"ID":"', event_id, '","Latitud":"', CASE WHEN event_id % 9 = 0 THEN '-20' ELSE '-33' END, '","Longitud":"-71.5","Clientes Afectados":"12"', CASE WHEN event_id % 2 = 0 THEN ',"hora_inicio":"2024-01-30T10:00:00"' ELSE '' END, '}', CASE event_id % 3 WHEN 0 THEN ']' ELSE ']}' END)"""
-    return feeds.outages(_payloads(spark, d, answer), "cge", PRESENT).select("external_id", "ts")
+    plain = """'{"ID":"', event_id, '","Latitud":"', CASE WHEN event_id % 9 = 0 THEN '-20' ELSE '-33' END, '","Longitud":"-71.5","Clientes Afectados":"12"', CASE WHEN event_id % 2 = 0 THEN ',"hora_inicio":"2024-01-30T10:00:00"' ELSE '' END, '}'"""
+    feature = """'{"type":"Feature","lat":"0","geometry":{"type":"Point","coordinates":[-71.5,-33.1]},"properties":{"codigo":"f', event_id, '","horaInicio":"2024-01-30T10:00:00Z","clientes":"', CASE WHEN event_id % 4 = 0 THEN '-5' ELSE event_id % 4 END, '"}}'"""
+    answer = f"""concat(CASE event_id % 3 WHEN 0 THEN '[' WHEN 1 THEN '{{"cortes":[' ELSE '{{"whatever":[' END, {plain}, ',', {feature}, ',null,{{"ID":"unplaced"}}', CASE event_id % 3 WHEN 0 THEN ']' ELSE ']}}' END)"""
+    return feeds.outages(_payloads(spark, d, answer), "cge", PRESENT).select("external_id", "ts", F.get_json_object("raw", "$.clients").cast("long").alias("clients"))
 
 
 @query("n07_s15_traffic", "SELECT 'waze:' || CAST(event_id AS VARCHAR) AS external_id, 'Quilpué' AS commune FROM events WHERE event_id % 3 = 0 AND event_id % 200 <= 120")

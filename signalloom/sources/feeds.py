@@ -13,7 +13,7 @@ from functools import reduce
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from signalloom import policy as P
@@ -38,17 +38,25 @@ def signal(df: DataFrame, source: Column | str, **columns: Column) -> DataFrame:
 
 
 def alias(properties: Column, *names: str) -> Column:
-    """The first non-blank value under any of the names, whatever their case."""
-    low = F.transform_keys(properties, lambda k, _: F.lower(k))
-    return F.coalesce(*[F.nullif(F.trim(F.try_element_at(low, F.lit(n.lower()))), F.lit("")) for n in names])
+    """The first non-blank value under any of the names, whatever their case; of keys that differ in case only, the first with a value."""
+    return first_value(F.map_entries(properties), lambda k: F.lower(k), *[n.lower() for n in names])
 
 
-def features(df: DataFrame) -> DataFrame:
-    """(feature_id, lat, lon, depth, properties) of feature collections; the point of a shape is the middle of its box."""
+def first_value(entries: Column, reading, *names: str) -> Column:
+    """The first non-blank value among (key, value) entries under the first of the names that has one; keys are read by `reading`."""
+    found = lambda n: F.get(F.filter(entries, lambda e: (reading(e["key"]) == n) & (F.trim(e["value"]) != "")), F.lit(0))
+    return F.coalesce(*[F.trim(found(n)["value"]) for n in names])
+
+
+def features(df: DataFrame, nulls: bool = False) -> DataFrame:
+    """(feature_id, lat, lon, depth, properties) of feature collections; the point of a shape is the middle of its box.
+
+    Features that are null are left out, or with nulls give rows of nulls.
+    """
     parsed = df.withColumn("_p", F.from_json("payload", _FEATURES))
     failed = F.col("_p.error").isNotNull() | F.col("_p").isNull() | F.col("_p.features").isNull() | (F.coalesce("_p.metadata.status", F.lit(200)) != 200)
     rows = parsed.select(F.explode(F.when(failed, F.raise_error(F.concat(F.lit("no feature collection: "), F.substring("payload", 1, 120)))).otherwise(F.col("_p.features"))).alias("f"))
-    rows = rows.where("f IS NOT NULL")
+    rows = rows if nulls else rows.where("f IS NOT NULL")
     pair = r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"
     numbers = lambda k: F.transform(F.regexp_extract_all("f.geometry.coordinates", F.lit(pair), F.lit(k)), lambda x: x.try_cast("double"))
     middle = lambda k: (F.array_min(numbers(k)) + F.array_max(numbers(k))) / 2
@@ -104,40 +112,77 @@ def alert_layer(df: DataFrame, regions: tuple[str, ...] = ("valparaiso",), natio
     return signal(rows, "senapred", ts=ts, type=F.when(out, "evacuation").otherwise("alert"), text=F.col("said"), external_id=ident, confidence=F.lit(1.0), commune=alias(p, "Comunas"), raw=F.to_json("properties"))
 
 
-def quakes(df: DataFrame, box: tuple = P.SEISMIC_BOX, least: float = 2.5) -> DataFrame:
-    """Quakes of a feed inside the box; an unknown magnitude passes the least one."""
+def unreadable() -> Column:
+    """How many of the rows of features(nulls=True) no quake can be read of: those without an id or a point."""
+    return F.count_if(F.coalesce(F.trim("feature_id"), F.lit("")).eqNullSafe("") | F.col("lat").isNull() | F.col("lon").isNull())
+
+
+def quakes(df: DataFrame, box: tuple = P.SEISMIC_BOX, least: float = 2.5, seen: Observation | None = None) -> DataFrame:
+    """Quakes of a feed inside the box; an unknown magnitude passes the least one.
+
+    seen, if given, observes `features` and `unreadable` in the pass that reads the feed.
+    """
     p = F.col("properties")
     magnitude = alias(p, "mag").try_cast("double")
-    rows = features(df).withColumn("magnitude", magnitude).where(F.coalesce(alias(p, "type"), F.lit("earthquake")) == "earthquake")
-    rows = rows.where(F.col("feature_id").isNotNull() & F.expr(geo.in_box("lat", "lon", box)) & F.coalesce(F.col("magnitude") >= least, F.lit(True)))
+    rows = features(df, nulls=True)
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("features"), unreadable().alias("unreadable"))
+    rows = rows.withColumn("magnitude", magnitude).where(F.coalesce(alias(p, "type"), F.lit("earthquake")) == "earthquake")
+    rows = rows.where((F.trim("feature_id") != "") & F.expr(geo.in_box("lat", "lon", box)) & F.coalesce(F.col("magnitude") >= least, F.lit(True)))
     said = F.when(F.col("magnitude").isNull(), "Sismo de magnitud no determinada").otherwise(F.format_string("Sismo de magnitud %.1f", "magnitude"))
     raw = F.to_json(F.struct("magnitude", F.col("depth").alias("depth_km"), alias(p, "place").alias("place"), (alias(p, "tsunami") == "1").alias("tsunami"), alias(p, "felt").try_cast("int").alias("felt"), alias(p, "status").alias("status")))
     return signal(rows, "usgs", ts=text.any_timestamp(alias(p, "time")), type=F.lit("earthquake"), lat=F.col("lat"), lon=F.col("lon"), text=said, external_id=F.concat(F.lit("usgs:"), "feature_id"), confidence=F.lit(1.0), raw=raw)
 
 
-def quake_table(df: DataFrame, box: tuple = P.SEISMIC_BOX) -> DataFrame:
+#: What a catalogue's cells can hold. Anything else was read from the wrong cell.
+CATALOGUE_BOX = (-115.0, -60.0, -65.0, -15.0)
+DEPTHS = (0.0, 800.0)
+MAGNITUDES = (-2.0, 10.5)
+
+
+def catalogue_pages(now: Column, days: int = 2) -> Column:
+    """Paths of a catalogue's pages of the last days, newest first: a page is a day of the clocks of America/Santiago."""
+    today = F.to_date(F.from_utc_timestamp(now, "America/Santiago"))
+    path = lambda back: F.date_format(F.date_sub(today, back.cast("int")), "'sismicidad/catalogo/'yyyy/MM/yyyyMMdd'.html'")
+    return F.transform(F.sequence(F.lit(0), F.lit(days - 1)), path)
+
+
+def quake_table(df: DataFrame, box: tuple = P.SEISMIC_BOX, root: str = "") -> DataFrame:
     """Quakes of an HTML catalogue: rows of five cells and more (local time and place, UTC time, coordinates, depth, magnitude), one a report.
 
-    Without a UTC time, the local one counts as of America/Santiago.
+    Without a UTC time, the local one counts as of America/Santiago; raw says which it was. A depth or magnitude out of
+    range is unknown; a row out of the country, without a time or without a numbered report is left out. Of rows of one
+    report, also on several pages, the first counts. A page without a table is an error. root makes links whole.
     """
-    row = F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "row")
-    cells = F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-    rows = df.select(row).withColumn("c", F.transform(cells, text.strip_html)).where(F.size("c") >= 5)
+    table = F.lower("payload").contains("<table")
+    found = F.regexp_extract_all("payload", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    row = F.posexplode(F.when(table, found).otherwise(F.raise_error("no table of quakes"))).alias("pos", "row")
+    cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+    rows = df.where("payload IS NOT NULL").select(F.xxhash64("payload").alias("page"), "payload").select("page", row)
+    rows = rows.withColumn("_raw", cells).withColumn("c", F.transform("_raw", text.strip_html)).where(F.size("c") >= 5)
     at = lambda k: F.get("c", F.lit(k))
-    stamp = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?::\d{2})?)"
-    utc = F.try_to_timestamp(F.nullif(F.regexp_extract(at(1), stamp, 1), F.lit("")))
-    local = F.to_utc_timestamp(F.try_to_timestamp(F.nullif(F.regexp_extract(at(0), stamp, 1), F.lit(""))), "America/Santiago")
-    spot = r"(-?\d+\.\d+)\s+(-?\d+\.\d+)"
+    part = lambda cell, pattern, k=1: F.nullif(F.regexp_extract(cell, pattern, k), F.lit(""))
+    time_ = lambda cell: F.try_to_timestamp(part(F.regexp_replace(cell, r"(\d{4}-\d{2}-\d{2})[\sT]+(\d{2}:)", "$1 $2"), r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?::\d{2})?)"))
+    number = lambda cell, pattern, low, high: F.when(part(cell, pattern).try_cast("double").between(low, high), part(cell, pattern).try_cast("double"))
+    utc, local = time_(at(1)), F.to_utc_timestamp(time_(at(0)), "America/Santiago")
+    spot = F.transform(F.regexp_extract_all(at(2), F.lit(r"(-?\d+\.\d+)"), F.lit(1)), lambda x: x.cast("double"))
+    anchor = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']\s*([^\"']*?)\s*[\"'][^>]*>(.*?)</a>"
+    first = F.get("_raw", F.lit(0))
+    link = part(first, anchor)
+    place = text.strip_html(F.regexp_replace(first, r"(?is)<a\b[^>]*>.*?</a>", " "))
+    size = r"(?i)(-?\d+(?:\.\d+)?)\s*(M[a-z]*)?"
     rows = rows.withColumns({
-        "report": F.nullif(F.regexp_extract("row", r"/(\w+)\.html", 1), F.lit("")), "ts": F.coalesce(utc, local),
-        "lat": F.regexp_extract(at(2), spot, 1).try_cast("double"), "lon": F.regexp_extract(at(2), spot, 2).try_cast("double"),
-        "depth_km": F.regexp_extract(at(3), r"(\d+)\s*km", 1).try_cast("double"), "magnitude": F.regexp_extract(at(4), r"(-?\d+\.\d+)", 1).try_cast("double"),
-    })
-    rows = rows.where("report IS NOT NULL AND ts IS NOT NULL").where(F.expr(geo.in_box("lat", "lon", box)))
-    # Of one report's rows, the first of the page counts.
-    rows = rows.groupBy("report").agg(F.min_by(F.struct("ts", "lat", "lon", "depth_km", "magnitude"), F.struct("pos", "ts", "lat", "lon")).alias("_f")).select("report", "_f.*")
-    said = F.format_string("Sismo de magnitud %.1f", "magnitude")
-    return signal(rows, "csn", ts=F.col("ts"), type=F.lit("earthquake"), lat=F.col("lat"), lon=F.col("lon"), text=said, external_id=F.concat(F.lit("csn:"), "report"), confidence=F.lit(1.0), raw=F.to_json(F.struct("magnitude", "depth_km")))
+        "report": part(link, r"(?i)/(\d+)\.html?$"), "ts": F.coalesce(utc, local), "time_source": F.when(utc.isNotNull(), "utc_column").otherwise("local_column"),
+        "lat": F.get(spot, F.lit(0)), "lon": F.get(spot, F.lit(1)), "depth_km": number(at(3), r"(?i)(-?\d+(?:\.\d+)?)\s*km", *DEPTHS), "magnitude": number(at(4), size, *MAGNITUDES),
+        "place": F.nullif(place, F.lit("")), "report_url": F.when(link.rlike("^https?://") | (F.lit(root) == ""), link).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(link, F.lit("/")))),
+    }).withColumn("mag_type", F.when(F.col("magnitude").isNotNull(), part(at(4), size, 2)))
+    rows = rows.where("report IS NOT NULL AND ts IS NOT NULL").where(F.expr(geo.in_box("lat", "lon", CATALOGUE_BOX)))
+    fields = ("ts", "lat", "lon", "depth_km", "magnitude", "mag_type", "place", "report_url", "time_source")
+    rows = rows.groupBy("report").agg(F.min_by(F.struct(*fields), F.struct("pos", "page", *fields)).alias("_f")).select("report", "_f.*")
+    rows = rows.where(F.expr(geo.in_box("lat", "lon", box)))
+    said = F.when(F.col("magnitude").isNull(), "Sismo de magnitud no determinada").otherwise(F.format_string("Sismo de magnitud %.1f", "magnitude"))
+    raw = F.to_json(F.struct("magnitude", "mag_type", "depth_km", "place", "report_url", "time_source"))
+    return signal(rows, "csn", ts=F.col("ts"), type=F.lit("earthquake"), lat=F.col("lat"), lon=F.col("lon"), text=said, external_id=F.concat(F.lit("csn:"), "report"), confidence=F.lit(1.0), raw=raw)
 
 
 #: Names of the list in an outage answer, the likeliest first.
@@ -147,24 +192,31 @@ OUTAGE_LISTS = ("features", "data", "items", "results", "interrupciones", "corte
 def outages(df: DataFrame, provider: str, now: str) -> DataFrame:
     """Power cuts from JSON whose list stands alone, under a known name or under the one key there is; no list at all is an error.
 
-    Keys are compared in lower case without space, dash and underscore; negative counts of clients are unknown; a start
-    that is missing or in the future is now.
+    Keys are compared in lower case without space, dash and underscore; of equal ones the least with a value counts. A
+    record may be a feature with a point and properties. Negative counts of clients are unknown. Times without a zone
+    are of America/Santiago; a start that is missing or in the future is now.
     """
     v = df.withColumn("_v", F.try_parse_json("payload"))
     lists = F.coalesce(*[F.try_variant_get("_v", f"$.{n}", "array<map<string,string>>") for n in OUTAGE_LISTS])
     nested = F.element_at(F.map_values(F.try_variant_get("_v", "$", "map<string,array<map<string,string>>>")), 1)
     found = F.coalesce(F.try_variant_get("_v", "$", "array<map<string,string>>"), lists, nested)
     rows = v.select(F.explode(F.coalesce(found, F.raise_error(F.concat(F.lit("no list of outages: "), F.substring("payload", 1, 120))))).alias("m"))
-    low = F.transform_keys("m", lambda k, _: F.regexp_replace(F.lower(k), r"[\s_-]", ""))
-    rows = rows.withColumn("p", low)
-    get = lambda *names: F.coalesce(*[F.nullif(F.trim(F.try_element_at(F.col("p"), F.lit(n))), F.lit("")) for n in names])
+    # Properties and point of a feature go before what stands beside them.
+    bare = lambda k: F.regexp_replace(F.lower(k), r"[\s_-]", "")
+    inner = lambda name, kind: F.from_json(F.get(F.filter(F.map_entries("m"), lambda e: e["key"] == name), F.lit(0))["value"], kind)
+    entries = F.filter(F.concat(F.coalesce(F.map_entries(inner("properties", "map<string,string>")), F.array()), F.map_entries("m")), lambda e: ~F.coalesce(e["value"], F.lit("null")).isin("null", "None"))
+    rows = rows.where("m IS NOT NULL").withColumns({"p": entries, "_xy": inner("geometry", "struct<coordinates:array<string>>")["coordinates"]})
+    get = lambda *names: first_value(F.col("p"), bare, *names)
     present = F.lit(now).cast("timestamp")
-    start = text.any_timestamp(get("horainicio", "fechainicio", "inicio", "starttime"))
+    start = text.local_timestamp(get("horainicio", "fechainicio", "inicio", "starttime"))
     clients = get("clientesafectados", "clientes", "affectedclients", "afectados").try_cast("double").cast("long")
-    rows = rows.withColumns({"lat": get("lat", "latitud", "latitude", "y").try_cast("double"), "lon": get("lon", "lng", "longitud", "longitude", "x").try_cast("double")})
+    x, y = (F.get("_xy", F.lit(k)).try_cast("double") for k in (0, 1))
+    pointed = x.isNotNull() & y.isNotNull()
+    lat, lon = get("lat", "latitud", "latitude", "y").try_cast("double"), get("lon", "lng", "longitud", "longitude", "x").try_cast("double")
+    rows = rows.withColumns({"lat": F.when(pointed, y).otherwise(lat), "lon": F.when(pointed, x).otherwise(lon)})
     rows = rows.where(F.expr(geo.in_box("lat", "lon", P.REGION_BOX)))
     ident = F.coalesce(F.concat(F.lit(f"{provider}:"), get("id", "codigo", "folio", "outageid", "uuid")), text.external_id(provider, F.format_string("%.5f", "lat"), F.format_string("%.5f", "lon"), get("horainicio"), length=24))
-    raw = F.to_json(F.struct(F.when(clients >= 0, clients).alias("clients"), get("horareposicion", "fechareposicion", "eta").alias("restoration"), get("sector").alias("sector")))
+    raw = F.to_json(F.struct(F.when(clients >= 0, clients).alias("clients"), text.local_timestamp(get("horareposicion", "fechareposicion", "eta")).alias("restoration"), get("sector").alias("sector")))
     return signal(rows, provider, ts=F.least(F.coalesce(start, present), present), type=F.lit("power_outage"), lat=F.col("lat"), lon=F.col("lon"), text=F.concat_ws(" ", F.lit("Corte de suministro"), get("comuna")), external_id=ident, confidence=F.lit(1.0), commune=get("comuna", "municipio"), raw=raw)
 
 

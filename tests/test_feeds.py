@@ -1,8 +1,11 @@
+import html
 import json
-from datetime import datetime
+from datetime import UTC, datetime
+from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from signalloom.functions import text
@@ -78,22 +81,87 @@ def test_quakes(spark):
         feeds.quakes(frame(spark, {**items, "metadata": {"status": 503}})).collect()
 
 
+def test_unreadable_features_are_counted_in_the_same_pass(spark):
+    good = {"id": "a", "geometry": {"type": "Point", "coordinates": [-71.5, -33.0]}, "properties": {"mag": 4.0, "type": "earthquake", "time": 1706700000000}}
+    seen = Observation()
+    items = collection(good, None, {**good, "id": " "}, {**good, "geometry": None}, {**good, "id": "b", "geometry": {"type": "Point", "coordinates": ["x", 1]}})
+    assert [r["external_id"] for r in feeds.quakes(frame(spark, items), seen=seen).collect()] == ["usgs:a"]
+    assert seen.get == {"features": 5, "unreadable": 4}
+
+
+def test_keys_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([({"Region": " ", "region": "x", "REGION": "y"},)], "p map<string,string>")
+    assert df.select(feeds.alias(F.col("p"), "none", "Region")).first()[0] == "x"
+
+
 def test_quake_table(spark):
-    row = lambda i, local, utc, spot, depth, mag: f'<tr><td><a href="/x/{i}.html">{local}<br/>30 km al O</a></td><td>{utc}</td><td>{spot}</td><td>{depth}</td><td>{mag}</td></tr>'
-    html = "<table><tr><th>h</th></tr>" + row("q1", "2024-01-30 23:10:41", "2024-01-31 02:10:41", "-33.07 -71.6", "33 km", "4.1 Ml") + row("q1", "2024-01-30 23:10:41", "2024-01-31 02:10:41", "-33.07 -71.6", "33 km", "4.1 Ml") + row("q2", "2024-06-30 23:10:41", "", "-33.07 -71.6", "33 km", "3.0 Ml") + row("q3", "2024-06-30 23:10:41", "", "-20.0 -69.0", "90 km", "5.0 Mw") + "</table>"
-    rows = {r["external_id"]: r for r in feeds.quake_table(frame(spark, html)).collect()}
-    assert {k: r["ts"] for k, r in rows.items()} == {"csn:q1": datetime(2024, 1, 31, 2, 10, 41), "csn:q2": datetime(2024, 7, 1, 3, 10, 41)}
+    row = lambda i, local, utc, spot, depth, mag: f'<tr><td><a href="/x/{i}.html">{local}</a><br/>30 km al O</td><td>{utc}</td><td>{spot}</td><td>{depth}</td><td>{mag}</td></tr>'
+    near, winter = "-33.07 -71.6", "2024-06-30 23:10:41"
+    rows = [
+        row(1, "2024-01-30 23:10:41", "2024-01-31 02:10:41", near, "33.5 km", "4 Mww"),
+        row(1, "2024-01-30 23:10:41", "2024-01-31 02:10:41", near, "33 km", "9.1 Ml"),
+        row(2, winter, "", near, "900 km", "3.0"),
+        row(3, winter, "", "-20.0 -69.0", "90 km", "5.0 Mw"),
+        row(4, winter, "", near, "-1 km", "41 Ml"),
+        row("q5", winter, "", near, "9 km", "4.1 Ml"),
+        row(6, "later", "soon", near, "9 km", "4.1 Ml"),
+        row(7, winter, "", "71.6", "9 km", "4.1 Ml"),
+        "<tr><td>short</td></tr>",
+    ]
+    page = "<table><tr><th>h</th></tr>" + "".join(rows) + "</table>"
+    got = {r["external_id"]: (r["ts"], json.loads(r["raw"])) for r in feeds.quake_table(frame(spark, page, page), root="http://x.y/").collect()}
+    assert {k: v[0] for k, v in got.items()} == {"csn:1": datetime(2024, 1, 31, 2, 10, 41), "csn:2": datetime(2024, 7, 1, 3, 10, 41), "csn:4": datetime(2024, 7, 1, 3, 10, 41)}
+    assert got["csn:1"][1] == {"magnitude": 4.0, "mag_type": "Mww", "depth_km": 33.5, "place": "30 km al O", "report_url": "http://x.y/x/1.html", "time_source": "utc_column"}
+    assert got["csn:2"][1] == {"magnitude": 3.0, "place": "30 km al O", "report_url": "http://x.y/x/2.html", "time_source": "local_column"}
+    assert "magnitude" not in got["csn:4"][1] and "depth_km" not in got["csn:4"][1]
+    with pytest.raises(PySparkException, match="no table of quakes"):
+        feeds.quake_table(frame(spark, "<p>Mantención</p>")).collect()
+
+
+def test_pages_go_by_local_days(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 2, 30),), (datetime(2024, 1, 1, 3, 0),)], "now timestamp")
+    got = [r[0] for r in df.select(feeds.catalogue_pages(F.col("now"), 2)).collect()]
+    page = "sismicidad/catalogo/{0}/{1}/{0}{1}{2}.html".format
+    assert got == [[page(2023, 12, 31), page(2023, 12, 30)], [page(2024, "01", "01"), page(2023, 12, 31)]]
+
+
+def test_local_times_about_the_change_of_clocks(spark):
+    """Against the standard library's zones, whose fold 0 is the first of two hours."""
+    naive = [datetime(2024, m, d, h, 30) for m, d in ((1, 15), (4, 6), (4, 7), (7, 1), (9, 7), (9, 8)) for h in (0, 1, 22, 23)]
+    df = spark.createDataFrame([(k, t.isoformat()) for k, t in enumerate(naive)], "k int, raw string")
+    got = {r["k"]: r["t"] for r in df.select("k", text.local_timestamp(F.col("raw")).alias("t")).collect()}
+    assert got == {k: t.replace(tzinfo=ZoneInfo("America/Santiago")).astimezone(UTC).replace(tzinfo=None) for k, t in enumerate(naive)}
+    same = ["2024-01-15T10:00:00Z", "2024-01-15T07:00:00-03:00", "2024-01-15T07:00:00-0300", "1705312800", "1705312800000", "2024-01-15 07:00", "15-01-2024 07:00"]
+    read = spark.createDataFrame([(x,) for x in same], "raw string").select(text.local_timestamp(F.col("raw")))
+    assert {r[0] for r in read.collect()} == {datetime(2024, 1, 15, 10)}
+    assert spark.createDataFrame([("soon",), (None,)], "raw string").select(text.local_timestamp(F.col("raw"))).distinct().collect() == [(None,)]
+
+
+def test_entities(spark):
+    said = ["a &amp;lt; b", "&Ntilde;u&ntilde;oa &#225;&#xE9;&#X1F600;", "&unknown; & &;", "&#128; &#x99; &#0; &#xD800; &#x110000;", "&nbsp;x&#160;y\u00a0", "sin", "", "&copy;", "&hearts;&NotEqualTilde;", "&#39;&quot;"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, x string")
+    assert [r[0] for r in df.orderBy("k").select(text.unescape(F.col("x"))).collect()] == [html.unescape(x) for x in said]
+    assert [r[0] for r in df.orderBy("k").select(text.strip_html(F.col("x"))).collect()] == [" ".join(html.unescape(x).split()) for x in said]
+    assert spark.createDataFrame([(None,)], "x string").select(text.strip_html(F.col("x"))).first()[0] is None
+
+
+def test_outages_as_features(spark):
+    item = {"type": "Feature", "lat": "0", "geometry": {"type": "Point", "coordinates": [-71.5, -33.0]}, "properties": {"Codigo": "7", "Hora Inicio": "2024-02-01T06:00:00", "eta": "2024-02-01T18:30:00", "clientes": "1250.9", "comuna": "null"}}
+    odd = {"id": "8", "ID": "9", "lat": "-33.0", "Lat": "-33.1", "lon": "-71.5", "geometry": None}
+    rows = {r["external_id"]: r for r in feeds.outages(frame(spark, {"features": [item, None, odd]}), "cge", NOW).collect()}
+    assert set(rows) == {"cge:7", "cge:9"} and rows["cge:7"]["ts"] == datetime(2024, 2, 1, 9) and rows["cge:7"]["commune"] is None
+    assert json.loads(rows["cge:7"]["raw"]) == {"clients": 1250, "restoration": "2024-02-01T21:30:00.000Z"} and rows["cge:9"]["lat"] == -33.1
 
 
 @pytest.mark.parametrize("wrap", [lambda x: x, lambda x: {"data": x}, lambda x: {"cortes": x}, lambda x: {"anything": x}])
 def test_outage_envelopes(spark, wrap):
     items = [
-        {"id": "1", "Latitud": "-33.0", "Longitud": "-71.5", "Clientes Afectados": "120", "hora_inicio": "2024-02-01T10:00:00", "comuna": "Quilpué"},
+        {"id": "1", "Latitud": "-33.0", "Longitud": "-71.5", "Clientes Afectados": "120", "hora_inicio": "2024-02-01T08:00:00", "comuna": "Quilpué"},
         {"latitud": "-33.1", "longitud": "-71.4", "clientes_afectados": "-5", "hora_inicio": "2024-02-01T18:00:00"},
         {"latitud": "-20.0", "longitud": "-71.4"},
     ]
     rows = feeds.outages(frame(spark, wrap(items)), "chilquinta", NOW).orderBy("ts").collect()
-    assert [r["ts"] for r in rows] == [datetime(2024, 2, 1, 10), datetime(2024, 2, 1, 12)]
+    assert [r["ts"] for r in rows] == [datetime(2024, 2, 1, 11), datetime(2024, 2, 1, 12)]
     assert json.loads(rows[0]["raw"])["clients"] == 120 and "clients" not in json.loads(rows[1]["raw"])
     assert rows[0]["external_id"] == "chilquinta:1" and rows[0]["commune"] == "Quilpué"
 
@@ -157,7 +225,7 @@ def test_failover_and_union(spark):
 
 
 def test_the_first_row_of_a_report_counts(spark):
-    row = lambda lat: f'<tr><td><a href="/x/r1.html">2024-01-30 23:10:41</a></td><td>2024-01-31 02:10:41</td><td>{lat} -71.6</td><td>33 km</td><td>4.1 Ml</td></tr>'
+    row = lambda lat: f'<tr><td><a href="/x/1.html">2024-01-30 23:10:41</a></td><td>2024-01-31 02:10:41</td><td>{lat} -71.6</td><td>33 km</td><td>4.1 Ml</td></tr>'
     got = feeds.quake_table(frame(spark, "<table>" + row(-33.5) + row(-33.0) + row(-32.5) + "</table>")).collect()
     assert [r["lat"] for r in got] == [-33.5]
 
