@@ -152,9 +152,14 @@ def _shifted(df: DataFrame, shifts: list[tuple[int, ...]], cells: list[str]) ->
 
 
 def _close(pairs: DataFrame, metres: float, lat1: str = "lat1", lon1: str = "lon1", lat2: str = "lat2", lon2: str = "lon2") -> DataFrame:
-    """Pairs at most `metres` apart, with distance_m; the great circle, good to six thousandths, leaves the far ones out before."""
+    """Pairs at most `metres` apart, with distance_m; the great circle, good to six thousandths, leaves the far ones out before.
+
+    The distance goes through an array of one, as a filter does not move below explode: in the join's condition the
+    formula would stand written out, with each sine many times.
+    """
     near = pairs.where(F.expr(geo.haversine(lat1, lon1, lat2, lon2)) <= metres * 1.006)
-    return geo.with_spheroid(near, "distance_m", lat1, lon1, lat2, lon2).where(F.col("distance_m") <= metres)
+    away = geo.with_spheroid(near, "_d", lat1, lon1, lat2, lon2).withColumn("distance_m", F.explode(F.array("_d"))).drop("_d")
+    return away.where(F.col("distance_m") <= metres)
 
 
 def reachable(candidates: DataFrame, incidents: DataFrame, metres: float, since) -> DataFrame:
@@ -180,7 +185,8 @@ def pairs_within(rows: DataFrame, keys: list[str], metres: float, seconds: int |
     """(a, b, distance_m), a < b: rows (id, lat, lon, keys; t where `seconds` bounds its difference) of equal keys at most `metres` apart.
 
     Cells of place (and time) are the keys of the join; a row goes to its own cell and to half of those around, so that
-    each pair of cells meets once.
+    each pair of cells meets once. Both sides are shuffled: Spark's estimate leaves the copies out, and it would gather
+    them in the driver for a broadcast.
     """
     rows = _cells(rows, metres)
     cells = ["cy", "cx"]
@@ -192,7 +198,8 @@ def pairs_within(rows: DataFrame, keys: list[str], metres: float, seconds: int |
     left = _shifted(rows, [s for s in around if s >= (0,) * len(cells)], cells)
     left = left.withColumnsRenamed({"id": "id1", "lat": "lat1", "lon": "lon1", "t": "t1"})
     right = rows.withColumnsRenamed({"id": "id2", "lat": "lat2", "lon": "lon2", "t": "t2"})
-    met = left.join(right, [*keys, *cells]).where(~F.col("own") | (F.col("id1") < F.col("id2")))
+    met = left.join(right.hint("merge"), [*keys, *cells]).where(~F.col("own") | (F.col("id1") < F.col("id2")))
+    met = met.where(F.abs(F.col("lat1") - F.col("lat2")) <= metres * _DEGREE)
     if seconds is not None:
         met = met.where(F.abs(F.col("t1") - F.col("t2")) <= seconds)
     return _close(met, metres).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "distance_m")
