@@ -23,7 +23,7 @@ def validated(batch: DataFrame, now, tolerance_s: int = 300, inside_only: bool =
     lat, lon = F.col("lat"), F.col("lon")
     checks = [
         say(F.col("ts").isNull(), "no_time"),
-        say(F.unix_timestamp("ts") > F.unix_timestamp(F.lit(now)) + tolerance_s, "future"),
+        say(F.col("ts") > F.timestamp_add("SECOND", F.lit(tolerance_s), F.lit(now)), "future"),  # parts of a second count
         say(~F.col("source").isin(*P.SOURCES), "source"),
         say(lat.isNull() != lon.isNull(), "half_place"),
         say(lat.isNull() & lon.isNull() & F.col("text").isNull(), "no_place_no_text"),
