@@ -5,30 +5,89 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from signalloom import policy as P
+from signalloom.functions import geo
 from signalloom.operators import cluster
 
 
+#: Bounds of time, and of place each way, in a cell of streamed_neighbours(): few cells, as each costs Python some milliseconds. Pairs that are compared at once.
+_SPANS, _SIDES, _BLOCK = 6, 4, 1 << 18
+_MET = "id1 long, lat1 double, lon1 double, id2 long, lat2 double, lon2 double"
+_SEEN = np.dtype([("id", "<i8"), ("t", "<i8"), ("lat", "<f8"), ("lon", "<f8"), ("own", "?")])
+
+
+def _met(left: np.ndarray, right: np.ndarray, seconds: int, metres: float) -> Iterator[pd.DataFrame]:
+    """Pairs of a signal of left and one of right, which is in order of time, about `metres` apart: by the great circle, as cluster._close."""
+    low, high = np.searchsorted(right["t"], left["t"] - seconds), np.searchsorted(right["t"], left["t"] + seconds, "right")
+    ends = np.cumsum(high - low)
+    at = 0
+    while at < len(left):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + _BLOCK, "right")))
+        n = (high - low)[at:to]
+        l = left[at:to].repeat(n)
+        r = right[np.arange(len(l)) - np.repeat(ends[at:to] - n - done, n) + np.repeat(low[at:to], n)]
+        kept = np.where(l["own"], l["id"] < r["id"], l["id"] != r["id"]) & (np.abs(l["lat"] - r["lat"]) <= metres * cluster._DEGREE)
+        l, r, at = l[kept], r[kept], to
+        half = lambda c: np.sin(np.radians(r[c] - l[c]) / 2) ** 2
+        arc = half("lat") + np.cos(np.radians(l["lat"])) * np.cos(np.radians(r["lat"])) * half("lon")
+        near = 2 * geo.RADIUS * np.arcsin(np.minimum(1, np.sqrt(arc))) <= metres * 1.006
+        if near.any():
+            yield pd.DataFrame({f"{c}{i}": x[c][near] for i, x in ((1, l), (2, r)) for c in ("id", "lat", "lon")})
+
+
+def _meeting(seconds: int, metres: float):
+    """What a cell does with a batch: its signals meet those that it has seen, and one another; it keeps those that later ones can meet."""
+
+    def meet(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = np.frombuffer(state.get[0], _SEEN) if state.exists else np.empty(0, _SEEN)
+        for chunk in chunks:
+            new = np.empty(len(chunk), _SEEN)
+            for c in _SEEN.names:
+                new[c] = chunk[c].to_numpy()
+            new = new[np.argsort(new["t"], kind="stable")]
+            yield from _met(seen, new[new["own"]], seconds, metres)
+            seen = np.concatenate([seen, new])
+            seen = seen[np.argsort(seen["t"], kind="stable")]
+            yield from _met(new, seen[seen["own"]], seconds, metres)
+        present = state.getCurrentWatermarkMs()
+        state.update((seen[seen["t"] >= present // 1000 - seconds].tobytes(),))
+        state.setTimeoutTimestamp(max((int(key[0]) + 1) * _SPANS * seconds + seconds + 1, present // 1000 + 1) * 1000)
+
+    return meet
+
+
 def streamed_neighbours(signals: DataFrame, metres: float = 2000.0, minutes: float = 60, late: str = "4 hours") -> DataFrame:
     """(a, b, distance_m), a < b, of a stream of signals (id, ts, lat, lon) within `metres` and `minutes` of each other.
 
-    Both sides of the join are the stream itself, by cells of place; the range of times lets a row's state go when the
-    watermark, `late` behind the newest signal, is `minutes` past it. A signal that comes later than that may be left
-    out of pairs; any other pair comes once, when its second signal does.
+    A cell of time and place keeps the signals in it, and of half of the cells around those within reach of it, packed;
+    signals of a cell meet in order of time. What a cell keeps goes when the watermark, `late` behind the
+    newest signal, is `minutes` past it. A signal that comes later than that may be left out of pairs; any other pair
+    comes once, when its second signal does.
     """
     seconds = int(minutes * 60)
-    rows = cluster._cells(signals.withWatermark("ts", late).where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "ts", "lat", "lon"), metres)
-    half = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) >= (0, 0)]
-    left = cluster._shifted(rows, half, ["cy", "cx"]).withColumnsRenamed({"id": "id1", "ts": "ts1", "lat": "lat1", "lon": "lon1", "cy": "cy1", "cx": "cx1"})
-    right = rows.withColumnsRenamed({"id": "id2", "ts": "ts2", "lat": "lat2", "lon": "lon2", "cy": "cy2", "cx": "cx2"})
-    span = F.expr(f"INTERVAL {seconds} SECONDS")
-    met = left.join(right, (F.col("cy1") == F.col("cy2")) & (F.col("cx1") == F.col("cx2")) & (F.col("ts1") >= F.col("ts2") - span) & (F.col("ts1") <= F.col("ts2") + span))
-    met = met.where(~F.col("own") | (F.col("id1") < F.col("id2"))).where(F.abs(F.unix_timestamp("ts1") - F.unix_timestamp("ts2")) <= seconds)
+    known = signals.withWatermark("ts", late).where("id IS NOT NULL AND ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    rows = known.select(F.col("id").cast("long"), "ts", F.unix_timestamp("ts").alias("t"), F.col("lat").cast("double"), F.col("lon").cast("double"))
+    step = metres * cluster._DEGREE * (1 + 1e-9)
+    bounds = {"ct": ("t", seconds, _SPANS * seconds), "cy": ("lat", step, _SIDES * step), "cx": ("lon", 2 * step, _SIDES * 2 * step)}
+    cells = {c: F.floor(F.col(x) / side) for c, (x, _, side) in bounds.items()}
+    rows = rows.withColumns(cells | {f"_{c}": cell for c, cell in cells.items()})
+    around = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    moved = cluster._shifted(rows, around, ["cy", "cx", "ct"])
+    for c, (x, reach, side) in bounds.items():
+        below, above = F.col(x) - F.col(f"_{c}") * side <= reach, (F.col(f"_{c}") + 1) * side - F.col(x) <= reach
+        moved = moved.where((F.col(c) == F.col(f"_{c}")) | F.when(F.col(c) < F.col(f"_{c}"), below).otherwise(above))
+    moved = moved.select("ct", "cy", "cx", "ts", "id", "t", "lat", "lon", "own")
+    met = moved.groupBy("ct", "cy", "cx").applyInPandasWithState(_meeting(seconds, metres), _MET, "seen binary", "append", "EventTimeTimeout")
     return cluster._close(met, metres).select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "distance_m")
 
 
