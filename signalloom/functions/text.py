@@ -83,6 +83,11 @@ def masked_ip(ip: Column) -> Column:
     return F.when(F.contains(ip, F.lit(":")), short).when(F.size(four) == 4, F.concat(F.array_join(F.slice(four, 1, 2), "."), F.lit(".×.×"))).otherwise(ip)
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _entity_names() -> str:
     """JSON of what named entities stand for, by the standard library's table, and numbers 128 to 159 as the web reads them."""
     named = {name: ch for name, ch in html5.items() if name.endswith(";")}
@@ -103,17 +108,25 @@ def unescape(html: Column) -> Column:
         numbered = F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), code.cast("string"))), said)
         return F.when(F.startswith(name, F.lit("#")), numbered).otherwise(F.coalesce(F.try_element_at(table, name), F.concat(F.lit("&"), name, F.lit(";"))))
 
-    # A part that is no match, then what the match after it means: nothing is resolved twice.
-    between = F.split(html, pattern, -1)
-    meant = F.transform(F.regexp_extract_all(html, pattern, F.lit(1)), meaning)
-    joined = F.array_join(F.zip_with(between, meant, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
-    return F.when(F.contains(html, F.lit("&")), joined).otherwise(html)
+    def joined(said):
+        # A part that is no match, then what the match after it means: nothing is resolved twice.
+        meant = F.transform(F.regexp_extract_all(said, pattern, F.lit(1)), meaning)
+        return F.array_join(F.zip_with(F.split(said, pattern, -1), meant, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+
+    return once(html, lambda said: F.when(F.contains(said, F.lit("&")), joined(said)).otherwise(said))
 
 
 def strip_html(html: Column) -> Column:
     """Text between tags with entities resolved and white space, also that without a break, collapsed."""
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
-    return F.trim(F.regexp_replace(unescape(text), r"(?U)\s+", " "))
+
+    # Most texts have nothing to strip, and a look for it costs less than the replacements.
+    spaced = lambda said: said.rlike("[^ -~]") | F.contains(said, F.lit("  "))
+
+    def stripped(said):
+        bare = F.regexp_replace(F.regexp_replace(said, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
+        return once(unescape(bare), lambda x: F.when(spaced(x), F.regexp_replace(x, r"(?U)\s+", " ")).otherwise(x))
+
+    return once(html, lambda said: F.trim(F.when(said.rlike("[^ -%'-;=-~]") | F.contains(said, F.lit("  ")), stripped(said)).otherwise(said)))
 
 
 def external_id(prefix: str, *parts: Column, length: int = 32) -> Column:
@@ -139,11 +152,6 @@ def _up_to_stop(word: Column) -> Column:
     return F.when(short, F.concat(head, F.lit("."), until(F.substring(word, F.length(head) + 2, F.length(word))))).otherwise(until(word))
 
 
-def _once(value: Column, use) -> Column:
-    """use(value), with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def street_parts(text: Column) -> Column:
     """The place that a text names, as one street or the streets of a crossing; empty if it names none.
 
@@ -156,7 +164,7 @@ def street_parts(text: Column) -> Column:
 
     def after_lead(ws: Column, known: Column) -> Column:
         leads = F.filter(F.transform(places(ws), lambda i: F.struct(i.alias("at"), _said_at(known, i, PLACE_WORDS).alias("n"))), lambda x: x["n"].isNotNull())
-        return _once(F.get(leads, F.lit(0)), lambda first: F.when(first.isNotNull(), F.slice(ws, first["at"] + first["n"] + 1, F.size(ws))).otherwise(F.slice(ws, 1, 0)))
+        return once(F.get(leads, F.lit(0)), lambda first: F.when(first.isNotNull(), F.slice(ws, first["at"] + first["n"] + 1, F.size(ws))).otherwise(F.slice(ws, 1, 0)))
 
     def before_end(ws: Column, known: Column) -> Column:
         told = lambda i: (i > 0) & _said_at(known, i, END_WORDS).isNotNull()
@@ -166,14 +174,14 @@ def street_parts(text: Column) -> Column:
             last = F.when(told(at) | (at >= F.size(ws)), F.slice(ws, 1, 0)).otherwise(F.array(_up_to_stop(F.get(ws, at))))
             return F.concat(F.slice(ws, F.lit(1), at), last)
 
-        return _once(F.coalesce(F.get(ends, F.lit(0)), F.size(ws)), cut)
+        return once(F.coalesce(F.get(ends, F.lit(0)), F.size(ws)), cut)
 
     def crossing(ws: Column, known: Column) -> Column:
         between = lambda i: _said_at(known, i, CROSSING_WORDS).isNotNull() | ((i > 0) & (F.coalesce(_said_at(known, i - 1, CROSSING_WORDS), F.lit(0)) > 1))
         return F.split(F.array_join(F.transform(ws, lambda w, i: F.when(between(i), "\n").otherwise(w)), " "), "\n")
 
     def with_plain(ws: Column, step) -> Column:
-        return _once(ws, lambda own: _once(plain(own), lambda known: step(own, known)))
+        return once(ws, lambda own: once(plain(own), lambda known: step(own, known)))
 
     parts = with_plain(with_plain(with_plain(words, after_lead), before_end), crossing)
     return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(" ,"))), lambda x: x != "")
@@ -211,4 +219,4 @@ def address(text: Column, cities: tuple[str, ...] = CITIES) -> Column:
         two = F.when(in_second.isNotNull(), shorter(second)).otherwise(second)
         return F.struct(clean(one).alias("street_1"), clean(two).alias("street_2"), clean(city).alias("city"))
 
-    return _once(street_parts(text), told)
+    return once(street_parts(text), told)

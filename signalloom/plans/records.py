@@ -244,8 +244,9 @@ def quake_table(spark, d):
 
     rows = [row("event_id * 3 + 1", "-33.0 -71.6", "event_id % 13, '.5'"), row("event_id * 3 + 1", "-33.1 -71.7", "'1.0'"), row("event_id * 3 + 2", "-20.0 -69.0", "'5.0'"), row("'abc'", "-33.0 -71.6", "'4.0'")]
     page = f"concat('<table><tr><th>x</th></tr>', {', '.join(rows)}, '</table>')"
-    raw = lambda name, kind="string": F.get_json_object("raw", f"$.{name}").cast(kind).alias(name)
-    return feeds.quake_table(_payloads(spark, d, page)).select("external_id", "ts", raw("depth_km", "double"), raw("magnitude", "double"), raw("mag_type"), raw("place"), raw("time_source"))
+    names = ("depth_km", "magnitude", "mag_type", "place", "time_source")
+    found = feeds.quake_table(_payloads(spark, d, page))
+    return found.select("external_id", "ts", F.json_tuple("raw", *names).alias(*names)).withColumns({n: F.col(n).cast("double") for n in ("depth_km", "magnitude")})
 
 
 @query("n06_s16_outages", """SELECT 'cge:' || CAST(event_id AS VARCHAR) AS external_id, CASE WHEN event_id % 2 = 0 THEN timezone('UTC', timezone('America/Santiago', TIMESTAMP '2024-01-30 10:00:00')) ELSE TIMESTAMP '2024-01-31 00:00:00' END AS ts, CAST(12 AS BIGINT) AS clients FROM events WHERE event_id % 9 <> 0

@@ -147,6 +147,44 @@ def catalogue_pages(now: Column, days: int = 2) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(days - 1)), path)
 
 
+def _catalogue_row(row: Column, pos: Column, root: str) -> Column:
+    """The fields of a catalogue's row, each part of it worked out once; null without five cells or a numbered report.
+
+    White space of cells is collapsed before times are read, so that only a T can be more than one space.
+    """
+    # nullif() would work out twice what it is given; times and numbers of empty text are null anyway.
+    known = lambda value: text.once(value, lambda x: F.nullif(x, F.lit("")))
+    spaced = lambda said: F.when(F.contains(said, F.lit("T")), F.regexp_replace(said, r"[\sT]+", " ")).otherwise(said)
+    time_ = lambda cell: F.try_to_timestamp(text.once(F.regexp_extract(cell, r"(\d{4}-\d{2}-\d{2}[\sT]+\d{2}:\d{2}(?::\d{2})?)", 1), spaced))
+    within = lambda value, low, high: text.once(value, lambda x: F.when(x.between(low, high), x))
+    anchor = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']\s*([^\"']*?)\s*[\"'][^>]*>(.*?)</a>"
+    size = r"(?i)(-?\d+(?:\.\d+)?)\s*(M[a-z]*)?"
+
+    def numbered(raw: Column) -> Column:
+        first = F.get(raw, F.lit(0))
+        return text.once(F.regexp_extract(first, anchor, 1), lambda link: text.once(F.regexp_extract(link, r"(?i)/(\d+)\.html?$", 1), lambda report: F.when(report != "", told(raw, first, link, report))))
+
+    def told(raw: Column, first: Column, link: Column, report: Column) -> Column:
+        place = text.strip_html(F.regexp_replace(first, r"(?is)<a\b[^>]*>.*?</a>", " "))
+        url = F.when(link.rlike("^https?://") | (F.lit(root) == ""), link).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(link, F.lit("/"))))
+        local = F.to_utc_timestamp(time_(text.strip_html(first)), "America/Santiago")
+        return text.once(F.transform(F.slice(raw, 2, 4), text.strip_html), lambda c: text.once(parts(c), lambda p: F.struct(
+            pos.alias("pos"), report.alias("report"), F.coalesce(p["utc"], local).alias("ts"), F.when(p["utc"].isNotNull(), "utc_column").otherwise("local_column").alias("time_source"),
+            F.get(p["spot"], F.lit(0)).alias("lat"), F.get(p["spot"], F.lit(1)).alias("lon"), p["depth_km"].alias("depth_km"), p["magnitude"].alias("magnitude"),
+            F.when(p["magnitude"].isNotNull(), known(F.regexp_extract(F.get(c, F.lit(3)), size, 2))).alias("mag_type"), known(place).alias("place"), url.alias("report_url"),
+        )))
+
+    def parts(c: Column) -> Column:
+        at = lambda k: F.get(c, F.lit(k - 1))
+        depth, magnitude = F.regexp_extract(at(3), r"(?i)(-?\d+(?:\.\d+)?)\s*km", 1), F.regexp_extract(at(4), size, 1)
+        return F.struct(
+            time_(at(1)).alias("utc"), F.transform(F.regexp_extract_all(at(2), F.lit(r"(-?\d+\.\d+)"), F.lit(1)), lambda x: x.cast("double")).alias("spot"),
+            within(depth.try_cast("double"), *DEPTHS).alias("depth_km"), within(magnitude.try_cast("double"), *MAGNITUDES).alias("magnitude"),
+        )
+
+    return text.once(F.regexp_extract_all(row, F.lit(r"(?s)<[tT][dDhH](?![\w\p{L}\p{Nd}])[^>]*>(.*?)</[tT][dDhH]>"), F.lit(1)), lambda raw: F.when(F.size(raw) >= 5, numbered(raw)))
+
+
 def quake_table(df: DataFrame, box: tuple = P.SEISMIC_BOX, root: str = "") -> DataFrame:
     """Quakes of an HTML catalogue: rows of five cells and more (local time and place, UTC time, coordinates, depth, magnitude), one a report.
 
@@ -155,30 +193,13 @@ def quake_table(df: DataFrame, box: tuple = P.SEISMIC_BOX, root: str = "") -> Da
     report, also on several pages, the first counts. A page without a table is an error. root makes links whole.
     """
     table = F.lower("payload").contains("<table")
-    found = F.regexp_extract_all("payload", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    row = F.posexplode(F.when(table, found).otherwise(F.raise_error("no table of quakes"))).alias("pos", "row")
-    cells = F.regexp_extract_all("row", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
-    rows = df.where("payload IS NOT NULL").select(F.xxhash64("payload").alias("page"), "payload").select("page", row)
-    rows = rows.withColumn("_raw", cells).withColumn("c", F.transform("_raw", text.strip_html)).where(F.size("c") >= 5)
-    at = lambda k: F.get("c", F.lit(k))
-    part = lambda cell, pattern, k=1: F.nullif(F.regexp_extract(cell, pattern, k), F.lit(""))
-    time_ = lambda cell: F.try_to_timestamp(part(F.regexp_replace(cell, r"(\d{4}-\d{2}-\d{2})[\sT]+(\d{2}:)", "$1 $2"), r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}(?::\d{2})?)"))
-    number = lambda cell, pattern, low, high: F.when(part(cell, pattern).try_cast("double").between(low, high), part(cell, pattern).try_cast("double"))
-    utc, local = time_(at(1)), F.to_utc_timestamp(time_(at(0)), "America/Santiago")
-    spot = F.transform(F.regexp_extract_all(at(2), F.lit(r"(-?\d+\.\d+)"), F.lit(1)), lambda x: x.cast("double"))
-    anchor = r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']\s*([^\"']*?)\s*[\"'][^>]*>(.*?)</a>"
-    first = F.get("_raw", F.lit(0))
-    link = part(first, anchor)
-    place = text.strip_html(F.regexp_replace(first, r"(?is)<a\b[^>]*>.*?</a>", " "))
-    size = r"(?i)(-?\d+(?:\.\d+)?)\s*(M[a-z]*)?"
-    rows = rows.withColumns({
-        "report": part(link, r"(?i)/(\d+)\.html?$"), "ts": F.coalesce(utc, local), "time_source": F.when(utc.isNotNull(), "utc_column").otherwise("local_column"),
-        "lat": F.get(spot, F.lit(0)), "lon": F.get(spot, F.lit(1)), "depth_km": number(at(3), r"(?i)(-?\d+(?:\.\d+)?)\s*km", *DEPTHS), "magnitude": number(at(4), size, *MAGNITUDES),
-        "place": F.nullif(place, F.lit("")), "report_url": F.when(link.rlike("^https?://") | (F.lit(root) == ""), link).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(link, F.lit("/")))),
-    }).withColumn("mag_type", F.when(F.col("magnitude").isNotNull(), part(at(4), size, 2)))
-    rows = rows.where("report IS NOT NULL AND ts IS NOT NULL").where(F.expr(geo.in_box("lat", "lon", CATALOGUE_BOX)))
+    found = F.regexp_extract_all("payload", F.lit(r"(?s)<[tT][rR][^>]*>(.*?)</[tT][rR]>"), F.lit(1))
+    # Rows are read inside the generator: a filter after it cannot be pushed before it, which would read each row again for each condition.
+    read = F.transform(F.when(table, found).otherwise(F.raise_error("no table of quakes")), lambda row, pos: _catalogue_row(row, pos, root))
+    rows = df.where("payload IS NOT NULL").select(F.xxhash64("payload").alias("page"), F.inline(F.filter(read, lambda r: r.isNotNull())))
+    rows = rows.where("ts IS NOT NULL").where(F.expr(geo.in_box("lat", "lon", CATALOGUE_BOX)))
     fields = ("ts", "lat", "lon", "depth_km", "magnitude", "mag_type", "place", "report_url", "time_source")
-    rows = rows.groupBy("report").agg(F.min_by(F.struct(*fields), F.struct("pos", "page", *fields)).alias("_f")).select("report", "_f.*")
+    rows = rows.groupBy("report").agg(F.min(F.struct("pos", "page", *fields)).alias("_f")).select("report", *[f"_f.{c}" for c in fields])
     rows = rows.where(F.expr(geo.in_box("lat", "lon", box)))
     said = F.when(F.col("magnitude").isNull(), "Sismo de magnitud no determinada").otherwise(F.format_string("Sismo de magnitud %.1f", "magnitude"))
     raw = F.to_json(F.struct("magnitude", "mag_type", "depth_km", "place", "report_url", "time_source"))

@@ -118,6 +118,20 @@ def test_quake_table(spark):
         feeds.quake_table(frame(spark, "<p>Mantención</p>")).collect()
 
 
+def test_a_catalogue_is_read_once(spark):
+    """Conditions on what was read do not read it again: each pattern stands in the plan once for each use."""
+    plan = feeds.quake_table(frame(spark, "<table></table>"))._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count(r"\.html?$"), plan.count("regexp_extract_all"), plan.count("(script|style)")) == (1, 6, 3)
+
+
+def test_odd_cells_of_a_catalogue(spark):
+    row = lambda i, utc, depth, mag: f'<TR class="x"><TH><a class="y" HREF = \' /x/{i}.htm \'>2024-06-30\tT23:10</a> a&lt;b  é <script>no</script></TH><tdx>no</tdx><td\n>{utc}</td><td>-33.07&nbsp;-71.6</td><td>{depth}</td><Td>{mag}</Td></TR>'
+    page = "<TABLE>" + row(1, " 2024-06-30T <b>23:10:41</b> ", "7 \n km", "<i>4.5</i>&nbsp;Mw") + row(2, "2024-06-30", "12km", "&#52; ") + "</TABLE>"
+    got = {r["external_id"]: (r["ts"], json.loads(r["raw"])) for r in feeds.quake_table(frame(spark, page)).collect()}
+    assert got["csn:1"] == (datetime(2024, 6, 30, 23, 10, 41), {"magnitude": 4.5, "mag_type": "Mw", "depth_km": 7.0, "place": "a<b é", "report_url": "/x/1.htm", "time_source": "utc_column"})
+    assert got["csn:2"] == (datetime(2024, 7, 1, 3, 10), {"magnitude": 4.0, "depth_km": 12.0, "place": "a<b é", "report_url": "/x/2.htm", "time_source": "local_column"})
+
+
 def test_pages_go_by_local_days(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 2, 30),), (datetime(2024, 1, 1, 3, 0),)], "now timestamp")
     got = [r[0] for r in df.select(feeds.catalogue_pages(F.col("now"), 2)).collect()]

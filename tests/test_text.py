@@ -78,3 +78,10 @@ def test_addresses(spark):
 @pytest.mark.parametrize("prefix,wanted", [((10, 4), [True, False]), ((10,), [True, True])])
 def test_has_code(spark, prefix, wanted):
     assert values(spark, lambda s: text.has_code(text.radio_codes(s), prefix), ["10-4-1", "10-40"]) == wanted
+
+
+def test_texts_without_tags_are_stripped_too(spark):
+    said = ["", " ", "a", " a", "a ", "a  b", "a\tb", "a\n", " a b", "a > b", "a<b", "<p>a</p>b", "a<br> b", "é", "x & y", "&amp;lt;", "<style>a</STYLE> b", "<script>a", "\x1ca", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, x string")
+    want = ["", "", "a", "a", "a", "a b", "a b", "a", "a b", "a > b", "a<b", "a b", "a b", "é", "x & y", "&lt;", "b", "a", "\x1ca", None]
+    assert [r[0] for r in df.orderBy("k").select(text.strip_html(F.col("x"))).collect()] == want
